@@ -32,15 +32,13 @@ CASE WHEN size(words) >= 3
 # (hash, position) in hash order; a position is repeated when a neighbour has its hash
 _ORDERED = """
 CASE WHEN size(array_distinct(grams)) < size(grams)
-     THEN array_sort(transform(grams, (h, i) -> named_struct('h', h, 'i', i)))
+     THEN sort_array(transform(grams, (h, i) -> named_struct('h', h, 'i', i)))
      ELSE CAST(array() AS array<struct<h: bigint, i: int>>) END"""
 
 _REPEATED = """
-array_sort(transform(
-  filter(transform(ordered, (x, j) -> named_struct('i', x.i, 'dup',
-           coalesce(get(ordered, j - 1).h = x.h, false) OR coalesce(get(ordered, j + 1).h = x.h, false))),
-         y -> y.dup),
-  y -> y.i))"""
+sort_array(transform(
+  filter(ordered, (x, j) -> get(ordered, j - 1).h = x.h OR get(ordered, j + 1).h = x.h),
+  x -> x.i))"""
 
 # words inside any repeated window: consecutive starts overlap
 _COVERED = """

@@ -77,7 +77,7 @@ def shard(
         source.select(bucket, row.alias("row"))
         .repartition(n_buckets, "bucket")
         .groupBy("bucket")
-        .agg(F.array_sort(F.collect_list("row")).alias("rows"))
+        .agg(F.sort_array(F.collect_list("row")).alias("rows"))
     )
     placed = (
         arrays.join(starts, F.col("bucket") == F.col("b"))

@@ -128,7 +128,7 @@ def mix(docs: DataFrame, seed: int = SEED, block: int = BLOCK, share: float = SH
     while True:
         run = staged(
             rows.groupBy("source", "block")
-            .agg(F.array_sort(F.collect_list("item")).alias("items"))
+            .agg(F.sort_array(F.collect_list("item")).alias("items"))
             .select("source", "block", F.expr(_tournament(seed + 2 + level)).alias("s"))
             .select("source", "block", "s.done", F.col("s.pend")[0].alias("rest")),
             f"mix-level{level}",
