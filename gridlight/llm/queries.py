@@ -2,16 +2,28 @@
 
 from __future__ import annotations
 
+from .decontaminate import OP9_SQL, op9_decontaminate
 from .host_rules import OP5_SQL, op5_host_rules
+from .quality_model import op3_quality_model
 from .sharding import op4_sharding
 from .source_mix import op2_source_mix
+from .token_prefix import op8_token_prefix
+from .warc import OP10_SQL, op10_warc
 
 QUERIES = {
     "op2_source_mix": op2_source_mix,
+    "op3_quality_model": op3_quality_model,
     "op4_sharding": op4_sharding,
     "op5_host_rules": op5_host_rules,
+    "op8_token_prefix": op8_token_prefix,
+    "op9_decontaminate": op9_decontaminate,
+    "op10_warc": op10_warc,
 }
 
-#: Operators without an entry (random choices, hashes or byte formats that SQL does
-#: not have) are tested against brute force in tests/llm.
-ORACLE_SQL = {"op5_host_rules": OP5_SQL}
+#: Operators without an entry (random choices, models, hashes or tokenizers that SQL
+#: does not have) are tested against brute force in tests/llm.
+ORACLE_SQL = {
+    "op5_host_rules": OP5_SQL,
+    "op9_decontaminate": OP9_SQL,
+    "op10_warc": OP10_SQL,
+}
