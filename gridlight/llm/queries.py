@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import OP9_SQL, op9_decontaminate
 from .host_rules import OP5_SQL, op5_host_rules
+from .license_scan import op1_license_scan
 from .quality_model import op3_quality_model
 from .sharding import op4_sharding
 from .source_mix import op2_source_mix
@@ -11,6 +12,7 @@ from .token_prefix import op8_token_prefix
 from .warc import OP10_SQL, op10_warc
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_source_mix": op2_source_mix,
     "op3_quality_model": op3_quality_model,
     "op4_sharding": op4_sharding,
