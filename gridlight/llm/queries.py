@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import OP9_SQL, op9_decontaminate
 from .host_rules import OP5_SQL, op5_host_rules
 from .license_scan import op1_license_scan
+from .near_dedup import op7_near_dedup
 from .quality_model import op3_quality_model
 from .sharding import op4_sharding
 from .source_mix import op2_source_mix
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_quality_model": op3_quality_model,
     "op4_sharding": op4_sharding,
     "op5_host_rules": op5_host_rules,
+    "op7_near_dedup": op7_near_dedup,
     "op8_token_prefix": op8_token_prefix,
     "op9_decontaminate": op9_decontaminate,
     "op10_warc": op10_warc,
