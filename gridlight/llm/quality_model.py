@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import row_key, staged, table
 from .wordhash import texts
 
 DIM, SEED, RIDGE, WIDTH = 192, 11, 1e-3, 2.5
@@ -82,16 +82,17 @@ def statistics(text: bytes) -> list[float]:
 
 
 def document_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and ``x``, the statistics."""
+    """doc_id, rid (row key) and ``x``, the statistics."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [statistics(t) for t in texts(batch.column(1))]
+            x = [statistics(t) for t in texts(batch.column(2))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "x"]
+                [batch.column(0), batch.column(1), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "rid", "x"]
             )
 
-    return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(run, "doc_id long, x array<double>")
+    source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), row_key(docs).alias("rid"), docs["text"].cast("string").alias("text"))
+    return source.mapInArrow(run, "doc_id long, rid long, x array<double>")
 
 
 @dataclass
@@ -214,7 +215,7 @@ def held_out(df: DataFrame):
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", learn_all: bool = False) -> DataFrame:
-    """doc_id, held_out, score, predicted: a row per document."""
+    """doc_id, rid, held_out, score, predicted: a row per document."""
     stats = staged(document_statistics(docs), "quality-stats")
     y = (
         labels.where(labels[label].isNotNull() & labels["doc_id"].isNotNull())
@@ -226,14 +227,16 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", learn_a
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = model.score(_matrix(batch.column(1))) if batch.num_rows else np.empty(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64())], names=["doc_id", "score"])
+            score = model.score(_matrix(batch.column(2))) if batch.num_rows else np.empty(0)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(score, pa.float64())], names=["doc_id", "rid", "score"]
+            )
 
-    scored = stats.mapInArrow(run, "doc_id long, score double")
+    scored = stats.mapInArrow(run, "doc_id long, rid long, score double")
     return scored.select(
-        "doc_id", held_out(scored).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+        "doc_id", "rid", held_out(scored).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
 
 
 def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("rid")

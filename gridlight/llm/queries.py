@@ -9,6 +9,7 @@ from .near_dedup import op7_near_dedup
 from .quality_model import op3_quality_model
 from .sharding import op4_sharding
 from .source_mix import op2_source_mix
+from .substring_dedup import op6_substring_dedup
 from .token_prefix import op8_token_prefix
 from .warc import OP10_SQL, op10_warc
 
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_quality_model": op3_quality_model,
     "op4_sharding": op4_sharding,
     "op5_host_rules": op5_host_rules,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_near_dedup": op7_near_dedup,
     "op8_token_prefix": op8_token_prefix,
     "op9_decontaminate": op9_decontaminate,
