@@ -8,9 +8,12 @@
    linear in its rows).  Pairs whose sketches differ too much are dropped: at the
    threshold similarity a pair's XOR count stays below the limit but for one in 10^8.
 4. The rest is confirmed exactly on the texts' full sets, star by star in salted
-   chunks, and linked documents are joined into components.
+   chunks (one centre for each document first, others only while the two ends are in
+   different components), and linked documents are joined into components.
 5. What a star may have missed are links between members of one bucket that are still
-   in different components: exactly those pairs are then tested in the same way.
+   in different components.  Their sketches meet block by block; members that may be
+   similar across components form clusters, whose pairs of different components are
+   tested on full sets inside blocks.  Only links leave a block, never pairs.
 
 No bucket is capped.  Banding (40 bands of 4) misses a pair at similarity 0.8 with
 probability 7e-10.
@@ -100,6 +103,20 @@ def _sketched(pairs: DataFrame, sketches: DataFrame, limit: int) -> DataFrame:
     )
 
 
+def _shingles(text: bytes, shingle: int) -> set:
+    words = space_words(text)
+    if len(words) < shingle:
+        return {tuple(words)} if words else set()
+    return set(zip(*(words[i:] for i in range(shingle))))
+
+
+def _similar(a: set, b: set, percent: int) -> bool:
+    if min(len(a), len(b)) * 100 < percent * max(len(a), len(b)):
+        return False
+    both = len(a & b)
+    return bool(a) and 100 * both >= percent * (len(a) + len(b) - both)
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Pairs (u, v) whose full sets have 100 * intersection >= percent * union."""
     chunks = pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / F.lit(CHUNK)).cast("long").alias("n")).select(F.col("v").alias("c"), "n")
@@ -116,12 +133,6 @@ def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
         .repartition("v", "chunk").sortWithinPartitions("v", "chunk", "role", "id")
     )
 
-    def shingles(text: bytes) -> set:
-        words = space_words(text)
-        if len(words) < shingle:
-            return {tuple(words)} if words else set()
-        return set(zip(*(words[i:] for i in range(shingle))))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, centre = None, []
         for batch in batches:
@@ -129,20 +140,144 @@ def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
             for v, chunk, role, u, text in zip(*(batch.column(i).to_pylist() for i in range(4)), texts(batch.column(4))):
                 if at != (v, chunk):
                     at, centre = (v, chunk), []
-                own = shingles(text)
+                own = _shingles(text, shingle)
                 if not role:
                     centre.append(own)
-                    continue
-                for other in centre:
-                    both = len(own & other)
-                    if own and 100 * both >= percent * (len(own) + len(other) - both):
-                        us.append(u), vs.append(v)
-                        break
+                elif any(_similar(own, other, percent) for other in centre):
+                    us.append(u), vs.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
     return rows.mapInArrow(run, "u long, v long")
 
 
+class _Union(dict):
+    """Union-find over whatever is asked for."""
+
+    def __missing__(self, x):
+        self[x] = x
+        return x
+
+    def root(self, x):
+        while self[x] != x:
+            self[x] = self[self[x]]
+            x = self[x]
+        return x
+
+    def join(self, x, y) -> bool:
+        x, y = self.root(x), self.root(y)
+        if x != y:
+            self[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], n_key: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Rows of sorted batches, block by block; a block's key is its first columns."""
+    key, rows = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if row[:n_key] != key:
+                if rows:
+                    yield key, rows
+                key, rows = row[:n_key], []
+            rows.append(row[n_key:])
+    if rows:
+        yield key, rows
+
+
+def _close(a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
+    """Matrix: which sketches of a and b differ in at most ``limit`` bits."""
+    return np.bitwise_count(a[:, None, :] ^ b[None, :, :]).sum(axis=2, dtype=np.int32) <= limit
+
+
+def _matrix(sketches: list) -> np.ndarray:
+    return np.array(sketches, np.int64).view(np.uint64).reshape(len(sketches), -1)
+
+
+def undecided(rows: DataFrame, sketches: DataFrame, limit: int, block: int = 512) -> DataFrame:
+    """Members that may be similar to one of another component in their bucket.
+
+    ``rows``: band, node, part, top (the bucket's largest part).  Members outside the
+    largest part meet all members, block by block, as sketches only; what comes out is a
+    row (node, part, root) per member and block, ``root`` joining the parts that met."""
+    held = rows.join(sketches.select(F.col("node").alias("k"), "sketch"), F.col("node") == F.col("k")).drop("k")
+    size = rows.groupBy("band").agg(
+        F.ceil(F.count_if(F.col("part") != F.col("top")) / F.lit(block)).cast("int").alias("na"),
+        F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("nb"),
+    ).withColumnRenamed("band", "s_band")
+    dealt = held.join(size, F.col("band") == F.col("s_band"))
+    mine_a, mine_b = F.pmod(F.xxhash64("node"), F.col("na")).cast("int"), F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = dealt.where("part <> top").select("band", mine_a.alias("a"), every("nb").alias("b"), F.lit(0).alias("role"), "node", "part", "sketch")
+    b = dealt.select("band", every("na").alias("a"), mine_b.alias("b"), F.lit(1).alias("role"), "node", "part", "sketch")
+    blocks = a.unionByName(b).repartition("band", "a", "b").sortWithinPartitions("band", "a", "b", "role", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, found in _blocks(batches, 3):
+            left, right = [r for r in found if r[0] == 0], [r for r in found if r[0] == 1]
+            if not left or not right:
+                continue
+            parts_l, parts_r = np.array([r[2] for r in left]), np.array([r[2] for r in right])
+            meet = _close(_matrix([r[3] for r in left]), _matrix([r[3] for r in right]), limit)
+            meet &= parts_l[:, None] != parts_r[None, :]
+            union, hit = _Union(), {}
+            for i, j in zip(*np.nonzero(meet)):
+                union.join(int(parts_l[i]), int(parts_r[j]))
+                hit[left[i][1]], hit[right[j][1]] = int(parts_l[i]), int(parts_r[j])
+            if hit:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(hit), pa.int64()), pa.array(list(hit.values()), pa.int64()), pa.array([union.root(p) for p in hit.values()], pa.int64())],
+                    names=["node", "part", "root"],
+                )
+
+    return blocks.mapInArrow(run, "node long, part long, root long")
+
+
+def settled(nodes: DataFrame, sketches: DataFrame, docs: DataFrame, limit: int, shingle: int, percent: int, block: int = CHUNK) -> DataFrame:
+    """Links (u, v) that join the parts of each cluster, tested on full sets.
+
+    ``nodes``: cluster, node, part.  A cluster's nodes meet in blocks of pairs of chunks;
+    each block tests the pairs of different parts whose sketches allow it and skips
+    parts that it has joined already.  Only links leave a block."""
+    size = nodes.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("n")).withColumnRenamed("cluster", "s_cluster")
+    dealt = nodes.join(size, F.col("cluster") == F.col("s_cluster")).withColumn("c", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
+    dealt = dealt.join(sketches.select(F.col("node").alias("k"), "sketch"), F.col("node") == F.col("k"))
+    read = docs.select(docs["doc_id"].cast("long").alias("t_id"), docs["text"].cast("string").alias("text"))
+    held = dealt.join(read, F.col("node") == F.col("t_id"))
+    other = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
+    blocks = held.select("cluster", "c", other.alias("o"), "node", "part", "sketch", "text").select(
+        "cluster", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "node", "part", "sketch", "text"
+    ).repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "c", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, i, j), found in _blocks(batches, 3):
+            parts = np.array([r[2] for r in found])
+            chunk = np.array([r[0] for r in found])
+            sketch = _matrix([r[3] for r in found])
+            meet = np.triu(_close(sketch, sketch, limit), 1) & (parts[:, None] != parts[None, :])
+            if i != j:  # pairs inside a chunk have a block of their own
+                meet &= chunk[:, None] != chunk[None, :]
+            sets: dict[int, set] = {}
+            own = lambda k: sets[k] if k in sets else sets.setdefault(k, _shingles((found[k][4] or "").encode(), shingle))
+            union, us, vs = _Union(), [], []
+            for x, y in zip(*map(np.ndarray.tolist, np.nonzero(meet))):
+                p, q = int(parts[x]), int(parts[y])
+                if union.root(p) != union.root(q) and _similar(own(x), own(y), percent):
+                    union.join(p, q)
+                    us.append(found[x][1]), vs.append(found[y][1])
+            if us:
+                yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+    return blocks.mapInArrow(run, "u long, v long")
+
+
+def _apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
+    """Pairs (u, v) whose ends are in different components."""
+    for end in ("u", "v"):
+        label = joined.select(F.col("node").alias("l"), F.col("component").alias(f"c_{end}"))
+        pairs = pairs.join(label, F.col(end) == F.col("l"), "left").drop("l")
+    return pairs.where(F.coalesce("c_u", "u") != F.coalesce("c_v", "v")).select("u", "v")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row per document."""
     sig = staged(signatures(docs, shingle), "near-signatures")
@@ -164,10 +299,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         "near-buckets",
     )
     star = buckets.where("node <> centre").select(F.col("node").alias("u"), F.col("centre").alias("v")).distinct()
-    links = staged(confirmed(_sketched(star, sketches, limit), docs, shingle, percent), "near-links")
+    star = staged(_sketched(star, sketches, limit), "near-star")
+    # first one centre for each, then the others where they could still join something
+    one = star.groupBy("u").agg(F.min("v").alias("v"))
+    links = staged(confirmed(one, docs, shingle, percent), "near-links")
+    joined = components(links)
+    apart = _apart(star.join(one.select(F.col("u").alias("o"), F.col("v").alias("p")), (F.col("u") == F.col("o")) & (F.col("v") == F.col("p")), "left_anti"), joined)
+    more = staged(confirmed(staged(apart, "near-apart"), docs, shingle, percent), "near-links2")
+    links = links.unionByName(more)
     joined = components(links)
 
-    # members of a bucket that are not in its largest component, against all others there
+    # what stars cannot see: members of a bucket that are still in different components
     label = joined.select(F.col("node").alias("l"), "component")
     placed = buckets.where("n > 2").join(label, F.col("node") == F.col("l"), "left").select(
         "band", "node", "centre", F.coalesce("component", "node").alias("part")
@@ -177,16 +319,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     mixed = sizes.groupBy("band").agg(F.max(F.struct("n", "part")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     mixed = mixed.select(F.col("band").alias("m"), F.col("top.part").alias("top"))
     rows = placed.join(mixed, F.col("band") == F.col("m")).where("node <> centre").select("band", "node", "part", "top")
-    rows = staged(rows, "near-mixed")
-    a = rows.where("part <> top").select(F.col("band").alias("ab"), F.col("node").alias("u"), F.col("part").alias("up"))
-    rest = (
-        a.join(rows, (F.col("ab") == F.col("band")) & (F.col("up") != F.col("part")))
-        .where("part = top OR u < node").select("u", F.col("node").alias("v")).distinct()
+    met = staged(undecided(staged(rows, "near-mixed"), sketches, limit), "near-undecided")
+    clusters = components(met.select(F.col("part").alias("u"), F.col("root").alias("v"))).select(F.col("node").alias("l"), F.col("component").alias("cluster"))
+    nodes = met.select("node", "part").distinct().join(clusters, F.col("part") == F.col("l"), "left").select(
+        F.coalesce("cluster", "part").alias("cluster"), "node", "part"
     )
-    rest = staged(_sketched(rest, sketches, limit), "near-rest")
-    if not rest.isEmpty():
-        more = staged(confirmed(rest, docs, shingle, percent), "near-more")
-        joined = components(links.unionByName(more))
+    last = staged(settled(staged(nodes, "near-clusters"), sketches, docs, limit, shingle, percent), "near-links3")
+    joined = components(links.unionByName(last))
 
     label = joined.select(F.col("node").alias("l"), "component")
     named = classes.join(label, F.col("node") == F.col("l"), "left").select("c_n", "c1", "c2", F.coalesce("component", "node").alias("class"))
