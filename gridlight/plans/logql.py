@@ -42,7 +42,7 @@ class LogEngine:
 
     # -- log queries -------------------------------------------------------------------
 
-    def logs(self, text: str, start: int, end: int, limit: int = 100, direction: str = "backward") -> DataFrame:
+    def logs(self, text: str, start: int, end: int, limit: int | None = 100, direction: str = "backward") -> DataFrame:
         """Rows ts, labels, key, line of the window (start, end], newest first by default."""
         tree = Q.parse(text)
         if not isinstance(tree, Q.Query):
@@ -50,9 +50,9 @@ class LogEngine:
         rows = self.pipeline(tree, self._scan(tree, start, end))
         rows = rows.select("ts", _final(F.col("labels")).alias("labels"), "line").withColumn("key", L.series_key(F.col("labels")))
         order = [F.col("ts").desc() if direction == "backward" else F.col("ts").asc(), "key", "line"]
-        return rows.orderBy(*order).limit(limit)
+        return rows.orderBy(*order) if limit is None else rows.orderBy(*order).limit(limit)
 
-    def streams(self, text: str, start: int, end: int, limit: int = 100, direction: str = "backward") -> DataFrame:
+    def streams(self, text: str, start: int, end: int, limit: int | None = 100, direction: str = "backward") -> DataFrame:
         """Log rows grouped by final label set: key, labels, entries (ts, line)."""
         rows = self.logs(text, start, end, limit, direction)
         entries = F.sort_array(F.collect_list(F.struct("ts", "line")), asc=direction != "backward")
