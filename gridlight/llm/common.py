@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -45,9 +46,26 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut and the
     rows survive lost executors."""
     spark = df.sparkSession
-    path = scratch(spark, name)
+    path, schema = scratch(spark, name), df.schema
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    # shuffle files go when the driver's JVM finds that nothing refers to them; a long
+    # chain of stages would otherwise keep all of them on the executors' disks
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
+
+
+#: Keys that may be broadcast, at most: 16 MB of longs.
+BROADCAST_KEYS = 2_000_000
+
+
+def having(df: DataFrame, on: Column, keys: DataFrame, key: str, anti: bool = False) -> DataFrame | None:
+    """Rows of ``df`` whose ``on`` is (or is not) among the distinct ``keys``, without a
+    shuffle of ``df``; None when there are too many keys to broadcast them."""
+    if keys.count() > BROADCAST_KEYS:
+        return None
+    return df.join(F.broadcast(keys.select(F.col(key).alias("_key"))), on == F.col("_key"), "left_anti" if anti else "left_semi")
 
 
 @atexit.register

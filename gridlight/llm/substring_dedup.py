@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import row_key, staged, table
+from .common import having, row_key, staged, table
 from .wordhash import finish, texts
 
 LENGTH = 200
@@ -126,27 +126,30 @@ def parse(docs: DataFrame) -> DataFrame:
 
 
 def _strings(wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """d, s, core, key (digest of the string), n (occurrences of its extent): a row per
+    """d, s, k1, k2 (128-bit digest of the string), n (occurrences of its extent): a row per
     string start.  Repeated rows of a text double only strings with n > 1, which are
     known to be repeated anyway."""
-    asked = wanted.groupBy("d").agg(F.collect_set(F.struct("lo", "hi", "core", "n")).alias("asked")).withColumnRenamed("d", "a_d")
+    asked = staged(wanted.groupBy("d").agg(F.collect_set(F.struct("lo", "hi", "n")).alias("asked")).withColumnRenamed("d", "a_d"), "span-asked")
     read = docs.select(row_key(docs).alias("d"), docs["text"].cast("string").alias("text"))
+    few = having(read, F.col("d"), asked, "a_d")
+    read = read if few is None else few
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ds, ss, cores, keys, ns = [], [], [], [], []
+            ds, ss, keys, ns = [], [], [], []
             for d, asked_of, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2))):
                 for a in asked_of:
                     for s in range(a["lo"], a["hi"] + 1):
-                        ds.append(d), ss.append(s), cores.append(a["core"]), ns.append(a["n"])
+                        ds.append(d), ss.append(s), ns.append(a["n"])
                         keys.append(hashlib.blake2b(text[s : s + LENGTH], digest_size=16).digest())
+            halves = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ds, pa.int64()), pa.array(ss, pa.int32()), pa.array(cores, pa.int64()), pa.array(keys, pa.binary()), pa.array(ns, pa.int64())],
-                names=["d", "s", "core", "key", "n"],
+                [pa.array(ds, pa.int64()), pa.array(ss, pa.int32()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), pa.array(ns, pa.int64())],
+                names=["d", "s", "k1", "k2", "n"],
             )
 
     joined = asked.join(read, F.col("a_d") == F.col("d")).select("d", "asked", "text")
-    return joined.mapInArrow(run, "d long, s int, core long, key binary, n long")
+    return joined.mapInArrow(run, "d long, s int, k1 long, k2 long, n long")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -161,10 +164,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     ).select("d", F.col("lo").alias("a"), (F.col("hi") + LENGTH).alias("b"))
 
     open_cores = extents.groupBy("core").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).where("k > 1 AND least = 1")
-    asked = extents.join(open_cores.select(F.col("core").alias("c")), F.col("core") == F.col("c")).select("core", "n", "one.*")
+    asked = extents.join(open_cores.select(F.col("core").alias("c")), F.col("core") == F.col("c")).select("n", "one.*")
     strings = staged(_strings(asked, docs), "span-strings")
-    twice = strings.groupBy("core", "key").agg(F.sum("n").alias("total")).where("total > 1").select(F.col("core").alias("c"), F.col("key").alias("k"))
-    single = strings.where("n = 1").join(twice, (F.col("core") == F.col("c")) & (F.col("key") == F.col("k")), "left_semi")
+    twice = strings.groupBy("k1", "k2").agg(F.sum("n").alias("total")).where("total > 1").select(F.col("k1").alias("a1"), F.col("k2").alias("a2"))
+    single = strings.where("n = 1").join(twice, (F.col("k1") == F.col("a1")) & (F.col("k2") == F.col("a2")), "left_semi")
     single = single.select("d", F.col("s").alias("a"), (F.col("s") + LENGTH).alias("b"))
     # one pass over a document's pieces in order; pieces that touch are one run
     merged = F.expr(
@@ -181,9 +184,14 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes)."""
-    spans = repeated_spans(docs).withColumnRenamed("d", "s_d")
+    spans = staged(repeated_spans(docs).withColumnRenamed("d", "s_d"), "span-runs")
     wide = docs.select(docs["doc_id"].cast("long").alias("doc_id"), row_key(docs).alias("d"), docs["text"].cast("string").alias("text"))
-    joined = wide.join(spans, F.col("d") == F.col("s_d"), "left").select("doc_id", "text", "spans")
+    touched, whole = having(wide, F.col("d"), spans, "s_d"), having(wide, F.col("d"), spans, "s_d", anti=True)
+    if touched is None or whole is None:
+        joined = wide.join(spans, F.col("d") == F.col("s_d"), "left").select("doc_id", "text", "spans")
+    else:  # texts without a span need not be shuffled
+        joined = touched.join(spans, F.col("d") == F.col("s_d")).select("doc_id", "text", "spans")
+        joined = joined.unionByName(whole.select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
