@@ -150,7 +150,7 @@ def attrs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("t"), F.col("l_orderkey").cast("string")).alias("trace_id"), sid.alias("span_id"),
         F.explode(F.array(
             F.struct(F.lit("span").alias("scope"), F.lit("qty").alias("key"), qty.cast("string").alias("val"), qty.cast("double").alias("val_num")),
-            F.struct(F.lit("span"), F.lit("flag"), F.col("l_returnflag"), F.lit(None).cast("double")),
+            F.struct(F.lit("span").alias("scope"), F.lit("flag").alias("key"), F.col("l_returnflag").alias("val"), F.lit(None).cast("double").alias("val_num")),
         )).alias("a"),
     )
     root = o.select(
