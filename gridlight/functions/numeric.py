@@ -36,6 +36,11 @@ def mod(a: Column, b: Column) -> Column:
     return F.when((b == 0) | F.isnan(a) | F.isnan(b), const(NAN)).otherwise(F.try_mod(a, b))
 
 
+def whole_div(a: Column, b: int) -> Column:
+    """Quotient of two integers without a detour over doubles (nanoseconds exceed them)."""
+    return F.call_function("div", a, F.lit(b))
+
+
 ARITHMETIC: dict[str, Callable[[Column, Column], Column]] = {
     "+": lambda a, b: a + b,
     "-": lambda a, b: a - b,

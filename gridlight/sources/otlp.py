@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
+from ..functions import numeric as N
 
 _VALUE = "struct<stringValue: string, intValue: string, doubleValue: double, boolValue: boolean>"
 _ATTR = f"array<struct<key: string, value: {_VALUE}>>"
@@ -104,7 +105,7 @@ def otlp_metrics(df: DataFrame) -> DataFrame:
         rows = m.where(F.col(f"m.{kind}").isNotNull()).where(where)
         return rows.select("res", "m", F.explode(f"m.{kind}.dataPoints").alias("p"))
 
-    ts = (F.col("p.timeUnixNano").cast("long") / F.lit(10**6)).cast("long")
+    ts = N.whole_div(F.col("p.timeUnixNano").cast("long"), 10**6)
     columns = lambda n, labels, v: [n.alias("metric"), labels.alias("labels"), ts.alias("ts"), v.cast("double").alias("value")]
     number = F.coalesce(F.col("p.asDouble"), F.col("p.asInt").cast("double"))
     cumulative = "coalesce(m.{0}.aggregationTemporality, 2) = 2"
@@ -190,5 +191,5 @@ def new_series(seen: DataFrame, known: DataFrame) -> DataFrame:
 
 def write_by_day(df: DataFrame, path: str, ts: str, per_second: int, sort: list[str]) -> None:
     """Append rows partitioned by day and sorted for pruning by identity and time."""
-    day = F.to_date(F.timestamp_seconds((F.col(ts) - F.pmod(ts, F.lit(per_second))) / per_second))
+    day = F.to_date(F.timestamp_seconds(N.whole_div(F.col(ts), per_second)))
     df.withColumn("day", day).repartition("day").sortWithinPartitions(*sort).write.mode("append").partitionBy("day").parquet(path)

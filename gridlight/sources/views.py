@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
+from ..functions.numeric import whole_div
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +22,7 @@ def micros(ts: Column) -> Column:
 
 
 def millis(ts: Column) -> Column:
-    return F.expr("0L") + (micros(ts) - F.pmod(micros(ts), F.lit(1000))) / 1000
+    return whole_div(micros(ts), 1000)
 
 
 def _series(df: DataFrame, metric: str, labels: dict[str, Column], ts: Column, value: Column) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.numeric import whole_div
 from ..operators import catalog
 from ..plans import logql_parser as Q
 from ..plans.logql import LogEngine
@@ -39,7 +40,7 @@ def tail(stream: DataFrame, text: str, sink: Callable[[DataFrame, int], None], c
 
 
 def _tumbling(stream: DataFrame, every: str, late: str) -> tuple[DataFrame, object]:
-    timed = stream.withColumn("at", F.timestamp_micros((F.col("ts") - F.pmod("ts", F.lit(1000))) / 1000)).withWatermark("at", late)
+    timed = stream.withColumn("at", F.timestamp_micros(whole_div(F.col("ts"), 1000))).withWatermark("at", late)
     return timed, F.window("at", every)
 
 
