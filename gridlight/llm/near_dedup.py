@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import having, staged, table
 from .components import components
 from .wordhash import WordIds, finish, grams, space_words, texts
 
@@ -117,6 +117,14 @@ def _similar(a: set, b: set, percent: int) -> bool:
     return bool(a) and 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def _texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """t_id and text; of the documents in ``ids`` only, where these can be broadcast, so
+    that a join need not shuffle all texts."""
+    read = docs.select(docs["doc_id"].cast("long").alias("t_id"), docs["text"].cast("string").alias("text"))
+    few = having(read, F.col("t_id"), ids.distinct(), "id")
+    return read if few is None else few
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Pairs (u, v) whose full sets have 100 * intersection >= percent * union."""
     chunks = pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / F.lit(CHUNK)).cast("long").alias("n")).select(F.col("v").alias("c"), "n")
@@ -126,7 +134,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
         .unionByName(dealt.select(F.col("v").alias("id"), "v", "chunk", F.lit(0).alias("role")).distinct()),
         "near-pairs",
     )
-    read = docs.select(docs["doc_id"].cast("long").alias("t_id"), docs["text"].cast("string").alias("text"))
+    read = _texts_of(wanted.select("id"), docs)
     rows = (
         wanted.join(read, F.col("id") == F.col("t_id"))
         .select("v", "chunk", "role", "id", "text")
@@ -241,7 +249,7 @@ def settled(nodes: DataFrame, sketches: DataFrame, docs: DataFrame, limit: int,
     size = nodes.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("n")).withColumnRenamed("cluster", "s_cluster")
     dealt = nodes.join(size, F.col("cluster") == F.col("s_cluster")).withColumn("c", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
     dealt = dealt.join(sketches.select(F.col("node").alias("k"), "sketch"), F.col("node") == F.col("k"))
-    read = docs.select(docs["doc_id"].cast("long").alias("t_id"), docs["text"].cast("string").alias("text"))
+    read = _texts_of(nodes.select(F.col("node").alias("id")), docs)
     held = dealt.join(read, F.col("node") == F.col("t_id"))
     other = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
     blocks = held.select("cluster", "c", other.alias("o"), "node", "part", "sketch", "text").select(
