@@ -11,7 +11,8 @@ aggregate with map-side sums that a hot phrase cannot overload:
 1. dictionary of cores: a core that occurs once has no repeated string;
 2. dictionary of extents: where an extent occurs twice, all its strings do;
 3. only where one core has extents that differ, the single strings are compared, one
-   representative per extent, by 128-bit digests of their bytes.
+   representative per extent: in memory for cores with up to ``GROUP`` extents, and by an
+   aggregate over 128-bit digests of all their strings for the rest.
 
 Defined results: null text is empty; texts below 200 bytes keep everything; repeated
 rows count as occurrences of each other; null ids are kept; an empty table gives no
@@ -34,6 +35,9 @@ from .wordhash import finish, texts
 LENGTH = 200
 GRAM, REACH = 12, 121
 CORE = LENGTH - REACH + 1
+#: Extents of one core that a task compares in memory; more are compared by aggregates.
+GROUP = 16_384
+_WIDE = LENGTH + REACH
 #: String starts handled at once, for bounded memory on very long texts.
 SEGMENT = 1 << 19
 
@@ -125,15 +129,83 @@ def parse(docs: DataFrame) -> DataFrame:
     return found.select("d", F.explode("p").alias("p")).select("d", "p.*")
 
 
+def _asked_texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """d, asked (the wanted ranges of a text), text: a row per text that has any."""
+    fields = [c for c in wanted.columns if c != "d"]
+    asked = staged(wanted.groupBy("d").agg(F.collect_set(F.struct(*fields)).alias("asked")).withColumnRenamed("d", "a_d"), "span-asked")
+    read = docs.select(row_key(docs).alias("d"), docs["text"].cast("string").alias("text"))
+    few = having(read, F.col("d"), asked, "a_d")
+    return asked.join(read if few is None else few, F.col("a_d") == F.col("d")).select("d", "asked", "text")
+
+
+def _repeated_runs(core: list, n: list, pieces: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first, last): runs of string starts in pieces that occur once as extents and
+    whose strings occur elsewhere among the pieces of their core."""
+    t = _setup()
+    size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    bytes_ = np.zeros((len(pieces), _WIDE), np.uint8)
+    for k, piece in enumerate(pieces):
+        bytes_[k, : len(piece)] = np.frombuffer(piece, np.uint8)
+    total = np.zeros((len(pieces), _WIDE + 1), np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum(t["byte"][bytes_] * t["power"][:_WIDE], axis=1, out=total[:, 1:])
+        h = (total[:, LENGTH:] - total[:, : REACH + 1]) * t["inverse"][: REACH + 1]
+        h = finish(h ^ finish(np.array(core, np.int64).view(np.uint64))[:, None])
+    there = np.arange(REACH + 1) <= (size - LENGTH)[:, None]
+    times = np.array(n, np.float64)
+    _, group = np.unique(h[there], return_inverse=True)
+    often = np.bincount(group, np.repeat(times, there.sum(axis=1)))[group] > 1
+    hit = np.zeros_like(there)
+    hit[there] = often
+    hit &= (times == 1)[:, None]
+    edge = np.zeros((len(pieces), 1), bool)
+    row, first = np.nonzero(hit & ~np.hstack([edge, hit[:, :-1]]))
+    _, last = np.nonzero(hit & ~np.hstack([hit[:, 1:], edge]))
+    return row, first, last
+
+
+def _compared(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """d, a, b: bytes covered by repeated strings of the wanted extents (core, n, d, lo, hi),
+    found core by core among the extents' bytes."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: tuple[list, ...] = ([], [], [], [], [])
+            for d, asked, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2))):
+                for a in asked:
+                    for held, x in zip(out, (a["core"], d, a["lo"], a["n"], text[a["lo"] : a["hi"] + LENGTH])):
+                        held.append(x)
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["core", "d", "lo", "n", "piece"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            core, d, lo, n, piece = zip(*held)
+            row, first, last = _repeated_runs(list(core), list(n), list(piece))
+            d, lo = np.array(d, np.int64)[row], np.array(lo, np.int64)[row]
+            held.clear()
+            return pa.RecordBatch.from_arrays(
+                [pa.array(d), pa.array((lo + first).astype(np.int32)), pa.array((lo + last + LENGTH).astype(np.int32))], names=["d", "a", "b"]
+            )
+
+        for batch in batches:
+            for r in zip(*(c.to_pylist() for c in batch.columns)):
+                if len(held) >= 4096 and held[-1][0] != r[0]:
+                    yield flush()
+                held.append(r)
+        if held:
+            yield flush()
+
+    pieces = _asked_texts(wanted, docs).mapInArrow(cut, "core long, d long, lo int, n long, piece binary")
+    return pieces.repartition("core").sortWithinPartitions("core").mapInArrow(compare, "d long, a int, b int")
+
+
 def _strings(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     """d, s, k1, k2 (128-bit digest of the string), n (occurrences of its extent): a row per
     string start.  Repeated rows of a text double only strings with n > 1, which are
     known to be repeated anyway."""
-    asked = staged(wanted.groupBy("d").agg(F.collect_set(F.struct("lo", "hi", "n")).alias("asked")).withColumnRenamed("d", "a_d"), "span-asked")
-    read = docs.select(row_key(docs).alias("d"), docs["text"].cast("string").alias("text"))
-    few = having(read, F.col("d"), asked, "a_d")
-    read = read if few is None else few
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ds, ss, keys, ns = [], [], [], []
@@ -148,11 +220,10 @@ def _strings(wanted: DataFrame, docs: DataFrame) -> DataFrame:
                 names=["d", "s", "k1", "k2", "n"],
             )
 
-    joined = asked.join(read, F.col("a_d") == F.col("d")).select("d", "asked", "text")
-    return joined.mapInArrow(run, "d long, s int, k1 long, k2 long, n long")
+    return _asked_texts(wanted, docs).mapInArrow(run, "d long, s int, k1 long, k2 long, n long")
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def repeated_spans(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """d and ``spans``: the maximal runs [from, to) of bytes covered by repeated strings."""
     cores = parse(docs).groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("core").alias("c"))
     held = staged(parse(docs).join(cores, F.col("core") == F.col("c")).select("d", "lo", "hi", "core", "extent"), "span-phrases")
@@ -164,8 +235,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     ).select("d", F.col("lo").alias("a"), (F.col("hi") + LENGTH).alias("b"))
 
     open_cores = extents.groupBy("core").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).where("k > 1 AND least = 1")
-    asked = extents.join(open_cores.select(F.col("core").alias("c")), F.col("core") == F.col("c")).select("n", "one.*")
-    strings = staged(_strings(asked, docs), "span-strings")
+    asked = extents.join(open_cores.select(F.col("core").alias("c"), "k"), F.col("core") == F.col("c")).select("core", "n", "k", "one.*")
+    asked = staged(asked, "span-open")
+    few, many = asked.where(F.col("k") <= group).drop("k"), asked.where(F.col("k") > group).drop("k", "core")
+    near = staged(_compared(few, docs), "span-near")
+    strings = staged(_strings(many, docs), "span-strings")
     twice = strings.groupBy("k1", "k2").agg(F.sum("n").alias("total")).where("total > 1").select(F.col("k1").alias("a1"), F.col("k2").alias("a2"))
     single = strings.where("n = 1").join(twice, (F.col("k1") == F.col("a1")) & (F.col("k2") == F.col("a2")), "left_semi")
     single = single.select("d", F.col("s").alias("a"), (F.col("s") + LENGTH).alias("b"))
@@ -177,14 +251,14 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         "r -> concat(r.done, array(named_struct('a', r.a, 'b', r.b))))"
     )
     return (
-        whole.unionByName(single).groupBy("d").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("pieces"))
+        whole.unionByName(near).unionByName(single).groupBy("d").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("pieces"))
         .select("d", merged.alias("spans"))
     )
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes)."""
-    spans = staged(repeated_spans(docs).withColumnRenamed("d", "s_d"), "span-runs")
+    spans = staged(repeated_spans(docs, group).withColumnRenamed("d", "s_d"), "span-runs")
     wide = docs.select(docs["doc_id"].cast("long").alias("doc_id"), row_key(docs).alias("d"), docs["text"].cast("string").alias("text"))
     touched, whole = having(wide, F.col("d"), spans, "s_d"), having(wide, F.col("d"), spans, "s_d", anti=True)
     if touched is None or whole is None:

@@ -188,6 +188,7 @@ def test_substring_dedup(docs, rows, empty):
         runs = sum(1 for i in range(len(t)) if gone[i] and (not i or not gone[i - 1]))
         want.append((doc, len(t), sum(gone), runs, hashlib.sha256(kept).hexdigest()))
     _same(substring_dedup.remove_repeats(docs).drop("kept").collect(), want)
+    _same(substring_dedup.remove_repeats(docs, group=2).drop("kept").collect(), want)  # by aggregates
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
