@@ -484,7 +484,8 @@ class Engine:
             arity(0, 1)
             x = self._vector(args[0], grid, depth) if args else self._as_vector(Scalar(F.col("step") / 1000), grid)
             whole = F.when(F.isnan(v) | (F.abs(v) > 8.2e12), None).otherwise(N.floor(v))
-            at = F.timestamp_seconds(whole.cast("long"))
+            # UTC civil time, whatever zone the session has
+            at = F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.timestamp_seconds(whole.cast("long")).cast("timestamp_ntz"))
             return self._map(x, F.coalesce(_DATES[fn](at).cast("double"), N.const(N.NAN)))
         if fn == "scalar":
             arity(1)
