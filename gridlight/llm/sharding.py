@@ -5,7 +5,8 @@ each bucket into one array, puts it in a canonical order, applies Spark's seeded
 Fisher-Yates ``shuffle`` to it and numbers the rows.  Bucket sizes, summed before
 their bucket, turn these numbers into positions of one random permutation of the
 corpus, and shard s takes positions ceil(s*N/K) .. ceil((s+1)*N/K)-1: the ``rows``
-law (counts differ by one at most), slots without gaps.
+law (counts differ by one at most), slots without gaps.  The query shards whole
+records, writes the shards and takes its result from what it reads back from them.
 
 A bucket is bounded by ``bucket_bytes``/``bucket_rows`` on average; the hash is over
 id, size and checksum, so copies with ids of their own spread evenly, whatever the
@@ -23,7 +24,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import body, staged, table
+from .common import body, scratch, staged, table
 
 N_SHARDS = 40
 SEED = 20_240_607
@@ -50,7 +51,7 @@ def shard(
 ) -> DataFrame:
     """``payload`` columns of each record with size, text_crc32, law, shard, slot and
     grown_shard (null under this law)."""
-    payload = tuple(c for c in payload if c not in OUT)
+    payload = tuple(c for c in payload if c.lower() not in OUT)
     size, crc = _facts(records)
     ids = staged(records.select(records["doc_id"], size, crc), "shard-ids")
     total = ids.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
@@ -103,14 +104,28 @@ def shard(
 
 
 def write_shards(placed: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
-    """Write placed records as Parquet, one folder per shard, in slot order inside files."""
-    piece = F.expr(f"slot DIV {rows_per_file}L")
+    """Write placed records as Parquet, one folder per shard, in slot order inside files.
+
+    Pass 2 leaves each task whole runs of positions, so no further shuffle is needed.
+    """
     (
-        placed.withColumn("piece", piece).repartition("shard", "piece")
-        .sortWithinPartitions("shard", "slot").drop("piece")
-        .write.partitionBy("shard").parquet(path)
+        placed.sortWithinPartitions("shard", "slot")
+        .write.option("maxRecordsPerFile", rows_per_file).partitionBy("shard").parquet(path)
+    )
+
+
+def stored(records: DataFrame, **sizes: int) -> DataFrame:
+    """Shard whole records, write the shards and describe each record as read back."""
+    spark = records.sparkSession
+    payload = tuple(c for c in records.columns if c.lower() not in OUT)
+    placed = shard(records, payload=payload, **sizes).select(*payload, "shard", "slot")
+    path, schema = scratch(spark, "shards"), placed.schema
+    write_shards(placed, path)
+    found = spark.read.schema(schema).parquet(path)
+    return found.select(
+        "doc_id", *_facts(found), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shard(table(spark, sf_dir, "documents"))
+    return stored(table(spark, sf_dir, "documents"))

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from gridlight.llm import (
     decontaminate, host_rules, license_scan, near_dedup, quality_model, sharding, source_mix, substring_dedup, token_prefix, warc,
@@ -156,6 +157,35 @@ def test_sharding(docs, rows, empty, payload):
     assert sharding.shard(empty, payload=payload).count() == 0
 
 
+def test_sharding_writes_records(spark, rows, tmp_path, monkeypatch):
+    kept, written, write = ["doc_id", "text", "lang", "source", "n_chars"], [], sharding.write_shards
+
+    def changed(placed, path):
+        written.append(path)
+        write(placed.withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit("!"))), path)
+
+    monkeypatch.setattr(sharding, "write_shards", changed)
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = sharding.op4_sharding(spark, f"file://{tmp_path}").collect()
+    # the result is that of the records in the shards
+    facts = lambda t: (len((t or "").encode()) + 17, zlib.crc32((t or "").encode() + b"!"))
+    assert len(written) == 1 and Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((r[0], *facts(r[1])) for r in rows)
+    stored = spark.read.parquet(written[0]).collect()
+    assert Counter(tuple(r[c] for c in kept if c != "text") for r in stored) == Counter((r[0], *r[2:5]) for r in rows)
+    assert Counter((r.doc_id, r.shard, r.slot) for r in stored) == Counter((r.doc_id, r.shard, r.slot) for r in got)
+
+    monkeypatch.setattr(sharding, "write_shards", lambda placed, path: (written.append(path), write(placed, path, 3)))
+    docs = spark.read.parquet(f"file://{tmp_path}/documents.parquet")
+    got = sharding.stored(docs, n_shards=7, bucket_bytes=20_000).collect()
+    files = defaultdict(list)
+    for r in spark.read.parquet(written[1]).withColumn("file", F.input_file_name()).collect():
+        files[r.shard, r.file].append(r)
+    assert all(len(f) <= 3 and [r.slot for r in f] == sorted(r.slot for r in f) for f in files.values())
+    assert Counter(tuple(r[c] for c in kept) for f in files.values() for r in f) == Counter(r[:5] for r in rows)
+    assert Counter((r.doc_id, r.shard, r.slot) for f in files.values() for r in f) == Counter((r.doc_id, r.shard, r.slot) for r in got)
+    assert sharding.stored(docs.limit(0)).count() == 0
+
+
 def test_host_rules(docs, rows, empty):
     facts = []
     for doc, text, _, source, *_ in rows:
