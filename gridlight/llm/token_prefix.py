@@ -7,7 +7,8 @@ tokens).  Its count is the shorter prefix's count plus one.  A text's table is t
 running sum over pre-tokens plus the table inside the current one, so the count of
 any prefix, the longest prefix within a budget and the total need no second encoding.
 
-Totals per pre-token are remembered per Python worker up to a bound.
+Totals per pre-token are remembered per Python worker up to a number of entries and of
+characters; of a text, the table of the pre-token last cut into is kept.
 
 Defined results: null text is empty (0 bytes, 0 tokens); special strings inside a
 text count as the one added token, as the library has it by default; repeated rows
@@ -53,6 +54,7 @@ class PrefixTokenizer:
         self.special = {t["content"] for t in model["added_tokens"]}
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pattern = regex.compile(PATTERN)
+        self.white = regex.compile(r"\s")
         self.alone: dict[bytes, bool] = {}
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
         self.remember = 2 * remember
@@ -140,16 +142,20 @@ class PrefixTokenizer:
 
 
 class _Totals(dict):
-    def __init__(self, owner: PrefixTokenizer, limit: int):
+    def __init__(self, owner: PrefixTokenizer, limit: int, max_chars: int = 16_000_000):
         super().__init__({s: 1 for s in owner.special})
-        self.owner, self.limit = owner, limit
+        self.owner, self.limit, self.max_chars, self.chars = owner, limit, max_chars, 0
 
     def __missing__(self, piece: str) -> int:
         total = self.owner.total(piece.encode("utf-8"))
-        if len(self) >= self.limit:
+        if len(piece) > self.max_chars:
+            return total
+        if len(self) >= self.limit or self.chars + len(piece) > self.max_chars:
             self.clear()
             self.update({s: 1 for s in self.owner.special})
+            self.chars = 0
         self[piece] = total
+        self.chars += len(piece)
         return total
 
 
@@ -170,20 +176,51 @@ class PrefixCounts:
             self._at = [0, *accumulate(map(len, self.pieces))]
         return self._at
 
+    def _white(self, k: int) -> bool:
+        """Whether pre-token k is white space; it is all or not at its end."""
+        piece = self.pieces[k]
+        return piece not in self.tokenizer.special and self.tokenizer.white.match(piece[-1]) is not None
+
+    def _inside(self, start: int, end: int) -> list[int]:
+        """Tokens of text[start:start], text[start:start + 1], ..., text[start:end], which
+        are one pre-token each; the last such table is kept."""
+        if getattr(self, "_held", (None,))[0] != (start, end):
+            piece = self.text[start:end]
+            table = self.tokenizer.table(piece.encode("utf-8"))
+            if not piece.isascii():
+                table = [table[i] for i in accumulate((len(c.encode("utf-8")) for c in piece), initial=0)]
+            self._held = ((start, end), table)
+        return self._held[1]
+
     def at(self, chars: int) -> int:
-        """Tokens of text[:chars].  Only pre-tokens that the cut can reshape, the one it
-        falls into and what stands just before, are looked at again."""
+        """Tokens of text[:chars]: the sum before the pre-token that the cut falls into, and
+        that one's table.  White space that ends at the cut closes up to one pre-token; the
+        parts of a special string or a contraction are split anew."""
         if chars <= 0:
             return 0
-        starts = self._starts()
+        starts, pieces, special = self._starts(), self.pieces, self.tokenizer.special
         k = bisect_right(starts, chars - 1) - 1
-        if starts[k + 1] == chars and not self.pieces[k].isspace():
+        piece, white = pieces[k], self._white(k)
+        if starts[k + 1] == chars and not white:
             return self.tokens[k + 1]
-        if k and self.pieces[k] in self.tokenizer.special:
-            k -= 1  # part of a special string is ordinary text
-        while k and self.text[starts[k] : chars].isspace() and self.pieces[k - 1].isspace():
-            k -= 1
-        return self.tokens[k] + self.tokenizer.count(self.text[starts[k] : chars])
+        if piece in special:
+            k = max(k - 1, 0)  # part of a special string is ordinary text
+            while k and self._white(k) and self._white(k - 1):
+                k -= 1
+            return self.tokens[k] + self.tokenizer.count(self.text[starts[k] : chars])
+        if white or chars - starts[k] == 1 and piece[0] == " ":
+            last = k
+            while k and self._white(k - 1):
+                k -= 1
+            while last < len(pieces) and self._white(last):
+                last += 1
+            end = starts[last]
+            if last < len(pieces) and pieces[last] not in special and pieces[last][0] == " ":
+                end += 1
+            return self.tokens[k] + self._inside(starts[k], end)[chars - starts[k]]
+        if piece[0] == "'" and piece[1].isalpha():
+            return self.tokens[k] + self.tokenizer.count(self.text[starts[k] : chars])
+        return self.tokens[k] + self._inside(starts[k], starts[k + 1])[chars - starts[k]]
 
     def fit(self, budget: int) -> int:
         """Length of the longest prefix of at most ``budget`` tokens."""
@@ -194,7 +231,7 @@ class PrefixCounts:
         # a cut further on can only save tokens inside the pre-token after it, or where
         # white space that the cut ends closes up
         ahead = min(k + 1, len(self.pieces))
-        while ahead < len(self.pieces) and self.pieces[ahead - 1].isspace():
+        while ahead < len(self.pieces) and self._white(ahead - 1):
             ahead += 1
         for chars in range(starts[ahead], starts[k], -1):
             if self.at(chars) <= budget:

@@ -320,6 +320,26 @@ def test_token_prefixes(library):
             assert mine.fit(budget) == max(p for p, n in enumerate(table) if n <= budget)
 
 
+def test_token_prefix_tables(library, monkeypatch):
+    path, theirs = library
+    own, built = token_prefix.PrefixTokenizer(path), []
+    table = own.table
+    monkeypatch.setattr(own, "table", lambda word: built.append(word) or table(word))
+    for part, tail in (("=", ""), ("=-", " end"), (" ", "x"), ("\n", ""), (" \t", " y"), ("中é", "."), ("ab", "'ll"), ("\x1c", "a")):
+        text = "start" + part * (400 // len(part)) + tail
+        want = [len(theirs.encode(text[:p], add_special_tokens=False).ids) for p in range(len(text) + 1)]
+        built.clear()
+        mine = token_prefix.PrefixCounts(own, text)
+        for budget in (1, 2, 4, 9, 50):
+            assert mine.fit(budget) == max(p for p, n in enumerate(want) if n <= budget)
+        assert [mine.at(p) for p in range(len(text) + 1)] == want
+        assert len(built) <= 16, "a table for each pre-token, not for each cut"
+    assert own.totals.chars == sum(map(len, own.totals)) - sum(map(len, own.special)) < 5000
+    few = token_prefix._Totals(own, 100, max_chars=50)
+    assert [few["b" * n] for n in range(1, 60)] == [own.total(b"b" * n) for n in range(1, 60)]
+    assert sum(map(len, few)) <= 50 + sum(map(len, own.special))
+
+
 def test_decontaminate(spark, docs, rows, empty):
     passage = next(r[1] for r in rows if r[1] and len(r[1].split()) == 120 and r[0] == 21)
     items = [(1, " ".join(passage.split()[30:70])), (2, "Two, WORDS"), (3, None), (4, "..."), (10, " ".join(passage.split()[40:58])), (None, "one"), (5, "one")]
