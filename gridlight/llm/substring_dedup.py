@@ -38,6 +38,8 @@ CORE = LENGTH - REACH + 1
 #: Extents of one core that a task compares in memory; more are compared by aggregates.
 GROUP = 16_384
 _WIDE = LENGTH + REACH
+#: Pieces whose strings are hashed at once, and pieces or strings of one batch handed on.
+SLICE, HANDED = 1024, 16_384
 #: String starts handled at once, for bounded memory on very long texts.
 SEGMENT = 1 << 19
 
@@ -143,14 +145,17 @@ def _repeated_runs(core: list, n: list, pieces: list) -> tuple[np.ndarray, np.nd
     whose strings occur elsewhere among the pieces of their core."""
     t = _setup()
     size = np.fromiter(map(len, pieces), np.int64, len(pieces))
-    bytes_ = np.zeros((len(pieces), _WIDE), np.uint8)
-    for k, piece in enumerate(pieces):
-        bytes_[k, : len(piece)] = np.frombuffer(piece, np.uint8)
-    total = np.zeros((len(pieces), _WIDE + 1), np.uint64)
-    with np.errstate(over="ignore"):
-        np.cumsum(t["byte"][bytes_] * t["power"][:_WIDE], axis=1, out=total[:, 1:])
-        h = (total[:, LENGTH:] - total[:, : REACH + 1]) * t["inverse"][: REACH + 1]
-        h = finish(h ^ finish(np.array(core, np.int64).view(np.uint64))[:, None])
+    h = np.empty((len(pieces), REACH + 1), np.uint64)
+    for at in range(0, len(pieces), SLICE):
+        part = pieces[at : at + SLICE]
+        bytes_ = np.zeros((len(part), _WIDE), np.uint8)
+        for k, piece in enumerate(part):
+            bytes_[k, : len(piece)] = np.frombuffer(piece, np.uint8)
+        total = np.zeros((len(part), _WIDE + 1), np.uint64)
+        with np.errstate(over="ignore"):
+            np.cumsum(t["byte"][bytes_] * t["power"][:_WIDE], axis=1, out=total[:, 1:])
+            own = (total[:, LENGTH:] - total[:, : REACH + 1]) * t["inverse"][: REACH + 1]
+            h[at : at + SLICE] = finish(own ^ finish(np.array(core[at : at + SLICE], np.int64).view(np.uint64))[:, None])
     there = np.arange(REACH + 1) <= (size - LENGTH)[:, None]
     times = np.array(n, np.float64)
     _, group = np.unique(h[there], return_inverse=True)
@@ -169,14 +174,23 @@ def _compared(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     found core by core among the extents' bytes."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: tuple[list, ...] = ([], [], [], [], [])
+
+        def handed() -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+            found = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["core", "d", "lo", "n", "piece"])
+            for held in out:
+                held.clear()
+            return found
+
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for d, asked, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2))):
-                for a in asked:
+            for d, asked, text in zip(batch.column(0).to_pylist(), batch.column(1), texts(batch.column(2))):
+                for a in asked.as_py():
                     for held, x in zip(out, (a["core"], d, a["lo"], a["n"], text[a["lo"] : a["hi"] + LENGTH])):
                         held.append(x)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["core", "d", "lo", "n", "piece"])
+                if len(out[0]) >= HANDED:
+                    yield handed()
+        yield handed()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -207,18 +221,27 @@ def _strings(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     string start.  Repeated rows of a text double only strings with n > 1, which are
     known to be repeated anyway."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ds, ss, keys, ns = [], [], [], []
-            for d, asked_of, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2))):
-                for a in asked_of:
-                    for s in range(a["lo"], a["hi"] + 1):
-                        ds.append(d), ss.append(s), ns.append(a["n"])
-                        keys.append(hashlib.blake2b(text[s : s + LENGTH], digest_size=16).digest())
+        ds, ss, keys, ns = [], [], [], []
+
+        def handed() -> pa.RecordBatch:
             halves = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays(
+            found = pa.RecordBatch.from_arrays(
                 [pa.array(ds, pa.int64()), pa.array(ss, pa.int32()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), pa.array(ns, pa.int64())],
                 names=["d", "s", "k1", "k2", "n"],
             )
+            for held in (ds, ss, keys, ns):
+                held.clear()
+            return found
+
+        for batch in batches:
+            for d, asked_of, text in zip(batch.column(0).to_pylist(), batch.column(1), texts(batch.column(2))):
+                for a in asked_of.as_py():
+                    for s in range(a["lo"], a["hi"] + 1):
+                        ds.append(d), ss.append(s), ns.append(a["n"])
+                        keys.append(hashlib.blake2b(text[s : s + LENGTH], digest_size=16).digest())
+                    if len(ds) >= HANDED:
+                        yield handed()
+        yield handed()
 
     return _asked_texts(wanted, docs).mapInArrow(run, "d long, s int, k1 long, k2 long, n long")
 

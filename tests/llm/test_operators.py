@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -250,6 +251,20 @@ def _components(sets: dict, percent: int = 80) -> dict:
     return {i: root(i) for i in ids}
 
 
+def test_repeated_runs_memory():
+    rng = random.Random(8)
+    shared = rng.randbytes(260)
+    pieces = [rng.randbytes(30) + shared[k % 40 : k % 40 + 205] + rng.randbytes(20) for k in range(12_000)]
+    core = [k // 6000 for k in range(12_000)]
+    tracemalloc.start()
+    row, first, last = substring_dedup._repeated_runs(core, [1] * len(pieces), pieces)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # strings of the shared bytes occur twice, those with a few bytes around them by chance
+    assert row.tolist() == list(range(12_000)) and all(24 < a <= 30 and 35 <= b < 41 for a, b in zip(first, last))
+    assert peak < 90e6
+
+
 @pytest.mark.parametrize("shingle", [4, 5])
 def test_near_duplicates(docs, rows, empty, shingle):
     size, sets = {}, {}
