@@ -30,13 +30,45 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _keep(docs, scored.where("predicted = 1"))
 
 
+def _odd_keys(docs: DataFrame) -> DataFrame | None:
+    """o_id, o_rid, o_node: a node of its own, no document's id, for each (id, text) that an
+    id does not name: rows without id, and ids that several texts share.  None: there are none."""
+    keys = staged(docs.select(docs["doc_id"].cast("long").alias("o_id"), row_key(docs).alias("o_rid")).distinct(), "pipeline-keys")
+    shared = keys.where("o_id IS NOT NULL").groupBy("o_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("o_id").alias("s_id"))
+    odd = keys.join(shared, F.col("o_id") == F.col("s_id"), "left_semi").unionByName(keys.where("o_id IS NULL"))
+    odd = staged(odd, "pipeline-odd")
+    n = odd.count()
+    if not n:
+        return None
+    least, most = keys.agg(F.coalesce(F.min("o_id"), F.lit(0)), F.coalesce(F.max("o_id"), F.lit(0))).first()
+    first = most + 1 if most + n < 1 << 63 else least - n
+    if first < -(1 << 63):
+        raise ValueError("no numbers are left beside the ids")
+    numbered = odd.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], first + x[1]))
+    return staged(docs.sparkSession.createDataFrame(numbered, "o_id long, o_rid long, o_node long"), "pipeline-odd-nodes")
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest id."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("k_id")).distinct()
-    rows = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["k_id"]), "left_semi")
-    twin = Window.partitionBy("doc_id").orderBy("doc_id")
-    named = rows.where(F.col("doc_id").isNotNull()).withColumn("_twin", F.row_number().over(twin)).where("_twin = 1")
-    return named.drop("_twin").unionByName(rows.where(F.col("doc_id").isNull()))
+    """One document of each group of near-duplicates: that with the smallest id, any id
+    before none.  Of equal rows (id and text) one is kept, of different texts with one
+    id each is judged by itself."""
+    odd, node = _odd_keys(docs), docs["doc_id"].cast("long")
+    if odd is None:
+        rows = docs.withColumn("_node", node)
+    else:
+        same = node.eqNullSafe(odd["o_id"]) & (row_key(docs) == odd["o_rid"])
+        rows = staged(docs.join(odd, same, "left").select(*[docs[c] for c in docs.columns], F.coalesce("o_node", node).alias("_node")), "pipeline-nodes")
+    found = near_duplicates(rows.select(F.col("_node").alias("doc_id"), "text"))
+    if odd is None:
+        kept = found.where("kept").select(F.col("doc_id").alias("k")).distinct()
+    else:
+        named = found.join(odd, F.col("doc_id") == F.col("o_node"), "left")
+        own = F.when(F.col("o_node").isNull(), F.col("doc_id")).otherwise(F.col("o_id"))
+        best = F.min(F.struct(own.isNull().alias("unnamed"), own.alias("id"), F.col("doc_id").alias("node")))
+        kept = named.groupBy("component_id").agg(best.alias("best")).select(F.col("best.node").alias("k"))
+    twin = Window.partitionBy("_node").orderBy(F.xxhash64(*docs.columns))
+    rows = rows.join(kept, F.col("_node") == F.col("k"), "left_semi").withColumn("_twin", F.row_number().over(twin))
+    return rows.where("_twin = 1").select(*docs.columns)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,3 +14,23 @@ def test_stages(spark, sf_dir):
             before = docs.count()
     rows = docs.select("shard", "slot").collect()
     assert len(set(map(tuple, rows))) == len(rows) > 0
+
+
+def test_near_dedup_of_odd_ids(spark, tmp_path):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [
+        (1, text(1), "en"), (1, text(2), "en"), (1, text(2), "en"),  # one id, two texts, one twice
+        (5, text(3), "en"), (2, text(3), "en"), (2, text(4), "en"),  # the smallest id of text 3 is a shared one
+        (None, text(5), "en"), (None, text(5), "en"), (None, text(6), "en"), (7, text(6), "en"),
+        (None, None, "en"), (9, text(8), "en"), (8, text(8) + " end", "en"), ((1 << 63) - 1, text(9), "en"),
+    ]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3).write.parquet(f"file://{tmp_path}/d")
+    docs = spark.read.parquet(f"file://{tmp_path}/d")
+    got = corpus_pipeline.near_dedup(spark, docs, "")
+    want = [
+        (1, text(1)), (1, text(2)), (2, text(3)), (2, text(4)), (None, text(5)), (7, text(6)), (None, None),
+        (8, text(8) + " end"), ((1 << 63) - 1, text(9)),
+    ]
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+    assert corpus_pipeline.near_dedup(spark, docs.limit(0), "").count() == 0
