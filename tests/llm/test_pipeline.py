@@ -34,3 +34,15 @@ def test_near_dedup_of_odd_ids(spark, tmp_path):
     assert got.columns == docs.columns
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
     assert corpus_pipeline.near_dedup(spark, docs.limit(0), "").count() == 0
+
+
+def test_benchmark_windows_in_long_documents(spark, tmp_path):
+    prose = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
+    item = prose(99, 30)
+    rows = [(1, prose(1, 4000)), (2, f"{prose(2, 3000)} {item} {prose(3, 3000)}"), (3, item), (4, None), (None, f"{prose(4, 900)} {prose(99, 13)}"), (None, prose(99, 12))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"file://{tmp_path}/d")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"file://{tmp_path}/d")
+    got = corpus_pipeline.benchmark_free(spark, docs, f"file://{tmp_path}")
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([rows[0], rows[3], rows[5]], key=str)
