@@ -4,7 +4,11 @@ Statistics of the whole text, standardised, go through random Fourier features (
 Gaussian kernel's approximation with seeded frequencies).  Ridge scores come from the
 normal equations: every partition of labelled rows adds up its own Gram matrix, a
 tree of partial sums brings ``DIM`` x ``DIM`` numbers to the driver.  Isotonic
-regression over binned scores turns them into probabilities.
+regression turns scores into probabilities; it is fitted on a fold of the learning rows
+(one in ``FOLDS``, by a hash of the statistics, so that copies share a fold) which the
+ridge has not seen.  Scores are gathered in bins; a bin's rate is drawn half a row
+towards 0.5, pooled blocks become knots at their mean score, and between and beyond
+the knots the score goes on rising, so the ridge's order survives.
 
 Only the text enters a score.  Fitting uses every labelled row that the caller marks
 for learning; its cost does not depend on the group sizes, and a hot source or a group
@@ -12,8 +16,11 @@ of copies is nothing special to it.
 
 Defined results: null or empty text has zero statistics and is scored like any other;
 documents without label are scored only; null ids are scored and count as not held
-out; several labels of one id are averaged; with no labels at all every score is 0.5;
-an empty table gives no rows; further columns are ignored.
+out; several labels of one id are averaged; with no labels at all every score is 0.5; with
+too few to fill the calibration fold all learning rows calibrate; equal texts get equal
+scores; a very long text is one pass over its bytes and counts as one row; repeated
+rows are scored and learnt from each; an empty table gives no rows; further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +38,9 @@ from .common import row_key, staged, table
 from .wordhash import texts
 
 DIM, SEED, RIDGE, WIDTH = 192, 11, 1e-3, 2.5
-BINS = 400
+BINS, FOLDS = 400, 5
+#: Scores beyond the outer knots approach 0 and 1 at this rate.
+TAIL = 2.0
 
 _UPPER = bytes(range(65, 91))
 _LETTER = _UPPER + bytes(range(97, 123)) + bytes(range(0x80, 0x100))
@@ -109,16 +118,20 @@ class Model:
     def score(self, x: np.ndarray) -> np.ndarray:
         if not len(self.knots):
             return np.full(len(x), 0.5)
-        return np.clip(np.interp(self.raw(x), self.knots, self.values), 0.0, 1.0)
+        raw = self.raw(x)
+        low = self.values[0] * np.exp(TAIL * np.minimum(raw - self.knots[0], 0))
+        high = (1 - self.values[-1]) * np.exp(TAIL * np.minimum(self.knots[-1] - raw, 0))
+        inside = np.interp(raw, self.knots, self.values)
+        return np.where(raw < self.knots[0], low, np.where(raw > self.knots[-1], 1 - high, inside))
 
 
 def fourier(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
-    """Random Fourier features, a constant, and the standardised statistics."""
+    """Random Fourier features and a constant."""
     z = np.clip((x - mean) / scale, -6, 6)
     rng = np.random.default_rng(SEED)
     freq = rng.normal(0, 1 / (WIDTH * math.sqrt(x.shape[1] / 4)), (x.shape[1], DIM))
     phase = rng.uniform(0, 2 * math.pi, DIM)
-    return np.hstack([np.cos(z @ freq + phase) * math.sqrt(2 / DIM), np.ones((len(x), 1)), z / 10])
+    return np.hstack([np.cos(z @ freq + phase) * math.sqrt(2 / DIM), np.ones((len(x), 1))])
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -146,21 +159,24 @@ def _add_up(rows: DataFrame, size: int, fan_in: int = 16) -> np.ndarray:
 
 
 def _isotonic(at: np.ndarray, rate: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators; knots and values of the increasing step function."""
-    blocks: list[list[float]] = []  # weight, mean rate, first and last score
-    for x, y, w in zip(at, rate, weight):
-        blocks.append([w, y, x, x])
+    """Pool adjacent violators: mean score and mean rate of the blocks, both increasing."""
+    blocks: list[tuple[float, float, float]] = []  # weight, mean rate, mean score
+    for x, y, w in zip(at.tolist(), rate.tolist(), weight.tolist()):
+        blocks.append((w, y, x))
         while len(blocks) > 1 and blocks[-2][1] >= blocks[-1][1]:
-            b, a = blocks.pop(), blocks.pop()
-            blocks.append([a[0] + b[0], (a[0] * a[1] + b[0] * b[1]) / (a[0] + b[0]), a[2], b[3]])
-    knots = np.array([x for b in blocks for x in (b[2], b[3])])
-    return knots + np.arange(len(knots)) * 1e-12, np.repeat([b[1] for b in blocks], 2)
+            (w2, y2, x2), (w1, y1, x1) = blocks.pop(), blocks.pop()
+            both = w1 + w2
+            blocks.append((both, (w1 * y1 + w2 * y2) / both, (w1 * x1 + w2 * x2) / both))
+    return np.array([x for _, _, x in blocks]), np.array([y for _, y, _ in blocks])
 
 
 def fit(labelled: DataFrame) -> Model:
     """``labelled``: x and y (0 to 1)."""
     d = len(STATS)
-    width = DIM + 1 + d
+    width = DIM + 1
+    spare = F.pmod(F.xxhash64("x"), F.lit(FOLDS)) == 0
+    sizes = labelled.agg(F.count_if(spare).alias("spare"), F.count_if(~spare).alias("rest")).first()
+    learn, calibrate = (labelled.where(~spare), labelled.where(spare)) if sizes["spare"] >= FOLDS and sizes["rest"] else (labelled, labelled)
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 + 2 * d)
@@ -170,7 +186,7 @@ def fit(labelled: DataFrame) -> Model:
                 total += np.concatenate([[len(x)], x.sum(0), (x * x).sum(0)])
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["s"])
 
-    sums = _add_up(labelled.select("x").mapInArrow(moments, "s binary"), 1 + 2 * d)
+    sums = _add_up(learn.select("x").mapInArrow(moments, "s binary"), 1 + 2 * d)
     n = sums[0]
     if not n:
         return Model(np.zeros(d), np.ones(d), np.zeros(width), np.empty(0), np.empty(0))
@@ -187,11 +203,11 @@ def fit(labelled: DataFrame) -> Model:
                 gram[width] += batch.column(1).to_numpy(zero_copy_only=False) @ f
         yield pa.RecordBatch.from_arrays([pa.array([gram.tobytes()], pa.binary())], names=["s"])
 
-    gram = _add_up(labelled.select("x", "y").mapInArrow(equations, "s binary"), (width + 1) * width)
+    gram = _add_up(learn.select("x", "y").mapInArrow(equations, "s binary"), (width + 1) * width)
     gram = gram.reshape(width + 1, width)
     weights = np.linalg.solve(gram[:width] + RIDGE * n / width * np.eye(width), gram[width])
 
-    # calibration on all rows, gathered in bins of the score
+    # calibration rows, gathered in bins of the score
     model = Model(mean, scale, weights, np.empty(0), np.empty(0))
 
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,9 +220,10 @@ def fit(labelled: DataFrame) -> Model:
                     total[k] += np.bincount(at, v, BINS)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["s"])
 
-    count, good, raw = _add_up(labelled.select("x", "y").mapInArrow(binned, "s binary"), 3 * BINS).reshape(3, BINS)
+    count, good, raw = _add_up(calibrate.select("x", "y").mapInArrow(binned, "s binary"), 3 * BINS).reshape(3, BINS)
     some = count > 0
-    model.knots, model.values = _isotonic(raw[some] / count[some], good[some] / count[some], count[some])
+    count, good, raw = count[some], good[some], raw[some]
+    model.knots, model.values = _isotonic(raw / count, (good + 0.5) / (count + 1), count + 1)
     return model
 
 

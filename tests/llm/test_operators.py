@@ -9,6 +9,7 @@ import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,8 +140,46 @@ def test_quality_accuracy(spark):
 
 
 def test_isotonic():
-    knots, values = quality_model._isotonic([1.0, 2.0, 3.0, 4.0], [0.0, 0.6, 0.4, 1.0], [1, 1, 1, 1])
-    assert list(values) == [0.0, 0.0, 0.5, 0.5, 1.0, 1.0] and all(x < y for x, y in zip(knots, knots[1:]))
+    knots, values = quality_model._isotonic(np.array([1.0, 2.0, 3.0, 4.0]), np.array([0.0, 0.6, 0.4, 1.0]), np.array([1, 1, 1, 1]))
+    assert list(knots) == [1.0, 2.5, 4.0] and list(values) == [0.0, 0.5, 1.0]
+    rng = np.random.default_rng(2)
+    y, w = rng.random(60), rng.integers(1, 5, 60)
+    knots, values = quality_model._isotonic(np.arange(60.0), y, w)
+    mean = lambda i, j: np.average(y[i : j + 1], weights=w[i : j + 1])
+    want = [max(min(mean(i, j) for j in range(k, 60)) for i in range(k + 1)) for k in range(60)]  # the minimax formula
+    assert np.allclose(values, sorted(set(np.round(want, 12))))
+    assert all(a < b for a, b in zip(knots, knots[1:]))
+
+
+def test_quality_equations(spark):
+    """Ridge and calibration against a direct solution over all learning rows in memory."""
+    sf, q = "/root/testdata/sf0.001", quality_model
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    stats = q.document_statistics(docs).withColumn("spare", F.pmod(F.xxhash64("x"), F.lit(q.FOLDS)) == 0)
+    rows = stats.join(labels, "doc_id").where(~q.held_out(stats)).collect()
+    x, y, spare = np.array([r.x for r in rows]), np.array([r.quality for r in rows], float), np.array([r.spare for r in rows])
+    assert q.FOLDS <= spare.sum() < len(rows)
+    mean, scale = x[~spare].mean(0), x[~spare].std(0)
+    scale[scale < 1e-9] = 1.0
+    f = q.fourier(x, mean, scale)
+    own = f[~spare]
+    weights = np.linalg.solve(own.T @ own + q.RIDGE * len(own) / f.shape[1] * np.eye(f.shape[1]), own.T @ y[~spare])
+    model = q.fit(stats.join(labels.withColumn("y", F.col("quality").cast("double")), "doc_id").where(~q.held_out(stats)).select("x", "y").repartition(40))
+    assert np.allclose(model.raw(x), f @ weights, atol=1e-6)
+    raw = f[spare] @ weights
+    bins = np.clip(((raw + 0.5) / 2 * q.BINS).astype(int), 0, q.BINS - 1)
+    held = sorted(set(bins))
+    n = np.array([(bins == b).sum() for b in held])
+    knots, values = q._isotonic(np.array([raw[bins == b].mean() for b in held]), np.array([(y[spare][bins == b].sum() + 0.5) / (k + 1) for b, k in zip(held, n)]), n + 1)
+    assert np.allclose(model.knots, knots, atol=1e-6) and np.allclose(model.values, values)
+    order = np.argsort(model.raw(x), kind="stable")
+    assert (np.diff(model.score(x)[order]) >= 0).all() and len(set(model.score(x).tolist())) > 10
+    # nothing but the text enters a score
+    score = {(r.doc_id, r.rid): r.score for r in q.classify(docs, labels).collect()}
+    other = docs.withColumn("lang", F.lit("x")).withColumn("source", F.col("doc_id").cast("string")).withColumn("quality", F.col("doc_id") % 2).repartition(7)
+    assert score == pytest.approx({(r.doc_id, r.rid): r.score for r in q.classify(other, labels).collect()})
+    flipped = labels.withColumn("quality", F.when(q.held_out(labels), 1 - F.col("quality")).otherwise(F.col("quality")))
+    assert score == pytest.approx({(r.doc_id, r.rid): r.score for r in q.classify(docs, flipped).collect()})
 
 
 @pytest.mark.parametrize("payload", [("doc_id",), tuple(SCHEMA.split()[0::2])])
