@@ -9,9 +9,11 @@ Rounding: each document wants target/source_size copies; the whole part is given
 the fraction is its mass in words (exact integers of 2**-20 words).  A pair of
 documents moves mass, in a random direction with the odds that keep each one's
 expected mass, until one of the two is integral; that one is decided, the other
-goes on.  Blocks of about ``BLOCK`` documents run as a tournament of pairs inside one
-array; what a block leaves over enters the next level of a reduction tree of blocks.
-A source's taken words differ from its target by less than one document.
+goes on.  A block of about ``BLOCK`` documents is one array, largest document first:
+what a pair leaves over meets the next smaller document, so large ones are decided
+among their like and a small one remains; it enters the next level of a reduction tree
+of blocks.  A source's taken words differ from its target by less than the one document
+that the root leaves to chance.
 
 All randomness is hashed from seed and identity, so reruns agree.  Hot sources are
 salted over blocks; a block is bounded on average by ``BLOCK`` rows.
@@ -72,26 +74,20 @@ def _pivot(a: str, b: str, seed: int) -> str:
     to_b = f"transform({moved}, p -> IF(p.u * (p.x + p.y) < p.y, " \
         "named_struct('a', p.a, 'b', p.b, 'am', p.a.m - p.x, 'bm', p.b.m + p.x), " \
         "named_struct('a', p.a, 'b', p.b, 'am', p.a.m + p.y, 'bm', p.b.m - p.y)))"
-    put = lambda x, m: f"named_struct('h', {x}.h, 'id', {x}.id, 'size', {x}.size, 'crc', {x}.crc, 'c', {x}.c, 'm', {m})"
+    put = lambda x, m: f"named_struct('n', {x}.n, 'h', {x}.h, 'id', {x}.id, 'size', {x}.size, 'crc', {x}.crc, 'c', {x}.c, 'm', {m})"
     done = f"transform({to_b}, p -> IF(p.am = 0 OR p.am = {full('p.a')}, " \
         f"named_struct('d', {put('p.a', 'p.am')}, 'r', {put('p.b', 'p.bm')}), " \
         f"named_struct('d', {put('p.b', 'p.bm')}, 'r', {put('p.a', 'p.am')})))"
     return f"{done}[0]"
 
 
-def _tournament(seed: int) -> str:
-    """SQL over ``items``: struct (done: decided items, pend: the one left over)."""
-    kind = "array<struct<h: bigint, id: bigint, size: bigint, crc: bigint, c: bigint, m: bigint>>"
-    pair = _pivot("s.pend[2 * j]", "s.pend[2 * j + 1]", seed)
-    step = (
-        f"transform(array(transform(sequence(0, CAST(size(s.pend) DIV 2 AS INT) - 1), j -> {pair})), ps -> named_struct("
-        "'done', concat(s.done, transform(ps, p -> p.d)), "
-        "'pend', concat(transform(ps, p -> p.r), slice(s.pend, 2 * size(ps) + 1, 1))))[0]"
-    )
+def _descent(seed: int) -> str:
+    """SQL over ``items``, largest first: struct (done: decided items, rest: the one left over)."""
+    kind = "array<struct<n: bigint, h: bigint, id: bigint, size: bigint, crc: bigint, c: bigint, m: bigint>>"
     return (
-        f"aggregate(sequence(1, 1 + CAST(ceil(log2(size(items))) AS INT)), "
-        f"named_struct('done', CAST(array() AS {kind}), 'pend', items), "
-        f"(s, l) -> IF(size(s.pend) < 2, s, {step}))"
+        f"aggregate(slice(items, 2, size(items)), named_struct('done', CAST(array() AS {kind}), 'rest', items[0]), "
+        f"(s, x) -> transform(array({_pivot('s.rest', 'x', seed)}), "
+        "p -> named_struct('done', concat(s.done, array(p.d)), 'rest', p.r))[0])"
     )
 
 
@@ -115,7 +111,7 @@ def mix(docs: DataFrame, seed: int = SEED, block: int = BLOCK, share: float = SH
     whole = F.floor("want").cast("long")
     mass = F.round((F.col("want") - whole) * F.shiftleft("size", UNIT)).cast("long")
     item = F.struct(
-        F.xxhash64(F.lit(seed), "doc_id", "size", "crc").alias("h"), F.col("doc_id").alias("id"), "size", "crc",
+        (-F.col("size")).alias("n"), F.xxhash64(F.lit(seed), "doc_id", "size", "crc").alias("h"), F.col("doc_id").alias("id"), "size", "crc",
         whole.alias("c"), F.least(mass, F.shiftleft("size", UNIT)).alias("m"),
     )
     blocks = F.ceil(F.col("n_docs") / F.lit(block)).cast("long")
@@ -129,8 +125,8 @@ def mix(docs: DataFrame, seed: int = SEED, block: int = BLOCK, share: float = SH
         run = staged(
             rows.groupBy("source", "block")
             .agg(F.sort_array(F.collect_list("item")).alias("items"))
-            .select("source", "block", F.expr(_tournament(seed + 2 + level)).alias("s"))
-            .select("source", "block", "s.done", F.col("s.pend")[0].alias("rest")),
+            .select("source", "block", F.expr(_descent(seed + 2 + level)).alias("s"))
+            .select("source", "block", "s.done", "s.rest"),
             f"mix-level{level}",
         )
         decided.append(run.select("source", F.explode("done").alias("item")))
@@ -143,7 +139,7 @@ def mix(docs: DataFrame, seed: int = SEED, block: int = BLOCK, share: float = SH
     full = F.shiftleft("rest.size", UNIT)
     last = run.select(
         "source",
-        F.struct("rest.h", "rest.id", "rest.size", "rest.crc", "rest.c", F.when(u * full < F.col("rest.m"), full).otherwise(F.lit(0).cast("long")).alias("m")).alias("item"),
+        F.struct("rest.n", "rest.h", "rest.id", "rest.size", "rest.crc", "rest.c", F.when(u * full < F.col("rest.m"), full).otherwise(F.lit(0).cast("long")).alias("m")).alias("item"),
     )
     out = reduce(DataFrame.unionByName, [*decided, last]).select("source", "item.*")
     copies = F.when(F.col("size") > 0, F.col("c") + F.when(F.col("m") > 0, 1).otherwise(0)).otherwise(F.lit(0)).cast("long")
