@@ -13,7 +13,9 @@ characters; of a text, the table of the pre-token last cut into is kept.
 Defined results: null text is empty (0 bytes, 0 tokens); special strings inside a
 text count as the one added token, as the library has it by default; repeated rows
 and null ids are returned as they are; an empty table gives no rows; further columns
-are ignored.  Texts are encoded whole.
+are ignored.  Texts are encoded whole; one unbroken run of characters costs time and
+memory in proportion to its length.  Ties between prefixes of equal count go to the
+longest.  A tokenizer file that needs more than byte-level merging is refused.
 """
 
 from __future__ import annotations
@@ -41,10 +43,26 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def _check(model: dict) -> None:
+    """Refuse files whose text handling these tables do not reproduce."""
+    splitter = model.get("pre_tokenizer") or {}
+    flags = ("lstrip", "rstrip", "single_word", "normalized")
+    wrong = [
+        "normalizer" if model.get("normalizer") else "",
+        "pre_tokenizer" if splitter.get("type") != "ByteLevel" or splitter.get("add_prefix_space") or not splitter.get("use_regex", True) else "",
+        "model" if model["model"].get("type", "BPE") != "BPE" else "",
+        *(k for k in ("dropout", "byte_fallback", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix") if model["model"].get(k)),
+        *(f"added token with {k}" for t in model.get("added_tokens", ()) for k in flags if t.get(k)),
+    ]
+    if any(wrong):
+        raise ValueError(f"this tokenizer needs what is not supported: {', '.join(sorted(set(filter(None, wrong))))}")
+
+
 class PrefixTokenizer:
     def __init__(self, path: str, remember: int = 400_000):
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
+        _check(model)
         letters = _byte_alphabet()
         raw = lambda s: bytes(letters[c] for c in s)
         self.vocab = {raw(t) for t in model["model"]["vocab"]}
@@ -59,6 +77,7 @@ class PrefixTokenizer:
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
         self.remember = 2 * remember
         self.prefixes: dict[bytes, tuple[int, bytes]] = {}
+        self.held: tuple[bytes, list[int]] = (b"", [0])
         self.totals = _Totals(self, remember)
 
     def merged(self, word: bytes) -> list[bytes]:
@@ -108,11 +127,16 @@ class PrefixTokenizer:
         raise ValueError("the vocabulary lacks a byte")
 
     def table(self, word: bytes) -> list[int]:
-        """Token counts of word[:0], word[:1], ..., word."""
+        """Token counts of word[:0], word[:1], ..., word; the last long one is kept."""
+        if self.held[0] == word:
+            return self.held[1]
         rows = [(0, b"")]
         for end in range(1, len(word) + 1):
             rows.append(self._step(word, end, rows.__getitem__))
-        return [count for count, _ in rows]
+        counts = [count for count, _ in rows]
+        if len(word) > 48:
+            self.held = (word, counts)
+        return counts
 
     def total(self, word: bytes) -> int:
         """Last entry of the table.  Words share their prefixes' entries."""
