@@ -6,6 +6,7 @@ import atexit
 import gc
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,6 +69,28 @@ def having(df: DataFrame, on: Column, keys: DataFrame, key: str, anti: bool = Fa
     return df.join(F.broadcast(keys.select(F.col(key).alias("_key"))), on == F.col("_key"), "left_anti" if anti else "left_semi")
 
 
+#: A key is hot when it holds more than one in ``HOT_SHARE`` of all rows, so there are
+#: fewer hot keys than that, whatever the data.
+HOT_SHARE = 2_000
+
+
+def join_keys(df: DataFrame, keys: DataFrame, on: dict[str, str], n: str = "n", how: str = "inner") -> DataFrame:
+    """``df`` joined with ``keys``, one row per key, by ``on`` (column of df -> column of keys).
+
+    ``keys`` (staged) has each key's number of rows of ``df`` in column ``n``.  The rows of hot keys meet
+    a broadcast of fewer than ``HOT_SHARE`` keys where they are, so no key fills a task;
+    the others are shuffled."""
+    total = keys.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    least = max(total // HOT_SHARE, 1)
+    hot, cold = keys.where(F.col(n) > least), keys.where(F.col(n) <= least)
+    same = lambda side: reduce(Column.__and__, [F.col(a) == side[b] for a, b in on.items()])
+    if not hot.take(1):
+        return df.join(cold, same(cold), how)
+    mark = hot.select(*on.values())
+    rest = df.join(F.broadcast(mark), same(mark), "left_anti")
+    return df.join(F.broadcast(hot), same(hot), how).unionByName(rest.join(cold, same(cold), how))
+
+
 @atexit.register
 def release() -> None:
     """Delete what ``scratch`` handed out (best effort)."""

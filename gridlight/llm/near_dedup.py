@@ -1,9 +1,10 @@
 """Near-duplicates by banded MinHash with odd sketches, confirmed on full sets.
 
-1. One scan computes each document's set of word shingles, its size, a 128-bit
-   fingerprint, MinHash bands and an odd sketch: every MinHash sample flips one bit of
-   a 512-bit map, so two sketches' XOR counts the samples in which they differ.
-2. Documents with equal sets form a class; only class representatives go on.
+1. One scan computes each document's set of word shingles, its size, a 256-bit digest
+   of its word sequence, MinHash bands and an odd sketch: every MinHash sample flips one
+   bit of a 512-bit map, so two sketches' XOR counts the samples in which they differ.
+2. Documents with equal word sequences, hence equal sets, form a class; only class
+   representatives go on.  Equal sets of different sequences are links like any other.
 3. In each band bucket every member is paired with the bucket's smallest one (a star,
    linear in its rows).  Pairs whose sketches differ too much are dropped: at the
    threshold similarity a pair's XOR count stays below the limit but for one in 10^8.
@@ -15,10 +16,14 @@
    similar across components form clusters, whose pairs of different components are
    tested on full sets inside blocks.  Only links leave a block, never pairs.
 
-No bucket is capped.  Banding (40 bands of 4) misses a pair at similarity 0.8 with
+No bucket is capped, and buckets or centres that hold many rows meet broadcast keys of a
+bounded number.  Work is linear but for step 5, which compares the sketches of a bucket's
+members outside its largest component with all its members: its cost grows with the
+square of what stars leave unlinked in one bucket.  Banding (40 bands of 4) misses a pair at similarity 0.8 with
 probability 7e-10.
 
-Defined results: null or empty text and text without words has an empty set and is
+Defined results: texts are read whole, whatever their length; ties go to the smallest
+id; null or empty text and text without words has an empty set and is
 linked with nothing (its own component); rows without id cannot be named, are linked
 with nothing, have a null component and are kept; repeated rows share a component and
 their ``kept``; an empty table gives no rows; further columns are ignored.
@@ -26,6 +31,7 @@ their ``kept``; an empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -34,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import having, staged, table
+from .common import having, join_keys, staged, table
 from .components import components
 from .wordhash import WordIds, finish, grams, space_words, texts
 
@@ -43,7 +49,7 @@ SAMPLES = BANDS * ROWS
 #: Members that one task compares with one star's centre.
 CHUNK = 256
 
-_SIGNATURE = "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, sketch array<long>"
+_SIGNATURE = "doc_id long, n_shingles long, digest binary, bands array<long>, sketch array<long>"
 
 
 def xor_limit(similarity: float, sigmas: float = 6.0) -> int:
@@ -60,17 +66,16 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
         sample = np.arange(SAMPLES, dtype=np.uint64) << np.uint64(32)
         ids = WordIds()
         for batch in batches:
-            sizes, one, two, bands, sketches = [], [], [], [], []
+            sizes, digests, bands, sketches = [], [], [], []
             for text in texts(batch.column(1)):
                 words = space_words(text)
                 sizes.append(0)
                 if not words:
-                    one.append(0), two.append(0), bands.append([]), sketches.append([])
+                    digests.append(b""), bands.append([]), sketches.append([])
                     continue
                 found = np.unique(grams(ids.array(words), min(shingle, len(words))))
                 sizes[-1] = len(found)
-                one.append(int(finish(found).sum(dtype=np.uint64).view(np.int64)))
-                two.append(int(np.bitwise_xor.reduce(finish(found ^ np.uint64(0x5851F42D4C957F2D))).view(np.int64)))
+                digests.append(hashlib.blake2b(b" ".join(words), digest_size=32).digest())
                 low = (found >> np.uint64(32)).astype(np.uint32)
                 least = np.full(SAMPLES, 0xFFFFFFFF, np.uint32)
                 for at in range(0, len(low), 2048):
@@ -84,23 +89,24 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
                 parity = np.bincount((values % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
                 sketches.append(np.packbits(parity.astype(np.uint8)).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()),
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
                  pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "f1", "f2", "bands", "sketch"],
+                names=["doc_id", "n_shingles", "digest", "bands", "sketch"],
             )
 
     return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(run, _SIGNATURE)
 
 
 def _sketched(pairs: DataFrame, sketches: DataFrame, limit: int) -> DataFrame:
-    """Pairs (u, v) whose sketches are close enough."""
+    """Distinct pairs (u, v) whose sketches are close enough; u is in few of them, v may be
+    in very many."""
+    pairs = staged(pairs, "near-met")
     a = sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sa"))
     b = sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sb"))
+    centres = pairs.groupBy("v").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("v", "c")
+    centres = staged(centres.join(b, F.col("c") == F.col("b")).select("b", "sb", "n"), "near-centres")
     differing = F.expr("aggregate(zip_with(sa, sb, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
-    return (
-        pairs.join(a, F.col("u") == F.col("a")).join(b, F.col("v") == F.col("b"))
-        .where(differing <= limit).select("u", "v").distinct()
-    )
+    return join_keys(pairs.join(a, F.col("u") == F.col("a")), centres, {"v": "b"}).where(differing <= limit).select("u", "v").distinct()
 
 
 def _shingles(text: bytes, shingle: int) -> set:
@@ -127,8 +133,9 @@ def _texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
 
 def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Pairs (u, v) whose full sets have 100 * intersection >= percent * union."""
-    chunks = pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / F.lit(CHUNK)).cast("long").alias("n")).select(F.col("v").alias("c"), "n")
-    dealt = pairs.join(chunks, F.col("v") == F.col("c")).select("u", "v", F.pmod(F.xxhash64("u"), F.col("n")).alias("chunk"))
+    centres = staged(pairs.groupBy(F.col("v").alias("c")).agg(F.count(F.lit(1)).alias("n")), "near-stars")
+    chunk = F.pmod(F.xxhash64("u"), F.ceil(F.col("n") / F.lit(CHUNK)).cast("long"))
+    dealt = join_keys(pairs, centres, {"v": "c"}).select("u", "v", chunk.alias("chunk"))
     wanted = staged(
         dealt.select(F.col("u").alias("id"), "v", "chunk", F.lit(1).alias("role"))
         .unionByName(dealt.select(F.col("v").alias("id"), "v", "chunk", F.lit(0).alias("role")).distinct()),
@@ -279,43 +286,42 @@ def settled(nodes: DataFrame, sketches: DataFrame, docs: DataFrame, limit: int,
 
 
 def _apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
-    """Pairs (u, v) whose ends are in different components."""
-    for end in ("u", "v"):
-        label = joined.select(F.col("node").alias("l"), F.col("component").alias(f"c_{end}"))
-        pairs = pairs.join(label, F.col(end) == F.col("l"), "left").drop("l")
-    return pairs.where(F.coalesce("c_u", "u") != F.coalesce("c_v", "v")).select("u", "v")
+    """Pairs (u, v) whose ends are in different components; v may be in very many."""
+    label = joined.select(F.col("node").alias("l"), "component")
+    centres = pairs.groupBy(F.col("v").alias("c")).agg(F.count(F.lit(1)).alias("n")).join(label, F.col("c") == F.col("l"), "left")
+    centres = staged(centres.select("c", "n", F.coalesce("component", "c").alias("c_v")), "near-ends")
+    named = join_keys(pairs, centres, {"v": "c"}).join(label, F.col("u") == F.col("l"), "left")
+    return named.where(F.coalesce("component", "u") != F.col("c_v")).select("u", "v")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row per document."""
     sig = staged(signatures(docs, shingle), "near-signatures")
     full = sig.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = staged(
-        full.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("node")), "near-classes"
-    ).withColumnsRenamed({"n_shingles": "c_n", "f1": "c1", "f2": "c2"})
-    same = (F.col("n_shingles") == F.col("c_n")) & (F.col("f1") == F.col("c1")) & (F.col("f2") == F.col("c2"))
-    nodes = staged(
-        full.join(classes, same & (F.col("doc_id") == F.col("node"))).select("node", "bands", "sketch"), "near-nodes"
+    # bands and sketch follow from the word sequence
+    classes = full.groupBy("digest").agg(
+        F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
     )
+    classes = staged(classes.withColumnRenamed("digest", "c_digest"), "near-classes")
+    nodes = classes.select("node", "bands", "sketch")
     sketches, limit = nodes.select("node", "sketch"), xor_limit(percent / 100)
 
     # buckets with more than one member, their centre beside each member
     spread = nodes.select("node", F.explode("bands").alias("band"))
     shared = spread.groupBy("band").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    buckets = staged(
-        spread.join(shared.select(F.col("band").alias("b"), "centre", "n"), F.col("band") == F.col("b")).select("band", "node", "centre", "n"),
-        "near-buckets",
-    )
+    shared = staged(shared.withColumnRenamed("band", "b"), "near-shared")
+    buckets = staged(join_keys(spread, shared, {"band": "b"}).select("band", "node", "centre", "n"), "near-buckets")
     star = buckets.where("node <> centre").select(F.col("node").alias("u"), F.col("centre").alias("v")).distinct()
     star = staged(_sketched(star, sketches, limit), "near-star")
     # first one centre for each, then the others where they could still join something
-    one = star.groupBy("u").agg(F.min("v").alias("v"))
+    one = staged(star.groupBy("u").agg(F.min("v").alias("v")), "near-one")
     links = staged(confirmed(one, docs, shingle, percent), "near-links")
     joined = components(links)
-    apart = _apart(star.join(one.select(F.col("u").alias("o"), F.col("v").alias("p")), (F.col("u") == F.col("o")) & (F.col("v") == F.col("p")), "left_anti"), joined)
-    more = staged(confirmed(staged(apart, "near-apart"), docs, shingle, percent), "near-links2")
-    links = links.unionByName(more)
-    joined = components(links)
+    others = star.join(one.select(F.col("u").alias("o"), F.col("v").alias("p")), (F.col("u") == F.col("o")) & (F.col("v") == F.col("p")), "left_anti")
+    more = staged(confirmed(staged(_apart(staged(others, "near-others"), joined), "near-apart"), docs, shingle, percent), "near-links2")
+    if more.take(1):
+        links = links.unionByName(more)
+        joined = components(links)
 
     # what stars cannot see: members of a bucket that are still in different components
     label = joined.select(F.col("node").alias("l"), "component")
@@ -324,23 +330,26 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     )
     placed = staged(placed, "near-placed")
     sizes = placed.groupBy("band", "part").agg(F.count(F.lit(1)).alias("n"))
-    mixed = sizes.groupBy("band").agg(F.max(F.struct("n", "part")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    mixed = mixed.select(F.col("band").alias("m"), F.col("top.part").alias("top"))
-    rows = placed.join(mixed, F.col("band") == F.col("m")).where("node <> centre").select("band", "node", "part", "top")
+    mixed = sizes.groupBy("band").agg(
+        F.max(F.struct("n", "part")).alias("top"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("held")
+    ).where("parts > 1")
+    mixed = staged(mixed.select(F.col("band").alias("m"), F.col("top.part").alias("top"), "held"), "near-parts")
+    rows = join_keys(placed, mixed, {"band": "m"}, n="held").where("node <> centre").select("band", "node", "part", "top")
     met = staged(undecided(staged(rows, "near-mixed"), sketches, limit), "near-undecided")
     clusters = components(met.select(F.col("part").alias("u"), F.col("root").alias("v"))).select(F.col("node").alias("l"), F.col("component").alias("cluster"))
     nodes = met.select("node", "part").distinct().join(clusters, F.col("part") == F.col("l"), "left").select(
         F.coalesce("cluster", "part").alias("cluster"), "node", "part"
     )
     last = staged(settled(staged(nodes, "near-clusters"), sketches, docs, limit, shingle, percent), "near-links3")
-    joined = components(links.unionByName(last))
+    if last.take(1):
+        joined = components(links.unionByName(last))
 
     label = joined.select(F.col("node").alias("l"), "component")
-    named = classes.join(label, F.col("node") == F.col("l"), "left").select("c_n", "c1", "c2", F.coalesce("component", "node").alias("class"))
+    named = classes.join(label, F.col("node") == F.col("l"), "left").select("c_digest", "n", F.coalesce("component", "node").alias("class"))
+    alone = sig.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    found = join_keys(full.select("doc_id", "n_shingles", "digest"), staged(named, "near-named"), {"digest": "c_digest"})
     return (
-        sig.select("doc_id", "n_shingles", "f1", "f2").join(named, same & F.col("doc_id").isNotNull(), "left")
-        .select("doc_id", "n_shingles", F.coalesce("class", "doc_id").alias("component_id"))
-        .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
+        found.select("doc_id", "n_shingles", F.col("class").alias("component_id")).unionByName(alone)
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
 

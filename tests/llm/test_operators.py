@@ -321,6 +321,22 @@ def test_near_duplicates(docs, rows, empty, shingle):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_recall(spark):
+    sf = "/root/testdata/sf0.01"
+    sets = {r.doc_id: near_dedup._shingles((r.text or "").encode(), 4) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r.doc_id: r.component_id for r in near_dedup.op7_near_dedup(spark, sf).collect()}
+    assert got == _components(sets)
+
+
+def test_near_duplicates_equal_sets(spark):
+    """Equal sets of different word sequences, and ids that several texts share."""
+    loop = "a b c d e f g h i j".split()
+    texts = [(k, " ".join(loop * (3 + k % 4))) for k in range(12)] + [(20, "other words stand here now"), (20, "and not the same at all"), (21, "and not the same at all")]
+    got = near_dedup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), shingle=4).collect()
+    assert [r.component_id for r in sorted(got) if r.doc_id < 12] == [0] * 12 and {r.n_shingles for r in got if r.doc_id < 12} == {10}
+    assert {(r.doc_id, r.component_id) for r in got if r.doc_id > 12} == {(20, 20), (21, 20)} and len(got) == len(texts)
+
+
 def test_near_duplicates_chain(spark):
     """A chain whose ends differ, and a crowd of near copies: links beyond the stars."""
     rng = random.Random(9)
@@ -394,6 +410,25 @@ def test_token_prefix_tables(library, monkeypatch):
     assert sum(map(len, few)) <= 50 + sum(map(len, own.special))
 
 
+def test_token_long_runs(library):
+    path, theirs = library
+    own = token_prefix.PrefixTokenizer(path)
+    for text in ("a" * 30_000, "=" * 30_000 + " end"):
+        mine = token_prefix.PrefixCounts(own, text)
+        assert mine.total == len(theirs.encode(text, add_special_tokens=False).ids)
+        cut = mine.fit(99)
+        fits = lambda n: len(theirs.encode(text[:n], add_special_tokens=False).ids) <= 99
+        assert fits(cut) and not fits(cut + 1)
+
+
+@pytest.mark.parametrize("change", [{"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"added_tokens": [{"content": "x", "lstrip": True}]}])
+def test_token_files_refused(library, change):
+    import json
+
+    with pytest.raises(ValueError):
+        token_prefix._check(json.load(open(library[0])) | change)
+
+
 def test_decontaminate(spark, docs, rows, empty):
     passage = next(r[1] for r in rows if r[1] and len(r[1].split()) == 120 and r[0] == 21)
     items = [(1, " ".join(passage.split()[30:70])), (2, "Two, WORDS"), (3, None), (4, "..."), (10, " ".join(passage.split()[40:58])), (None, "one"), (5, "one")]
