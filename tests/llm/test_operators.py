@@ -269,6 +269,7 @@ def test_substring_segments(monkeypatch):
     parts = [tuple(map(int, x)) for p in substring_dedup.phrases(text) for x in zip(*p)]
     assert {x[2] for x in whole} == {x[2] for x in parts}  # same cores
     assert sorted(s for lo, hi, *_ in parts for s in range(lo, hi + 1)) == list(range(len(text) - 199))
+    assert all(0 <= x[4] <= 120 and x[0] + x[4] >= x[1] for x in parts)
 
 
 def _components(sets: dict, percent: int = 80) -> dict:
@@ -290,18 +291,42 @@ def _components(sets: dict, percent: int = 80) -> dict:
     return {i: root(i) for i in ids}
 
 
+def _pieces(texts: list[bytes]) -> tuple[list, list, list]:
+    """core, trigger and bytes of all phrases."""
+    found = [(int(c), int(m), t[lo : hi + 200]) for t in texts for p in substring_dedup.phrases(t) for lo, hi, c, _, m in zip(*p)]
+    core, at, pieces = zip(*sorted(found))
+    return list(core), list(at), list(pieces)
+
+
 def test_repeated_runs_memory():
     rng = random.Random(8)
     shared = rng.randbytes(260)
-    pieces = [rng.randbytes(30) + shared[k % 40 : k % 40 + 205] + rng.randbytes(20) for k in range(12_000)]
-    core = [k // 6000 for k in range(12_000)]
+    core, at, pieces = _pieces([rng.randbytes(30) + shared[k % 40 : k % 40 + 205] + rng.randbytes(20) for k in range(9000)])
     tracemalloc.start()
-    row, first, last = substring_dedup._repeated_runs(core, [1] * len(pieces), pieces)
+    row, first, last = substring_dedup._repeated_runs([1] * len(pieces), at, pieces)
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    # strings of the shared bytes occur twice, those with a few bytes around them by chance
-    assert row.tolist() == list(range(12_000)) and all(24 < a <= 30 and 35 <= b < 41 for a, b in zip(first, last))
-    assert peak < 90e6
+    places = Counter(p[i : i + 200] for p in pieces for i in range(len(p) - 199))
+    want = [[i for i in range(len(p) - 199) if places[p[i : i + 200]] > 1] for p in pieces]
+    got = [[] for _ in pieces]
+    for r, a, b in zip(row.tolist(), first.tolist(), last.tolist()):
+        got[r] += range(a, b + 1)
+    assert got == want and sum(map(len, want)) > 30_000
+    assert peak < 200e6
+
+
+@pytest.mark.parametrize("alphabet", [b"ab", b"\0a", b"abcdefgh"])
+def test_repeated_strings_of_phrases(alphabet):
+    """Phrases that differ near their ends, at zero bytes, and cut short by the text's ends."""
+    rng = random.Random(alphabet[1])
+    base = bytes(rng.choices(alphabet, k=500))
+    texts = [base[rng.randint(0, 200) : rng.randint(380, 500)] for _ in range(30)]
+    texts += [bytes(rng.choices(alphabet, k=k % 4)) + base[k : k + 203 + k % 7] + b"\0" * (k % 3) for k in range(120)]
+    core, at, pieces = _pieces(texts)
+    n = [1] * len(pieces)
+    places = Counter(p[i : i + 200] for p in pieces for i in range(len(p) - 199))
+    got = {(r, i) for r, a, b in zip(*map(np.ndarray.tolist, substring_dedup._repeated_runs(n, at, pieces))) for i in range(a, b + 1)}
+    assert got == {(r, i) for r, p in enumerate(pieces) for i in range(len(p) - 199) if places[p[i : i + 200]] > 1}
 
 
 @pytest.mark.parametrize("shingle", [4, 5])
