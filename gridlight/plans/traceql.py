@@ -3,16 +3,16 @@
 Spans and their attributes (one row per attribute) stay apart.  What a query reads of
 the attributes is pivoted in one aggregate and joined once; trace-level fields come from
 one aggregate per trace.  Span sets are (trace_id, span_id) tables; structural operators
-are semi and anti joins of them, transitive ones on nested-set intervals that are
-numbered once per trace.
+are semi and anti joins of them, transitive ones a walk down and up each trace.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,27 +23,88 @@ from .promql import PlanError
 
 _ID = ["trace_id", "span_id"]
 _ROOTLESS = ("", "0" * 16)
+#: Intrinsics that are columns of a span.
+_STORED = {"name", "duration", "status", "kind", "statusMessage", "span:id", "span:parentID", "trace:id", "instrumentation:name", "instrumentation:version"}
+
+
+def _traces(rows: DataFrame, use, schema: str) -> DataFrame:
+    """``use(trace_id, rows)`` for each trace of ``rows`` (trace_id first), whose rows are
+    brought together by one shuffle and read in order; a task holds one trace at a time."""
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fields = pa.schema(from_ddl(schema))
+        at, held, out = None, [], []
+
+        def full() -> pa.RecordBatch:
+            found = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), fields)], schema=fields) if out else None
+            out.clear()
+            return found
+
+        for batch in batches:
+            for trace, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if trace != at:
+                    if held:
+                        out += use(at, held)
+                    at, held = trace, []
+                held.append(row)
+            if len(out) > 50_000:
+                yield full()
+        if held:
+            out += use(at, held)
+        if out:
+            yield full()
+
+    return rows.repartition("trace_id").sortWithinPartitions(*names).mapInArrow(run, schema)
+
+
+def from_ddl(schema: str) -> list[pa.Field]:
+    kinds = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}
+    return [pa.field(n, kinds[t]) for n, t in (x.split() for x in schema.split(","))]
+
+
+def _forest(rows: list[tuple[str, str | None]]) -> tuple[list[str], dict[str, list[str]]]:
+    """Roots and children of (span, parent) rows in order.  Orphans are roots; so is the first
+    member of a cycle, which nothing else reaches."""
+    ids = {span for span, _ in rows}
+    children: dict[str, list[str]] = {}
+    roots = []
+    for span, parent in rows:
+        if parent in ids and parent != span:
+            children.setdefault(parent, []).append(span)
+        else:
+            roots.append(span)
+    seen = set()
+
+    def reach(root: str) -> None:
+        stack = [root]
+        while stack:
+            span = stack.pop()
+            if span not in seen:
+                seen.add(span)
+                stack += children.get(span, ())
+
+    for root in roots:
+        reach(root)
+    for span, _ in rows:
+        if span not in seen:
+            roots.append(span)
+            reach(span)
+    return roots, children
 
 
 def nested_sets(spans: DataFrame) -> DataFrame:
     """trace_id, span_id, ns_left, ns_right, ns_parent: Euler tour per trace in (ts, span id)
     order; a root's parent is -1, orphans and members of cycles become roots."""
 
-    def number(trace: pd.DataFrame) -> pd.DataFrame:
-        trace = trace.drop_duplicates("span_id").sort_values(["ts_ns", "span_id"])
-        ids = set(trace["span_id"])
-        children: dict[str, list[str]] = {}
-        roots = []
-        for span, parent in zip(trace["span_id"], trace["parent_id"]):
-            if parent in ids and parent != span:
-                children.setdefault(parent, []).append(span)
-            else:
-                roots.append(span)
+    def number(trace: str, rows: list) -> list[tuple]:
+        first = {}
+        for _, span, parent in rows:
+            first.setdefault(span, parent)
+        roots, children = _forest(list(first.items()))
         out: dict[str, list] = {}
         counter = 1
-
-        def walk(root: str) -> None:
-            nonlocal counter
+        for root in roots:
             out[root] = [counter, 0, -1]
             counter += 1
             stack = [(root, iter(children.get(root, ())))]
@@ -58,19 +119,42 @@ def nested_sets(spans: DataFrame) -> DataFrame:
                     out[child] = [counter, 0, out[span][0]]
                     counter += 1
                     stack.append((child, iter(children.get(child, ()))))
-
-        for root in roots:
-            walk(root)
-        for span in trace["span_id"]:  # cycles
-            if span not in out:
-                walk(span)
-        return pd.DataFrame({
-            "trace_id": trace["trace_id"].iloc[0], "span_id": list(out), "ns_left": [x[0] for x in out.values()],
-            "ns_right": [x[1] for x in out.values()], "ns_parent": [x[2] for x in out.values()],
-        })
-
-    narrow = spans.select("trace_id", "span_id", "parent_id", "ts_ns")
-    return narrow.groupBy("trace_id").applyInPandas(number, "trace_id string, span_id string, ns_left long, ns_right long, ns_parent long")
+        return [(trace, span, *x) for span, x in out.items()]
+
+    return _traces(spans.select("trace_id", "ts_ns", "span_id", "parent_id"), number, "trace_id string, span_id string, ns_left long, ns_right long, ns_parent long")
+
+
+def _descent(spans: DataFrame, above: DataFrame, below: DataFrame) -> DataFrame:
+    """trace_id, span_id, is_above, is_below: members of ``above`` with a descendant in
+    ``below`` and the reverse, by one walk down and one up each trace that has both."""
+    parts = [df.select("trace_id", "ts_ns", "span_id", "parent_id", F.lit(tag).alias("tag")) for df, tag in ((spans, "s"), (above, "a"), (below, "b"))]
+
+    def walk(trace: str, rows: list) -> list[tuple]:
+        top, low = {r[1] for r in rows if r[3] == "a"}, {r[1] for r in rows if r[3] == "b"}
+        if not top or not low:
+            return []
+        first = {}
+        for _, span, parent, _ in rows:
+            first.setdefault(span, parent)
+        roots, children = _forest(list(first.items()))
+        under, order, seen = {}, [], set()
+        stack = [(root, None) for root in roots]
+        while stack:
+            span, parent = stack.pop()
+            if span in seen:
+                continue
+            seen.add(span)
+            order.append((span, parent))
+            under[span] = parent is not None and (under[parent] or parent in top)
+            stack += [(child, span) for child in children.get(span, ())]
+        over = dict.fromkeys(seen, False)
+        for span, parent in reversed(order):
+            if parent is not None and (over[span] or span in low):
+                over[parent] = True
+        hits = [(span, span in top and over[span], span in low and under[span]) for span, _ in order]
+        return [(trace, *h) for h in hits if h[1] or h[2]]
+
+    return _traces(reduce(DataFrame.unionByName, parts), walk, "trace_id string, span_id string, is_above boolean, is_below boolean")
 
 
 def trace_context(spans: DataFrame) -> DataFrame:
@@ -108,14 +192,43 @@ class TraceEngine:
     def _column(self, f: T.Field) -> str:
         return f"f_{f.kind[0]}_{f.scope}_{f.name}".replace(".", "_").replace(":", "_").replace("-", "_").replace("/", "_")
 
-    def frame(self, fields: set, spans: DataFrame | None = None) -> DataFrame:
-        """Spans with a column per needed field: structs (text, number, values)."""
+    def _required(self, x) -> list[Column]:
+        """Conditions on single attribute rows that every match of ``x`` must have."""
+        if isinstance(x, T.Op) and x.op == "&&":
+            return self._required(x.left) + self._required(x.right)
+        if not isinstance(x, T.Op) or x.op not in ("=", ">", "<", ">=", "<=", "=~"):
+            return []
+        left, right, op = x.left, x.right, x.op
+        if isinstance(left, T.Literal) and isinstance(right, T.Field):
+            left, right, op = right, left, {">": "<", "<": ">", ">=": "<=", "<=": ">="}.get(op, op)
+        if not (isinstance(left, T.Field) and self._by_attr(left) and isinstance(right, T.Literal)) or right.kind == "nil":
+            return []
+        scopes, key = self._key(left)
+        test = self._test(F.col("val"), F.col("val_num"), op, right)
+        return [F.coalesce((F.col("key") == key) & F.col("scope").isin(*scopes) & test, F.lit(False))]
+
+    @staticmethod
+    def _by_attr(f: T.Field) -> bool:
+        return f.kind == "attribute" or f.name.startswith(("event:", "link:"))
+
+    def frame(self, fields: set, spans: DataFrame | None = None, where=None) -> DataFrame:
+        """Spans with a column per needed field: structs (text, number, values).  With ``where``,
+        only spans that may satisfy it: attribute rows that its conditions ask for name the
+        candidates, and only their attributes are gathered."""
         df = self.spans if spans is None else spans
         everything = self.spans
-        by_attr = [f for f in fields if f.kind == "attribute" or f.name.startswith(("event:", "link:"))]
+        by_attr = [f for f in fields if self._by_attr(f)]
         if by_attr:
             keys = {self._key(f)[1] for f in by_attr}
             hit = self.attrs.where(F.col("key").isin(*keys))
+            required = self._required(where)
+            if required:
+                if len(by_attr) == 1 and len(required) == 1 and by_attr[0].scope in ("span", "resource", "instrumentation"):
+                    hit = hit.where(required[0])  # a scope has one value, so its row is the answer
+                else:
+                    marks = [F.max(test).alias(f"r{i}") for i, test in enumerate(required)]
+                    asked = hit.where(reduce(Column.__or__, required)).groupBy(*_ID).agg(*marks)
+                    hit = hit.join(asked.where(" AND ".join(f"r{i}" for i in range(len(required)))).select(*_ID), _ID, "left_semi")
             picks = []
             for f in by_attr:
                 scopes, key = self._key(f)
@@ -124,9 +237,16 @@ class TraceEngine:
                 rank = F.when(F.col("scope") == "span", 0).otherwise(1)
                 best = F.min_by(F.when(mine, F.struct("val", "val_num")), F.when(mine, F.struct(rank.alias("r"), F.col("val").alias("v"))))
                 picks.append(best.alias(self._column(f)))
-                picks.append(F.collect_set(F.when(mine, F.struct("val", "val_num"))).alias(self._column(f) + "_all"))
-            pivoted = hit.groupBy(*_ID).agg(*picks)
-            df = df.join(pivoted, _ID, "left")
+                if self._many(f):
+                    picks.append(F.collect_set(F.when(mine, F.struct("val", "val_num"))).alias(self._column(f) + "_all"))
+            df = df.join(hit.groupBy(*_ID).agg(*picks), _ID, "inner" if required else "left")
+        return self._with_context(df, fields, everything)
+
+    @staticmethod
+    def _many(f: T.Field) -> bool:
+        return f.scope in ("event", "link") or f.name.startswith(("event:", "link:"))
+
+    def _with_context(self, df: DataFrame, fields: set, everything: DataFrame) -> DataFrame:
         names = {f.name for f in fields if f.kind == "intrinsic"}
         if names & {"traceDuration", "rootName", "rootServiceName"}:
             df = df.join(trace_context(everything), "trace_id", "left")
@@ -134,9 +254,13 @@ class TraceEngine:
             children = everything.groupBy("trace_id", F.col("parent_id").alias("span_id")).agg(F.countDistinct(F.col("span_id")).alias("children"))
             df = df.join(children, _ID, "left")
         if any(n.startswith("nestedSet") for n in names):
-            df = df.join(nested_sets(everything), _ID, "left")
+            df = df.join(self._tours, _ID, "left")
         return df
 
+    @cached_property
+    def _tours(self) -> DataFrame:
+        return nested_sets(self.spans)
+
     def _key(self, f: T.Field) -> tuple[list[str], str]:
         if f.kind == "intrinsic":
             scope, key = f.name.split(":")
@@ -200,7 +324,7 @@ class TraceEngine:
             there = self.text(left).isNotNull()
             return there if op == "!=" else ~there
         absent_counts = op in ("!=", "!~")
-        many = isinstance(left, T.Field) and (left.scope in ("event", "link") or left.name.startswith(("event:", "link:")))
+        many = isinstance(left, T.Field) and self._many(left)
         if many and isinstance(right, T.Literal):
             # any value may satisfy; a negation holds when none equals
             positive = {"!=": "=", "!~": "=~"}.get(op, op)
@@ -236,39 +360,36 @@ class TraceEngine:
             return self.groups(node).select(*cols).distinct()
         if isinstance(node, T.Spanset):
             fields = self._needed(node.expr, set())
-            return self.frame(fields, spans).where(self.boolean(node.expr)).select(*cols).dropDuplicates(_ID)
+            return self.frame(fields, spans, node.expr).where(self.boolean(node.expr)).select(*cols).dropDuplicates(_ID)
         a, b = self.spanset(node.left, spans), self.spanset(node.right, spans)
         if isinstance(node, T.Combine):
             if node.op == "&&":
                 both = a.select("trace_id").distinct().join(b.select("trace_id").distinct(), "trace_id")
                 a, b = a.join(both, "trace_id", "left_semi"), b.join(both, "trace_id", "left_semi")
             return a.unionByName(b).dropDuplicates(_ID)
-        hit_right, hit_left = self._related(node.op, a, b)
+        if node.op in (">>", "<<"):
+            above, below = (a, b) if node.op == ">>" else (b, a)
+            met = _descent(self.spans, above, below)
+            mine, theirs = ("is_below", "is_above") if node.op == ">>" else ("is_above", "is_below")
+            take = lambda df, flag, how="left_semi": df.join(met.where(flag).select(*_ID), _ID, how)
+            right, left = lambda how="left_semi": take(b, mine, how), lambda: take(a, theirs)
+        else:
+            right, left = lambda how="left_semi": self._beside(node.op, b, a, how), lambda: self._beside({">": "<", "<": ">"}.get(node.op, node.op), a, b, "left_semi")
         if node.mode == "plain":
-            return b.join(hit_right, _ID, "left_semi")
+            return right()
         if node.mode == "not":
-            return b.join(hit_right, _ID, "left_anti")
-        return a.join(hit_left, _ID, "left_semi").unionByName(b.join(hit_right, _ID, "left_semi")).dropDuplicates(_ID)
-
-    def _related(self, op: str, a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Ids of the right and left spans that take part in ``a op b``."""
-        rename = lambda df, p: df.select(*[F.col(c).alias(f"{p}_{c}") for c in df.columns])
-        if op in (">>", "<<"):
-            tours = nested_sets(self.spans)
-            a, b = a.join(tours, _ID), b.join(tours, _ID)
-        left, right = rename(a, "a"), rename(b, "b")
-        same = F.col("a_trace_id") == F.col("b_trace_id")
-        not_self = F.col("a_span_id") != F.col("b_span_id")
+            return right("left_anti")
+        return left().unionByName(right()).dropDuplicates(_ID)
+
+    @staticmethod
+    def _beside(op: str, mine: DataFrame, other: DataFrame, how: str) -> DataFrame:
+        """Spans of ``mine`` that are children (>), parents (<) or siblings (~) of one in ``other``."""
+        o = other.select(*[F.col(c).alias(f"o_{c}") for c in ("trace_id", "span_id", "parent_id")])
         on = {
-            ">": same & (F.col("b_parent_id") == F.col("a_span_id")) & not_self,
-            "<": same & (F.col("a_parent_id") == F.col("b_span_id")) & not_self,
-            "~": same & (F.col("a_parent_id") == F.col("b_parent_id")) & ~F.col("a_parent_id").isin(*_ROOTLESS) & not_self,
-            ">>": same & (F.col("a_ns_left") < F.col("b_ns_left")) & (F.col("b_ns_right") < F.col("a_ns_right")) if op == ">>" else None,
-            "<<": same & (F.col("b_ns_left") < F.col("a_ns_left")) & (F.col("a_ns_right") < F.col("b_ns_right")) if op == "<<" else None,
+            ">": F.col("parent_id") == F.col("o_span_id"), "<": F.col("o_parent_id") == F.col("span_id"),
+            "~": (F.col("parent_id") == F.col("o_parent_id")) & ~F.col("parent_id").isin(*_ROOTLESS),
         }[op]
-        hit_right = right.join(left, on, "left_semi").select(F.col("b_trace_id").alias("trace_id"), F.col("b_span_id").alias("span_id"))
-        hit_left = left.join(right, on, "left_semi").select(F.col("a_trace_id").alias("trace_id"), F.col("a_span_id").alias("span_id"))
-        return hit_right, hit_left
+        return mine.join(o, (F.col("trace_id") == F.col("o_trace_id")) & on & (F.col("span_id") != F.col("o_span_id")), how)
 
     # -- pipeline ----------------------------------------------------------------------------
 
@@ -304,24 +425,30 @@ class TraceEngine:
     def search(self, text: str, start: int | None = None, end: int | None = None, limit: int = 20, spans_per_set: int = 3) -> DataFrame:
         """The newest matching traces: trace summary and up to ``spans_per_set`` spans per group,
         with the fields of select()."""
-        engine = self if start is None else TraceEngine(self.spark, self.spans, self.attrs)
         query = T.parse(text)
-        found = engine.groups(query)
-        if start is not None:
-            inside = self.spans.where((F.col("ts_ns") > start) & (F.col("ts_ns") <= end)).select(*_ID)
-            found = found.join(inside, _ID, "left_semi")
+        inside = None if start is None else (F.col("ts_ns") > start) & (F.col("ts_ns") <= end)
+        found = self._found(query, inside)
         newest = found.groupBy("trace_id").agg(F.max("ts_ns").alias("last"), F.countDistinct(F.col("span_id")).alias("matched"))
-        top = newest.orderBy(F.col("last").desc(), "trace_id").limit(limit)
+        top = F.broadcast(newest.orderBy(F.col("last").desc(), "trace_id").limit(limit))  # at most ``limit`` traces
+        # matches stay within their trace, so the rest needs those traces only
+        few = TraceEngine(self.spark, self.spans.join(top, "trace_id", "left_semi"), self.attrs.join(top, "trace_id", "left_semi"))
         rank = F.row_number().over(Window.partitionBy("trace_id", "group").orderBy("ts_ns", "span_id"))
-        shown = found.join(F.broadcast(top), "trace_id").withColumn("rank", rank).where(F.col("rank") <= spans_per_set)  # at most ``limit`` traces
-        context = trace_context(self.spans.join(F.broadcast(top.select("trace_id")), "trace_id", "left_semi"))
-        out = shown.join(context, "trace_id").drop("rank")
+        shown = few._found(query, inside).join(top, "trace_id").withColumn("rank", rank).where(F.col("rank") <= spans_per_set)
+        out = shown.join(trace_context(few.spans), "trace_id").drop("rank")
         fields = [a for s in query.stages if s.kind == "select" for a in s.args]
         if fields:
-            extra = self.frame(self._needed(fields, set())).select(*_ID, *[self.text(f).alias(f"{f.scope + '.' if f.scope else ''}{f.name}") for f in fields]).dropDuplicates(_ID)
+            extra = few.frame(self._needed(fields, set())).select(*_ID, *[self.text(f).alias(f"{f.scope + '.' if f.scope else ''}{f.name}") for f in fields]).dropDuplicates(_ID)
             out = out.join(extra, _ID, "left")
         return out
 
+    def _found(self, query: T.Query, inside: Column | None) -> DataFrame:
+        """Groups of the spans ``inside`` a window; a filter alone reads only those."""
+        if inside is None:
+            return self.groups(query)
+        if isinstance(query.root, T.Spanset) and all(s.kind == "select" for s in query.stages):
+            return self.spanset(query.root, self.spans.where(inside)).withColumn("group", F.lit(""))
+        return self.groups(query).where(inside)
+
     def trace(self, trace_id: str) -> DataFrame:
         """All stored spans of a trace; replays of a (span, kind) collapse."""
         return self.spans.where(F.col("trace_id") == trace_id).dropDuplicates(["span_id", "kind"])
@@ -338,10 +465,14 @@ class TraceEngine:
         low, high = start - start % step, end + (-end) % step
         search = T.Query(query.root, query.stages[:at])
         stage = query.stages[at]
-        inside = self.spans.where((F.col("ts_ns") >= low) & (F.col("ts_ns") < high)).dropDuplicates(_ID)
+        inside = self.spans.where((F.col("ts_ns") >= low) & (F.col("ts_ns") < high))
+        own = [*self._needed([query.root.expr], set())] if isinstance(query.root, T.Spanset) else []
+        if own and not query.stages[:at] and all(f.kind == "intrinsic" and f.name in _STORED for f in own):
+            inside = inside.where(self.boolean(query.root.expr))  # replays of a span agree
+        inside = inside.dropDuplicates(_ID)
         if isinstance(query.root, T.Spanset) and not query.stages[:at]:
             fields = self._needed([query.root.expr, stage.by, stage.args], set())
-            rows = self.frame(fields, inside).where(self.boolean(query.root.expr))
+            rows = self.frame(fields, inside, query.root.expr).where(self.boolean(query.root.expr))
         else:
             rows = self.frame(self._needed([stage.by, stage.args], set()), inside).join(self.groups(search).select(*_ID).distinct(), _ID, "left_semi")
         rows = rows.withColumn("step", F.col("ts_ns") - F.pmod(F.col("ts_ns"), F.lit(step)))
