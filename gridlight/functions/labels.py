@@ -13,6 +13,12 @@ def series_key(labels: Column) -> Column:
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(labels))))
 
 
+def of_key(key: Column) -> Column:
+    """The label map of a canonical text.  Aggregates group by the text and read the map
+    off it afterwards: a map among the aggregates would rule out hash aggregation."""
+    return F.from_json(key, "map<string,string>")
+
+
 def _names(names) -> Column:
     return F.array(*[F.lit(n) for n in names]) if names else F.array().cast("array<string>")
 

@@ -6,6 +6,7 @@ from __future__ import annotations
 import ipaddress
 import json
 import re
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 _BAD_NAME = re.compile(r"[^a-zA-Z0-9_]")
 
 
+@lru_cache(65_536)
 def sanitize(name: str) -> str:
     name = _BAD_NAME.sub("_", name.strip())
     return "_" + name if name[:1].isdigit() else name
@@ -57,46 +59,30 @@ def flatten(line: str | None) -> str | None:
     return json.dumps(flat)
 
 
+#: One step over a line: a key with its value (quoted, open-quoted or plain), a key that a
+#: quote ends, or a stray character.
+_PAIR = re.compile(
+    r"""[\x00-\x20]*(?:([^\x00-\x20="]+)(?:=(?:("(?:[^"\\]|\\.)*")|(")|([^\x00-\x20]*))|(")|)|(["=]))""", re.DOTALL
+)
+
+
 def logfmt(line: str | None, strict: bool = False, keep_empty: bool = False) -> str | None:
     """logfmt pairs -> flat JSON object of strings; None for a bad line when strict."""
     flat: dict[str, str] = {}
-    text, at, n = line or "", 0, len(line or "")
-    while at < n:
-        while at < n and text[at] <= " ":
-            at += 1
-        start = at
-        while at < n and text[at] > " " and text[at] not in '="':
-            at += 1
-        key, value = text[start:at], ""
-        if at < n and text[at] == '"' or (at < n and text[at] == "=" and not key):
+    for key, quoted, open_, plain, cut, stray in _PAIR.findall(line or ""):
+        if cut or stray or open_:
             if strict:
                 return None
-            at += 1
+            if open_:
+                break
             continue
-        if at < n and text[at] == "=":
-            at += 1
-            if at < n and text[at] == '"':
-                end = at + 1
-                while end < n and text[end] != '"':
-                    end += 2 if text[end] == "\\" else 1
-                if end >= n:
-                    if strict:
-                        return None
-                    break
-                try:
-                    value = json.loads(text[at : end + 1])
-                except ValueError:
-                    value = text[at + 1 : end]
-                at = end + 1
-            else:
-                start = at
-                while at < n and text[at] > " ":
-                    at += 1
-                value = text[start:at]
-        elif strict and key and at < n and text[at] > " ":
-            return None
-        if key and (value or keep_empty):
-            flat.setdefault(sanitize(key), value)
+        if quoted:
+            try:
+                plain = json.loads(quoted)
+            except ValueError:
+                plain = quoted[1:-1]
+        if plain or keep_empty:
+            flat.setdefault(sanitize(key), plain)
     return json.dumps(flat)
 
 

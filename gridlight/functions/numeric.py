@@ -113,6 +113,24 @@ def max_of(x: Column) -> Column:
     return F.when(F.count(F.when(~F.isnan(x), 1)) > 0, F.max(F.when(~F.isnan(x), x))).otherwise(F.min(x))
 
 
+def _halves(x: Column) -> tuple[Column, Column]:
+    """Upper and lower 26 bits of a double's mantissa; their sums round much later than its own."""
+    split = x * 134217729.0
+    high = F.when(F.abs(x) < 1e290, split - (split - x)).otherwise(x)
+    return high, F.when(F.abs(x) < 1e290, x - high).otherwise(F.lit(0.0))
+
+
+def sum_of(x: Column) -> Column:
+    """Aggregate sum, compensated: exact but for a last rounding over some 10^7 values of
+    like size, in whatever order partial sums meet."""
+    high, low = _halves(x)
+    return F.sum(high) + F.sum(low)
+
+
+def avg_of(x: Column) -> Column:
+    return sum_of(x) / F.count(x)
+
+
 def quantile(values: Column, q: Column) -> Column:
     """Linear interpolation over an array of doubles; NaN elements order first."""
     ordered = F.array_sort(values, lambda a, b: F.when(F.isnan(a) & F.isnan(b), 0).when(F.isnan(a), -1).when(F.isnan(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0))

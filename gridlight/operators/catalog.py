@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import labels as L
 from ..functions import logparse as LP
@@ -59,25 +64,40 @@ def volume(lines: DataFrame, by: list[str] | None = None, limit: int = 100, mode
 # -- patterns ----------------------------------------------------------------------------
 
 
-def pattern(line: Column) -> Column:
+_WRAPPED = re.compile(r"""([\[\](){}<>"',;:.!?]*)(.*?)([\[\](){}<>"',;:.!?]*)""", re.DOTALL)
+_KEYED = re.compile(r"([^=:]+[=:])(.+)", re.DOTALL)
+_DIGIT, _BLANK = re.compile(r"[0-9]"), re.compile(r"[ \t\n\x0b\f\r]+")
+
+
+def _cut(text: str, most: int) -> str:
+    """At most ``most`` bytes, whole characters."""
+    return text if len(text) * 4 <= most else text.encode()[:most].decode(errors="ignore")
+
+
+def _fragment(x: str) -> str:
+    return "<_>" if x and (_DIGIT.search(x) or len(x.encode()) > 64) else x
+
+
+@lru_cache(65_536)
+def _token(t: str) -> str:
+    lead, body, tail = _WRAPPED.fullmatch(t).groups()
+    keyed = _KEYED.fullmatch(body)
+    if keyed and not _DIGIT.search(keyed[1]):
+        before, value, after = _WRAPPED.fullmatch(keyed[2]).groups()
+        return f"{lead}{keyed[1]}{before}{_fragment(value)}{after}{tail}"
+    return lead + _fragment(body) + tail
+
+
+def template(line: str | None) -> str:
     """Template of a line: of the first KiB's white-space tokens, fragments that hold a digit
     or are longer than 64 bytes become ``<_>``; wrapping punctuation and keys stay."""
-    head = F.substring(line, 1, 1024)
-    tokens = F.slice(F.filter(F.split(head, r"\s+"), lambda t: t != ""), 1, 64)
-    core = r"""^([\[\](){}<>"',;:.!?]*)(.*?)([\[\](){}<>"',;:.!?]*)$"""
-
-    def fragment(x: Column) -> Column:
-        return F.when((x != "") & (x.rlike(r"\d") | (F.octet_length(x) > 64)), "<_>").otherwise(x)
-
-    def token(t: Column) -> Column:
-        body = F.regexp_extract(t, core, 2)
-        key, value = F.regexp_extract(body, r"^([^=:]+[=:])(.+)$", 1), F.regexp_extract(body, r"^([^=:]+[=:])(.+)$", 2)
-        lead, tail = F.regexp_extract(value, core, 1), F.regexp_extract(value, core, 3)
-        inner = F.concat(lead, fragment(F.regexp_extract(value, core, 2)), tail)
-        shown = F.when((key != "") & ~key.rlike(r"\d"), F.concat(key, inner)).otherwise(fragment(body))
-        return F.concat(F.regexp_extract(t, core, 1), shown, F.regexp_extract(t, core, 3))
-
-    return F.substring(F.array_join(F.transform(tokens, token), " "), 1, 512)
+    tokens = [t for t in _BLANK.split(_cut(line or "", 1024)) if t]
+    return _cut(" ".join(map(_token, tokens[:64])), 512)
+
+
+@F.pandas_udf(StringType())
+def pattern(line: pd.Series) -> pd.Series:
+    return line.map(template)
 
 
 def patterns(lines: DataFrame, step: int, limit: int = 1000) -> DataFrame:

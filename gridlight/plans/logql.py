@@ -343,32 +343,32 @@ class _MetricEngine(Engine):
             "count_over_time": (F.count(v), F.sum("s").cast("double")),
             "rate": (F.sum(v) if unwrapped else F.count(v), F.sum("s") / F.lit(seconds)),
             "bytes_over_time": (F.sum(v), F.sum("s")), "bytes_rate": (F.sum(v), F.sum("s") / F.lit(seconds)),
-            "sum_over_time": (F.sum(v), F.sum("s")),
-            "avg_over_time": (F.struct(F.sum(v).alias("t"), F.count(v).alias("n")), F.sum("s.t") / F.sum("s.n")),
+            "sum_over_time": (N.sum_of(v), N.sum_of(F.col("s"))),
+            "avg_over_time": (N.sum_of(v), N.sum_of(F.col("s")) / F.sum("n")),
             "min_over_time": (N.min_of(v), N.min_of(F.col("s"))), "max_over_time": (N.max_of(v), N.max_of(F.col("s"))),
             "first_over_time": (F.min(F.struct("ts", "h", "value")), F.min("s")["value"]),
             "last_over_time": (F.max(F.struct("ts", "h", "value")), F.max("s")["value"]),
         }.get(op, (None, None))
-        first = F.first("labels").alias("labels")
+        named = L.of_key(F.col("key"))
         if partial is not None:
             dealt = G.bucketed(rows, "ts", grid, span, offset)
             if dealt is None:
-                one = G.window(rows, "ts", grid, span, offset).groupBy("key", "step").agg(first, partial.alias("s"))
+                one = G.window(rows, "ts", grid, span, offset).groupBy("key", "step").agg(partial.alias("s"), F.count(v).alias("n"))
             else:
-                one = G.spread(dealt.groupBy("key", "bucket").agg(first, partial.alias("s")), grid, span)
-            out = one.groupBy("key", "step").agg(first, final.alias("value"))
+                one = G.spread(dealt.groupBy("key", "bucket").agg(partial.alias("s"), F.count(v).alias("n")), grid, span)
+            out = one.groupBy("key", "step").agg(final.alias("value"))
         elif op in ("stddev_over_time", "stdvar_over_time"):
             f = F.stddev_pop if op[:6] == "stddev" else F.var_pop
-            out = G.window(rows, "ts", grid, span, offset).groupBy("key", "step").agg(first, f(v).alias("value"))
+            out = G.window(rows, "ts", grid, span, offset).groupBy("key", "step").agg(f(v).alias("value"))
         else:
             seen = G.window(rows, "ts", grid, span, offset)
-            a = seen.groupBy("key", "step").agg(first, F.sort_array(F.collect_list(F.struct("ts", "h", "value"))).alias("a"))
+            a = seen.groupBy("key", "step").agg(F.sort_array(F.collect_list(F.struct("ts", "h", "value"))).alias("a"))
             values = F.transform("a", lambda x: x["value"])
             if op == "quantile_over_time":
                 out = a.withColumn("value", N.quantile(values, N.const(node.param)))
             else:  # rate_counter
                 out = a.withColumn("value", _rate_counter(span, seconds))
-        return _vector(out.select("step", "labels", "key", "value"))
+        return _vector(out.select("step", named.alias("labels"), "key", "value"))
 
 
 def _vector(df: DataFrame) -> Vector:

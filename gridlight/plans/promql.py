@@ -7,12 +7,16 @@ loop is a column, so all steps of a range query are one plan.  Nothing is collec
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass, field
 from itertools import count
 
+import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import labels as L
 from ..functions import numeric as N
@@ -144,9 +148,9 @@ class Engine:
         inner, pinned = self._times(node, grid)
         rows = G.window(self._select(node), "ts", inner, self.lookback_ms, node.offset_ms)
         newest = rows.groupBy("metric", "key", "step").agg(
-            F.max_by(F.struct("value", "stale", "ts", "labels"), "ts").alias("s")
-        ).where("NOT s.stale")
-        out = newest.select("step", F.col("s.labels").alias("labels"), F.col("metric").alias("name"), "key", F.col("s.value").alias("value"), F.col("s.ts").alias("ts"))
+            F.max_by("value", "ts").alias("value"), F.max_by("stale", "ts").alias("stale"), F.max("ts").alias("ts")
+        ).where("NOT stale")
+        out = newest.select("step", L.of_key(F.col("key")).alias("labels"), F.col("metric").alias("name"), "key", "value", "ts")
         if pinned:
             out = G.everywhere(out.drop("step"), grid)
         return Vector(out, node)
@@ -190,33 +194,49 @@ class Engine:
             return self._extended(fn, modifier, rows, span, offset, inner, pinned, grid)
         by = ["name", "key", "step"]
         v, ts = F.col("value"), F.col("ts")
+        newest, oldest = [F.max_by(v, ts).alias("s"), F.max(ts).alias("t")], [F.min_by(v, ts).alias("s"), F.min(ts).alias("t")]
         simple = {
-            "sum_over_time": ([F.sum(v).alias("s")], [F.sum("s").alias("value")]),
+            "sum_over_time": ([N.sum_of(v).alias("s")], [N.sum_of(F.col("s")).alias("value")]),
             "count_over_time": ([F.count(v).alias("s")], [F.sum("s").cast("double").alias("value")]),
-            "avg_over_time": ([F.sum(v).alias("s"), F.count(v).alias("n")], [(F.sum("s") / F.sum("n")).alias("value")]),
+            "avg_over_time": ([N.sum_of(v).alias("s"), F.count(v).alias("n")], [(N.sum_of(F.col("s")) / F.sum("n")).alias("value")]),
             "min_over_time": ([N.min_of(v).alias("s")], [N.min_of(F.col("s")).alias("value")]),
             "max_over_time": ([N.max_of(v).alias("s")], [N.max_of(F.col("s")).alias("value")]),
             "present_over_time": ([F.lit(1.0).alias("s")], [F.lit(1.0).alias("value")]),
-            "last_over_time": ([F.max(F.struct("ts", "value")).alias("s")], [F.max("s")["value"].alias("value")]),
-            "first_over_time": ([F.min(F.struct("ts", "value")).alias("s")], [F.min("s")["value"].alias("value")]),
+            "last_over_time": (newest, [F.max_by("s", "t").alias("value")]),
+            "first_over_time": (oldest, [F.min_by("s", "t").alias("value")]),
             "ts_of_last_over_time": ([F.max(ts).alias("s")], [(F.max("s") / 1000).alias("value")]),
             "ts_of_first_over_time": ([F.min(ts).alias("s")], [(F.min("s") / 1000).alias("value")]),
         }
-        first_labels = F.first("labels").alias("labels")
+        labels = L.of_key(F.col("key"))
         if fn in simple:
             partial, final = simple[fn]
             dealt = G.bucketed(rows, "ts", inner, span, offset)
             if dealt is None:
-                one = G.window(rows, "ts", inner, span, offset).groupBy(*by).agg(first_labels, *partial)
-                out = one.groupBy(*by).agg(first_labels, *final)
+                one = G.window(rows, "ts", inner, span, offset).groupBy(*by).agg(*partial)
             else:
-                pre = dealt.groupBy("name", "key", "bucket").agg(first_labels, *partial)
-                out = G.spread(pre, inner, span).groupBy(*by).agg(first_labels, *final)
+                one = G.spread(dealt.groupBy("name", "key", "bucket").agg(*partial), inner, span)
+            out = one.groupBy(*by).agg(*final).withColumn("labels", labels)
+        elif fn in ("stddev_over_time", "stdvar_over_time", "deriv", "predict_linear"):
+            seen = G.window(rows, "ts", inner, span, offset)
+            x = (ts - F.col("step") + F.lit(offset)) / 1000
+            facts = seen.groupBy(*by).agg(
+                F.var_pop(v).alias("variance"), F.count(F.lit(1)).alias("n"), F.min(v).alias("low"), F.max(v).alias("high"),
+                F.regr_slope(v, x).alias("slope"), F.regr_intercept(v, x).alias("level"),
+            ).withColumn("labels", labels)
+            flat, endless = F.col("low") == F.col("high"), F.abs("low") == N.INF
+            slope = F.when(flat, F.when(endless, N.const(N.NAN)).otherwise(0.0)).otherwise(F.col("slope"))
+            if fn == "deriv":
+                out = facts.where("n > 1").withColumn("value", slope)
+            elif fn == "predict_linear":
+                level = F.when(flat & ~endless, F.col("low")).otherwise(F.col("level"))
+                out = self._with_sides(facts.where("n > 1"), param).withColumn("value", level + slope * param.col)
+            else:
+                out = facts.withColumn("value", F.sqrt("variance") if fn[:6] == "stddev" else F.col("variance"))
         elif fn in ("rate", "increase", "delta"):
             out = self._extrapolated(fn, rows, span, offset, inner)
         else:
             seen = G.window(rows, "ts", inner, span, offset)
-            arrays = seen.groupBy(*by).agg(first_labels, F.sort_array(F.collect_list(F.struct("ts", "value"))).alias("a"))
+            arrays = seen.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("ts", "value"))).alias("a")).withColumn("labels", labels)
             sides = [*(param.sides if param else ()), *(param2.sides if param2 else ())]
             for side in sides:
                 arrays = arrays.join(F.broadcast(side), "step", "left")  # one row per step
@@ -231,27 +251,43 @@ class Engine:
         before = Window.partitionBy("name", "key").orderBy("ts")
         near = rows.where((F.col("ts") > grid.start - offset - span) & (F.col("ts") <= grid.last - offset))
         near = near.withColumn("p_ts", F.lag("ts").over(before)).withColumn("p", F.lag("value").over(before))
-        seen = G.window(near, "ts", grid, span, offset)
-        inside = F.col("p_ts") > F.col("step") - F.lit(offset + span)
-        fallen = F.when(inside & (F.col("value") < F.col("p")), F.col("p")).otherwise(F.lit(0.0))
-        out = seen.groupBy("name", "key", "step").agg(
-            F.first("labels").alias("labels"), F.count(F.lit(1)).alias("n"),
-            F.min(F.struct("ts", "value")).alias("f"), F.max(F.struct("ts", "value")).alias("l"), F.sum(fallen).alias("resets"),
-        ).where("n >= 2 AND l.ts > f.ts")
+        begin = F.col("step") - F.lit(offset + span)
+        fallen = F.when(F.col("value") < F.col("p"), F.col("p")).otherwise(F.lit(0.0))
+        edges = [
+            F.count(F.lit(1)).alias("n"), F.min("ts").alias("f_ts"), F.min_by("value", "ts").alias("f"),
+            F.max("ts").alias("l_ts"), F.max_by("value", "ts").alias("l"),
+        ]
+        dealt = G.bucketed(near, "ts", grid, span, offset)
+        if dealt is None:
+            inside = F.when(F.col("p_ts") > begin, fallen).otherwise(F.lit(0.0))
+            out = G.window(near, "ts", grid, span, offset).groupBy("name", "key", "step").agg(*edges, F.sum(inside).alias("resets"))
+        else:
+            # a bucket's first sample may have fallen from one of an earlier bucket, which a
+            # window holds or not; all other falls are the bucket's own
+            across = F.col("p_ts") <= F.col("bucket") - F.lit(offset + grid.step)
+            own = dealt.groupBy("name", "key", "bucket").agg(
+                *edges, F.sum(F.when(across, 0.0).otherwise(fallen)).alias("own"),
+                F.max(F.when(across, F.col("p_ts"))).alias("c_ts"), F.max(F.when(across, fallen)).alias("c"),
+            )
+            out = G.spread(own, grid, span).groupBy("name", "key", "step").agg(
+                F.sum("n").alias("n"), F.min("f_ts").alias("f_ts"), F.min_by("f", "f_ts").alias("f"), F.max("l_ts").alias("l_ts"), F.max_by("l", "l_ts").alias("l"),
+                F.sum(F.col("own") + F.when(F.col("c_ts") > begin, F.col("c")).otherwise(F.lit(0.0))).alias("resets"),
+            )
+        out = out.where("n >= 2 AND l_ts > f_ts").withColumn("labels", L.of_key(F.col("key")))
         counter = fn != "delta"
-        change = F.col("l.value") - F.col("f.value")
+        change = F.col("l") - F.col("f")
         out = out.withColumn("res", change + F.col("resets") if counter else change)
         end = F.col("step") - F.lit(offset)
         out = (
-            out.withColumn("ds", (F.col("f.ts") - (end - F.lit(span))) / 1000)
-            .withColumn("de", (end - F.col("l.ts")) / 1000)
-            .withColumn("si", (F.col("l.ts") - F.col("f.ts")) / 1000)
+            out.withColumn("ds", (F.col("f_ts") - (end - F.lit(span))) / 1000)
+            .withColumn("de", (end - F.col("l_ts")) / 1000)
+            .withColumn("si", (F.col("l_ts") - F.col("f_ts")) / 1000)
             .withColumn("mean", F.col("si") / (F.col("n") - 1))
             .withColumn("ds", F.when(F.col("ds") >= F.col("mean") * 1.1, F.col("mean") / 2).otherwise(F.col("ds")))
             .withColumn("de", F.when(F.col("de") >= F.col("mean") * 1.1, F.col("mean") / 2).otherwise(F.col("de")))
         )
         if counter:
-            zero = F.when((F.col("res") > 0) & (F.col("f.value") >= 0), F.col("si") * N.div(F.col("f.value"), F.col("res"))).otherwise(F.col("ds"))
+            zero = F.when((F.col("res") > 0) & (F.col("f") >= 0), F.col("si") * N.div(F.col("f"), F.col("res"))).otherwise(F.col("ds"))
             out = out.withColumn("ds", F.least("ds", zero))
         factor = (F.col("si") + F.col("ds") + F.col("de")) / F.col("si")
         if fn == "rate":
@@ -266,7 +302,6 @@ class Engine:
             F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), F.lit(0.0),
             lambda s, i: s + F.when((n > 1) & use(F.get(a, i - 1)["value"], F.get(a, i)["value"]), 1.0).otherwise(0.0),
         )
-        total = lambda f: F.aggregate(a, F.lit(0.0), lambda s, x: s + f(x))
         seconds = (last["ts"] - before["ts"]) / 1000
         if fn == "irate":
             rise = F.when(last["value"] < before["value"], last["value"]).otherwise(last["value"] - before["value"])
@@ -277,10 +312,6 @@ class Engine:
             return pairs(N.COMPARISON[">"])
         if fn == "changes":
             return pairs(lambda x, y: N.COMPARISON["!="](x, y) & ~(F.isnan(x) & F.isnan(y)))
-        mean = total(lambda x: x["value"]) / n
-        if fn in ("stdvar_over_time", "stddev_over_time"):
-            variance = total(lambda x: (x["value"] - mean) * (x["value"] - mean)) / n
-            return F.sqrt(variance) if fn == "stddev_over_time" else variance
         if fn == "quantile_over_time":
             return N.quantile(values, param)
         if fn == "mad_over_time":
@@ -293,19 +324,6 @@ class Engine:
                 lambda s, x: F.when(better(x["value"], s["value"]) | F.isnan(s["value"]), x).otherwise(s),
             )
             return pick["ts"] / 1000
-        if fn in ("deriv", "predict_linear"):
-            origin = F.get(a, F.lit(0))["ts"] if fn == "deriv" else F.col("step") - F.lit(offset)
-            x_of = lambda x: (x["ts"] - origin) / 1000
-            sx, sy = total(x_of), total(lambda x: x["value"])
-            sxy, sxx = total(lambda x: x_of(x) * x["value"]), total(lambda x: x_of(x) * x_of(x))
-            first = F.get(a, F.lit(0))["value"]
-            slope = N.div(sxy - sx * sy / n, sxx - sx * sx / n)
-            flat = F.forall(a, lambda x: x["value"] == first)
-            slope = F.when(flat & (F.abs(first) == N.INF), N.const(N.NAN)).when(flat, N.const(0)).otherwise(slope)
-            if fn == "deriv":
-                return F.when(n > 1, slope)
-            level = F.when(flat & (F.abs(first) != N.INF), first).otherwise(sy / n - slope * sx / n)
-            return F.when(n > 1, level + slope * param)
         if fn == "double_exponential_smoothing":
             start = F.struct(F.get(a, F.lit(0))["value"].alias("s"), (F.get(a, F.lit(1))["value"] - F.get(a, F.lit(0))["value"]).alias("b"), F.lit(0).alias("i"))
 
@@ -327,7 +345,7 @@ class Engine:
             raise PlanError(f"{modifier} works with {', '.join(sorted(allowed))} only")
         ahead = self.lookback_ms if modifier == "smoothed" else 0
         wide = G.window(rows, "ts", grid, span + self.lookback_ms + ahead, offset - ahead)
-        arrays = wide.groupBy("name", "key", "step").agg(F.first("labels").alias("labels"), F.sort_array(F.collect_list(F.struct("ts", "value"))).alias("all"))
+        arrays = wide.groupBy("name", "key", "step").agg(F.sort_array(F.collect_list(F.struct("ts", "value"))).alias("all")).withColumn("labels", L.of_key(F.col("key")))
         end = F.col("step") - F.lit(offset)
         begin = end - F.lit(span)
         everything = F.col("all")
@@ -349,7 +367,9 @@ class Engine:
 
         point = lambda t, v: F.struct(t.alias("ts"), v.alias("value"))
         framed = F.concat(F.array(point(begin, edge(begin))), F.filter(inside, lambda x: x["ts"] < end), F.array(point(end, edge(end))))
-        arrays = arrays.where(F.size(inside) > 0).withColumn("a", framed)
+        there = lambda use: F.exists(everything, use)
+        seen = there(lambda x: (x["ts"] > begin) & (x["ts"] <= end)) if modifier == "anchored" else there(lambda x: x["ts"] > begin) & there(lambda x: x["ts"] <= end)
+        arrays = arrays.where(seen).withColumn("a", framed)
         if fn in ("resets", "changes"):
             value = self._folded(fn, grid, offset, None, None)
         else:
@@ -626,32 +646,32 @@ class Engine:
             k = self._scalar(node.param, grid, depth)
             df = self._with_sides(df, k)
             if op == "limit_ratio":
-                # Spark's hash; another sample than with the reference's
-                share = (F.pmod(F.xxhash64("name", "key"), F.lit(1 << 31)) / F.lit(float(1 << 31)))
+                share = _series_share(F.col("name"), F.col("key"))
                 ratio = N.least(N.greatest(k.col, N.const(-1)), N.const(1))
                 picked = df.where(F.when(ratio >= 0, share < ratio).otherwise(share >= 1 + ratio))
             else:
                 ranked = {"topk": [F.isnan(v), v.desc()], "bottomk": [F.isnan(v), v.asc()], "limitk": []}[op]
                 rank = F.row_number().over(group.orderBy(*ranked, "key", "name"))
                 number = F.when(F.isnan(k.col), F.raise_error(F.lit("parameter value is NaN"))).otherwise(k.col)
-                picked = df.withColumn("rank", rank).where(F.col("rank") <= N.floor(number))
+                # a literal bound lets each task cut its groups before the shuffle
+                most = F.lit(max(0, math.floor(min(k.const, 2**31 - 1)))) if k.const is not None and not math.isnan(k.const) else N.floor(number)
+                picked = df.withColumn("rank", rank).where(F.col("rank") <= most)
             return Vector(picked.select("step", "labels", "name", "key", "value"), order=[F.isnan("value"), F.desc("value") if op == "topk" else F.asc("value")] if op in ("topk", "bottomk") else None)
-        first = F.first("g_labels").alias("labels")
         if op == "count_values":
             label = self._text(node.param)
             df = df.withColumn("g_labels", L.put(F.col("g_labels"), label, N.go_format(v))).withColumn("g", L.series_key(F.col("g_labels")))
-            out = df.groupBy(*by).agg(first, F.count(F.lit(1)).cast("double").alias("value"))
+            out = df.groupBy(*by).agg(F.count(F.lit(1)).cast("double").alias("value"))
         elif op == "quantile":
             q = self._scalar(node.param, grid, depth)
-            arrays = df.groupBy(*by).agg(first, F.collect_list("value").alias("vs"))
+            arrays = df.groupBy(*by).agg(F.collect_list("value").alias("vs"))
             out = self._with_sides(arrays, q).withColumn("value", N.quantile(F.col("vs"), q.col))
         else:
             value = {
-                "sum": F.sum(v), "avg": F.avg(v), "min": N.min_of(v), "max": N.max_of(v), "count": F.count(F.lit(1)).cast("double"),
+                "sum": N.sum_of(v), "avg": N.avg_of(v), "min": N.min_of(v), "max": N.max_of(v), "count": F.count(F.lit(1)).cast("double"),
                 "group": F.max(F.lit(1.0)), "stddev": F.stddev_pop(v), "stdvar": F.var_pop(v),
             }[op]
-            out = df.groupBy(*by).agg(first, value.alias("value"))
-        return Vector(out.select("step", "labels", F.col("g_name").alias("name"), F.col("g").alias("key"), "value"))
+            out = df.groupBy(*by).agg(value.alias("value"))
+        return Vector(out.select("step", L.of_key(F.col("g")).alias("labels"), F.col("g_name").alias("name"), F.col("g").alias("key"), "value"))
 
     # -- binary operators ---------------------------------------------------------------
 
@@ -746,6 +766,22 @@ class Engine:
         return Vector(self._checked(df).select("step", "labels", "name", "key", "value"))
 
 
+@F.pandas_udf(DoubleType())
+def _series_share(name: pd.Series, key: pd.Series) -> pd.Series:
+    """Place of a series in [0, 1]: xxh64 of its sorted labels, each name and value ended by
+    a byte 255; a series keeps it at all steps."""
+    seen: dict[tuple, float] = {}
+
+    def share(n: str | None, k: str) -> float:
+        if (n, k) not in seen:
+            labels = json.loads(k) | ({"__name__": n} if n else {})
+            text = b"".join(x.encode() + b"\xff" for kv in sorted(labels.items()) for x in kv)
+            seen[n, k] = xxhash.xxh64_intdigest(text) / float(2**64 - 1)
+        return seen[n, k]
+
+    return pd.Series([share(n, k) for n, k in zip(name, key)], dtype="float64")
+
+
 def _matches_empty(matcher: tuple[str, str, str]) -> bool:
     import re
 

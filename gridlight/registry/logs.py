@@ -18,6 +18,8 @@ H = 3600 * NS
 START, END, STEP = 1_704_153_600 * NS, 1_706_486_400 * NS, 6 * H
 AT = 1_705_276_800 * NS
 DAY0, DAY1 = 1_705_190_400 * NS, AT
+#: All events: 2024 up to March.
+FIRST, LAST = 1_704_067_200 * NS - 1, 1_709_251_200 * NS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,7 +54,7 @@ def metric(name: str, text: str, labels: tuple[str, ...], sql: str | None, sourc
     _add(f"logql_{name}", run, sql)
 
 
-def lines(name: str, text: str, labels: tuple[str, ...], sql: str | None, source=views.log_events, limit: int | None = None, window=(DAY0, DAY1), meta=None) -> None:
+def lines(name: str, text: str, labels: tuple[str, ...], sql: str | None, source=views.log_events, limit: int | None = None, window=(FIRST, LAST), meta=None) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = source(spark, sf_dir)
         if meta is not None:
@@ -64,16 +66,17 @@ def lines(name: str, text: str, labels: tuple[str, ...], sql: str | None, source
 
 
 T = ("event_type",)
-_IN = f"ts > {DAY0} AND ts <= {DAY1}"
+_IN = f"ts > {FIRST} AND ts <= {LAST}"
+_DAY = f"ts > {DAY0} AND ts <= {DAY1}"
 _BASE = f"WITH {_S} SELECT ts, line, event_type"
 
 # line filters and labels
 lines("stream", '{event_type=~"click|view"}', T, f"{_BASE} FROM s WHERE {_IN} AND event_type IN ('click', 'view')")
 lines("stream_limit", '{event_type=~".+"}', T, f"{_BASE} FROM s WHERE {_IN} ORDER BY ts DESC, event_type, line LIMIT 25", limit=25)
+lines("window", '{event_type="error"}', T, f"{_BASE} FROM s WHERE {_DAY} AND event_type = 'error'", window=(DAY0, DAY1))
 lines("filter_contains", '{event_type=~".+"} |= "user=1" or "user=2" != "value=9"', T, f"{_BASE} FROM s WHERE {_IN} AND (contains(line, 'user=1') OR contains(line, 'user=2')) AND NOT contains(line, 'value=9')")
-lines("filter_regex", '{event_type!="view"} |~ "user=\\\\d+5 " !~ "value=[12]"', T, None)
+lines("filter_regex", '{event_type=~".+", event_type!="view"} |~ "user=\\\\d+5 " !~ "value=[12]"', T, f"{_BASE} FROM s WHERE {_IN} AND event_type <> 'view' AND regexp_matches(line, 'user=\\d+5 ') AND NOT regexp_matches(line, 'value=[12]')")
 lines("filter_regex_raw", '{event_type=~".+", event_type!="view"} |~ `user=\\d+5 ` !~ `value=[12]`', T, f"{_BASE} FROM s WHERE {_IN} AND event_type <> 'view' AND regexp_matches(line, 'user=\\d+5 ') AND NOT regexp_matches(line, 'value=[12]')")
-del QUERIES["logql_filter_regex"]
 lines("logfmt", '{event_type=~".+"} | logfmt | user="17"', ("event_type", "event_type_extracted", "user", "value"), f"WITH {_S} SELECT ts, line, event_type, event_type AS event_type_extracted, CAST(user_id AS VARCHAR) AS user, CAST(cents AS VARCHAR) AS value FROM s WHERE {_IN} AND user_id = 17")
 lines("logfmt_targeted", '{event_type=~".+"} | logfmt u="user", nope | u=~"1."', ("u", "nope"), f"WITH {_S} SELECT ts, line, CAST(user_id AS VARCHAR) AS u, '' AS nope FROM s WHERE {_IN} AND user_id BETWEEN 10 AND 19")
 lines("label_filter_number", '{event_type=~".+"} | logfmt | value >= 5000 and user < 20 or value < 100', ("user", "value"), f"WITH {_S} SELECT ts, line, CAST(user_id AS VARCHAR) AS user, CAST(cents AS VARCHAR) AS value FROM s WHERE {_IN} AND ((cents >= 5000 AND user_id < 20) OR cents < 100)")
@@ -118,8 +121,14 @@ metric("unwrap_duration", 'sum by (event_type) (sum_over_time({event_type=~".+"}
 metric("unwrap_bytes", 'sum by (event_type) (sum_over_time({event_type=~".+"} | json | unwrap bytes(size) [1d]))', T, _M + "SELECT step, event_type, CAST(sum(user_id) * 1000 AS DOUBLE) AS value FROM w GROUP BY step, event_type", source=views.log_json)
 metric("offset", 'count_over_time({event_type=~".+"}[6h] offset 1d)', T, _with(_GRID, _S, _w(6 * H, 24 * H)) + "SELECT step, event_type, CAST(count(*) AS DOUBLE) AS value FROM w GROUP BY ALL")
 metric("absent_over_time", 'absent_over_time({event_type="signup"}[1h])', T, _with(_GRID, _S, _w(H)) + "SELECT step, 'signup' AS event_type, 1.0::DOUBLE AS value FROM g WHERE step NOT IN (SELECT step FROM w WHERE event_type = 'signup')")
-metric("rate_counter", f"rate_counter({_U} [1d])", T, None)
-metric("instant", 'sum(count_over_time({event_type=~".+"}[1d]))', (), f"WITH {_S} SELECT CAST({AT} AS BIGINT) AS step, CAST(count(*) AS DOUBLE) AS value FROM s WHERE {_IN}", instant=True)
+metric("rate_counter", f"rate_counter({_U} [1d])", T, _with(
+    _GRID, _S, _w(24 * H), "p AS (SELECT *, lag(cents) OVER (PARTITION BY step, event_type ORDER BY ts) AS pv FROM w)",
+    # the range counts in seconds, sampled times in microseconds: the language's own mix of units
+    "a AS (SELECT step, event_type, count(*) AS n, arg_min(cents, ts) AS fv, arg_max(cents, ts) - arg_min(cents, ts) + sum(CASE WHEN cents < pv THEN pv ELSE 0 END) AS res, (max(ts) - min(ts)) / 1000.0 AS si FROM p GROUP BY ALL)",
+    "b AS (SELECT *, si / (n - 1) AS av, CASE WHEN res > 0 AND fv >= 0 THEN least(86400.0, si * (fv / res)) ELSE 86400.0 END AS ds FROM a WHERE n > 1)")
+    + f"SELECT step, event_type, {_r('CAST(res AS DOUBLE) * ((si + CASE WHEN ds < av * 1.1 THEN ds ELSE av / 2 END + CASE WHEN 0 < av * 1.1 THEN 0 ELSE av / 2 END) / si) / 86400', 6)} AS value FROM b "
+    "UNION ALL SELECT step, event_type, 0.0::DOUBLE FROM a WHERE n = 1")
+metric("instant", 'sum(count_over_time({event_type=~".+"}[1d]))', (), f"WITH {_S} SELECT CAST({AT} AS BIGINT) AS step, CAST(count(*) AS DOUBLE) AS value FROM s WHERE {_DAY}", instant=True)
 
 # vector aggregations, operators
 _RU = 'count_over_time({event_type=~".+"} | logfmt | drop value, k, event_type_extracted [1d])'
@@ -129,7 +138,7 @@ for _op, _agg in {"sum": "sum(v)", "avg": "avg(v)", "min": "min(v)", "max": "max
 _KEY = "'{\"event_type\":\"' || event_type || '\",\"user\":\"' || user_id || '\"}'"
 for _op, _dir in (("topk", "DESC"), ("bottomk", "ASC")):
     metric(f"agg_{_op}", f"{_op} by (event_type) (2, {_RU})", ("event_type", "user"), _I + f"SELECT step, event_type, CAST(user_id AS VARCHAR) AS user, v AS value FROM i QUALIFY row_number() OVER (PARTITION BY step, event_type ORDER BY v {_dir}, {_KEY}) <= 2")
-_ONE = f"WITH {_S}, i AS (SELECT event_type, user_id, CAST(count(*) AS DOUBLE) AS v FROM s WHERE {_IN} GROUP BY ALL) "
+_ONE = f"WITH {_S}, i AS (SELECT event_type, user_id, CAST(count(*) AS DOUBLE) AS v FROM s WHERE {_DAY} GROUP BY ALL) "
 metric("agg_approx_topk", f"approx_topk(5, {_RU})", ("event_type", "user"), _ONE + f"SELECT CAST({AT} AS BIGINT) AS step, event_type, CAST(user_id AS VARCHAR) AS user, v AS value FROM i ORDER BY v DESC, {_KEY} LIMIT 5", instant=True)
 for _op in ("sort", "sort_desc"):
     metric(f"agg_{_op}", f"{_op}(sum by (event_type) ({_RU}))", T, _ONE + f"SELECT CAST({AT} AS BIGINT) AS step, event_type, sum(v) AS value FROM i GROUP BY event_type", instant=True)
@@ -157,7 +166,7 @@ _SHOWN = "'{\"lang\":\"' || lang || '\",\"source\":\"' || source || '\"}'"
 _cat("label_names", C.label_names, "SELECT unnest(['lang', 'source']) AS name", views.log_docs)
 _cat("label_values", lambda df: C.label_values(df, "source"), "SELECT DISTINCT source AS value FROM documents", views.log_docs)
 _cat("series", lambda df: C.series(df).select("key"), f"SELECT DISTINCT {_SHOWN} AS key FROM documents", views.log_docs)
-_cat("active_streams", lambda df: C.active_streams(df, DAY0, DAY1).select("key"), f"WITH {_S} SELECT DISTINCT '{{\"event_type\":\"' || event_type || '\"}}' AS key FROM s WHERE {_IN}")
+_cat("active_streams", lambda df: C.active_streams(df, DAY0, DAY1).select("key"), f"WITH {_S} SELECT DISTINCT '{{\"event_type\":\"' || event_type || '\"}}' AS key FROM s WHERE {_DAY}")
 _cat("stats", C.stats, f"WITH {_DOCS} SELECT count(DISTINCT lang || source) AS streams, count(DISTINCT (lang, source, ts // 86400000000000)) AS chunks, count(*) AS entries, CAST(sum(strlen(line)) AS BIGINT) AS bytes FROM d", views.log_docs)
 _cat("rollup", lambda df: C.rollup(df, H), f"WITH {_S} SELECT '{{\"event_type\":\"' || event_type || '\"}}' AS key, ts // {H} * {H} AS bucket, count(*) AS count, CAST(sum(strlen(line)) AS BIGINT) AS bytes FROM s GROUP BY ALL")
 _cat("volume", lambda df: C.volume(df, ["lang"]), f"WITH {_DOCS} SELECT '{{\"lang\":\"' || lang || '\"}}' AS name, CAST(sum(strlen(line)) AS BIGINT) AS bytes FROM d GROUP BY lang", views.log_docs)

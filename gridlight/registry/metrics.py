@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
+from ..functions import numeric as N
 from ..plans.promql import Engine
 from ..sources import views
 
@@ -35,9 +36,10 @@ def _with(*parts: str) -> str:
 
 def promql(
     name: str, text: str, source: Callable[[SparkSession, str], DataFrame], labels: tuple[str, ...], sql: str | None,
-    instant: bool = False, digits: int = 6, metric: bool = False,
+    instant: bool = False, digits: int = 6, metric: bool = False, ranked: bool = False, shown: bool = False,
 ) -> None:
-    """Register ``text``: step, one column per label, value rounded."""
+    """Register ``text``: step, one column per label, value rounded, or ``shown`` as text with
+    NaN and infinities; ``ranked`` adds each row's place in the result's order."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         engine = Engine(spark, source(spark, sf_dir))
@@ -45,7 +47,12 @@ def promql(
         picked = [L.get(F.col("labels"), n).alias(n) for n in labels]
         if metric:
             picked.append(L.get(F.col("labels"), "__name__").alias("metric"))
-        return out.select("step", *picked, _rounded(F.col("value"), digits).alias("value"))
+        value = _rounded(F.col("value"), digits)
+        if shown:
+            value = F.when(F.isnan("value") | (F.abs("value") == float("inf")), N.go_format(F.col("value"))).otherwise(value.cast("string"))
+        if ranked:
+            picked.append(F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).alias("place"))
+        return out.select("step", *picked, value.alias("value"))
 
     QUERIES[f"promql_{name}"] = run
     if sql is not None:
@@ -81,16 +88,16 @@ promql("subquery", "max_over_time(count_over_time(typed_value[2h])[12h:2h])", vi
 
 # range functions with one aggregate per window
 for _fn, _agg in {
-    "sum_over_time": "sum(value)", "avg_over_time": "avg(value)", "min_over_time": "min(value)", "max_over_time": "max(value)",
+    "sum_over_time": "fsum(value)", "avg_over_time": "favg(value)", "min_over_time": "min(value)", "max_over_time": "max(value)",
     "count_over_time": "count(*)", "last_over_time": "arg_max(value, ts)", "first_over_time": "arg_min(value, ts)", "present_over_time": "1",
     "stddev_over_time": "stddev_pop(value)", "stdvar_over_time": "var_pop(value)", "mad_over_time": "mad(value)",
     "ts_of_min_over_time": "max(ts) FILTER (value = mn) / 1000", "ts_of_max_over_time": "max(ts) FILTER (value = mx) / 1000",
     "ts_of_first_over_time": "min(ts) / 1000", "ts_of_last_over_time": "max(ts) / 1000",
 }.items():
-    _w = _window(24 * H)
+    _w, _digits = _window(24 * H), 9 if _fn in ("sum_over_time", "avg_over_time") else 3
     if "FILTER" in _agg:
         _w += ", w2 AS (SELECT *, min(value) OVER (PARTITION BY step, event_type) AS mn, max(value) OVER (PARTITION BY step, event_type) AS mx FROM w)"
-    promql(_fn, f"{_fn}(typed_value[1d])", views.typed, T, _with(_GRID, _TYPED, _w) + f"SELECT step, event_type, {_r(_agg, 3)} AS value FROM {'w2' if 'FILTER' in _agg else 'w'} GROUP BY step, event_type", digits=3)
+    promql(_fn, f"{_fn}(typed_value[1d])", views.typed, T, _with(_GRID, _TYPED, _w) + f"SELECT step, event_type, {_r(_agg, _digits)} AS value FROM {'w2' if 'FILTER' in _agg else 'w'} GROUP BY step, event_type", digits=_digits)
 promql("quantile_over_time", "quantile_over_time(0.9, typed_value[1d])", views.typed, T, _with(_GRID, _TYPED, _window(24 * H)) + f"SELECT step, event_type, {_r('quantile_cont(value, 0.9)')} AS value FROM w GROUP BY ALL")
 promql("absent_over_time", 'absent_over_time(typed_value{event_type="signup"}[1h])', views.typed, T,
        _with(_GRID, _TYPED, _window(H)) + "SELECT step, 'signup' AS event_type, 1.0::DOUBLE AS value FROM g WHERE step NOT IN (SELECT step FROM w WHERE event_type = 'signup')")
@@ -127,8 +134,39 @@ promql("double_exponential_smoothing", "double_exponential_smoothing(typed_value
        "WITH RECURSIVE " + ", ".join([_GRID, _TYPED, _window(12 * H), "pr AS (SELECT step, event_type, list(value ORDER BY ts) AS vs FROM w GROUP BY ALL HAVING count(*) >= 2)",
        "h AS (SELECT step, event_type, vs, 2 AS i, vs[1] AS s, vs[2] - vs[1] AS b FROM pr UNION ALL SELECT step, event_type, vs, i + 1, 0.5 * vs[i] + 0.5 * (s + b), 0.1 * (0.5 * vs[i] + 0.5 * (s + b) - s) + 0.9 * b FROM h WHERE i <= len(vs))"])
        + f" SELECT step, event_type, {_r('s')} AS value FROM h WHERE i = len(vs) + 1")
-promql("anchored_increase", "increase(events_total[6h] anchored)", views.counter, T, None)
-promql("smoothed_rate", "rate(events_total[6h] smoothed)", views.counter, T, None)
+# windows of six hours with the samples up to five minutes before (and, smoothed, after) them
+_BEGIN, _NEAR = f"step - {6 * H}", 300_000
+promql("anchored_increase", "increase(events_total[6h] anchored)", views.counter, T,
+       _with(_GRID, _COUNTER, f"w AS (SELECT g.step, s.* FROM g JOIN s ON ts > {_BEGIN} - {_NEAR} AND ts <= step)")
+       + f"SELECT step, event_type, {_r(f'arg_max(value, ts) - coalesce(arg_max(value, ts) FILTER (ts <= {_BEGIN}), arg_min(value, ts))')} AS value FROM w GROUP BY step, event_type HAVING max(ts) > {_BEGIN}")
+promql("anchored_changes", "changes(typed_value[6h] anchored)", views.typed, T,
+       _with(_GRID, _TYPED, f"w AS (SELECT g.step, s.* FROM g JOIN s ON ts > {_BEGIN} - {_NEAR} AND ts <= step)",
+             f"m AS (SELECT step, event_type, max(ts) FILTER (ts <= {_BEGIN}) AS f FROM w GROUP BY ALL HAVING max(ts) > {_BEGIN})",
+             "x AS (SELECT step, event_type, value, lag(value) OVER (PARTITION BY step, event_type ORDER BY ts) AS p FROM w JOIN m USING (step, event_type) WHERE f IS NULL OR ts >= f)")
+       + "SELECT step, event_type, CAST(count(*) FILTER (value <> p) AS DOUBLE) AS value FROM x GROUP BY step, event_type")
+
+
+def _edge(t: str, n: int) -> str:
+    """Value at time ``t`` between the samples around it; ``n`` names the columns."""
+    return (
+        f"max(ts) FILTER (ts <= {t}) AS lt{n}, arg_max(value, ts) FILTER (ts <= {t}) AS lv{n}, "
+        f"min(ts) FILTER (ts > {t}) AS rt{n}, arg_min(value, ts) FILTER (ts > {t}) AS rv{n}"
+    )
+
+
+def _at_edge(t: str, n: int) -> str:
+    return (
+        f"CASE WHEN lt{n} = {t} OR rt{n} IS NULL THEN lv{n} WHEN lt{n} IS NULL THEN rv{n} "
+        f"ELSE lv{n} + (rv{n} - lv{n}) * (({t} - lt{n}) / (rt{n} - lt{n})) END"
+    )
+
+
+for _fn, _source, _rows, _per in (("smoothed_rate", views.counter, _COUNTER, 21600), ("smoothed_delta", views.typed, _TYPED, 1)):
+    _text = "rate(events_total[6h] smoothed)" if _per > 1 else "delta(typed_value[6h] smoothed)"
+    promql(_fn, _text, _source, T,
+           _with(_GRID, _rows, f"w AS (SELECT g.step, s.* FROM g JOIN s ON ts > {_BEGIN} - {_NEAR} AND ts <= step + {_NEAR})",
+                 f"a AS (SELECT step, event_type, {_edge(_BEGIN, 1)}, {_edge('step', 2)} FROM w GROUP BY ALL HAVING max(ts) > {_BEGIN} AND min(ts) <= step)")
+           + f"SELECT step, event_type, {_r('((' + _at_edge('step', 2) + ') - (' + _at_edge(_BEGIN, 1) + f')) / {_per}', 9)} AS value FROM a", digits=9)
 
 # aggregations over the last value of six hours per user
 _L6 = "last_over_time(event_value[6h])"
@@ -168,6 +206,18 @@ promql("and", f"{_NOW} and {_BEFORE}", views.typed, T, _OFF + f"SELECT step, eve
 promql("unless", f"{_NOW} unless {_BEFORE}", views.typed, T, _OFF + f"SELECT step, event_type, {_r('v')} AS value FROM i ANTI JOIN j USING (step, event_type)")
 promql("or", f"{_NOW} or {_BEFORE}", views.typed, T, _OFF + f"SELECT step, event_type, {_r('v')} AS value FROM (SELECT * FROM i UNION ALL SELECT * FROM j ANTI JOIN i USING (step, event_type))")
 promql("fill", f"{_NOW} - fill(0) {_BEFORE}", views.typed, T, _OFF + f"SELECT step, event_type, {_r('coalesce(i.v, 0) - coalesce(j.v, 0)')} AS value FROM i FULL JOIN j USING (step, event_type)")
+# values that only IEEE arithmetic has, compared as text
+for _name, _text, _sql in (
+    ("ieee_division", f"({_L} - 50) / 0", "CASE WHEN v > 50 THEN '+Inf' WHEN v < 50 THEN '-Inf' ELSE 'NaN' END"),
+    ("ieee_zero_by_zero", f"({_L} * 0) / 0", "'NaN'"),
+    ("ieee_modulo", f"{_L} % 0", "'NaN'"),
+    ("ieee_sqrt", f"sqrt(50 - clamp_min({_L}, 50.001))", "CASE WHEN v > -1 THEN 'NaN' END"),
+    ("ieee_ln", f"ln(clamp({_L}, 49, 50) - 50)", "CASE WHEN v < 50 THEN 'NaN' ELSE '-Inf' END"),
+    ("ieee_power", f"10 ^ (400 * sgn({_L} - 50) ^ 2)", "CASE WHEN v <> 50 THEN '+Inf' ELSE '1.0' END"),
+    ("ieee_infinities", f"({_L} * Inf) - Inf", "'NaN'"),
+    ("ieee_compare", f"({_L} / 0) == bool Inf", "CASE WHEN v > 0 THEN '1.0' ELSE '0.0' END"),
+):
+    promql(_name, _text, views.typed, T, _INSTANT + f"SELECT step, event_type, {_sql} AS value FROM i", shown=True)
 promql("unary_minus", f"-{_L}", views.typed, T, _INSTANT + f"SELECT step, event_type, {_r('-v')} AS value FROM i")
 
 # elementwise and other functions
@@ -194,8 +244,11 @@ promql("fn_absent", 'absent(typed_value{event_type="click"})', views.typed, T, _
 promql("fn_label_replace", f'label_replace({_L}, "short", "${{1}}-$2", "event_type", "(.).*(.)")', views.typed, ("event_type", "short"), _INSTANT + f"SELECT step, event_type, left(event_type, 1) || '-' || right(event_type, 1) AS short, {_r('v')} AS value FROM i")
 promql("fn_label_join", f'label_join({_L6}, "both", "/", "event_type", "user_id", "none")', views.gauge, ("both",), _USERS + f"SELECT step, event_type || '/' || user_id || '/' AS both, {_r('v')} AS value FROM i")
 for _fn in ("sort", "sort_desc"):
-    promql(f"fn_{_fn}", f"{_fn}(last_over_time(typed_value[6h]))", views.typed, T, f"WITH {_TYPED} SELECT CAST({AT} AS BIGINT) AS step, event_type, {_r('arg_max(value, ts)')} AS value FROM s WHERE ts > {AT - 6 * H} AND ts <= {AT} GROUP BY event_type", instant=True)
-promql("fn_sort_by_label", 'sort_by_label(last_over_time(event_value[6h]), "user_id")', views.gauge, ("event_type", "user_id"), f"WITH {_TYPED} SELECT CAST({AT} AS BIGINT) AS step, event_type, CAST(user_id AS VARCHAR) AS user_id, {_r('arg_max(value, ts)')} AS value FROM s WHERE ts > {AT - 6 * H} AND ts <= {AT} GROUP BY event_type, user_id", instant=True)
+    promql(f"fn_{_fn}", f"{_fn}(last_over_time(typed_value[6h]))", views.typed, T, f"WITH {_TYPED} SELECT CAST({AT} AS BIGINT) AS step, event_type, row_number() OVER (ORDER BY arg_max(value, ts) {'DESC' if _fn.endswith('desc') else 'ASC'}, event_type)::INT AS place, {_r('arg_max(value, ts)')} AS value FROM s WHERE ts > {AT - 6 * H} AND ts <= {AT} GROUP BY event_type", instant=True, ranked=True)
+for _fn, _dir in (("sort_by_label", ""), ("sort_by_label_desc", " DESC")):
+    promql(f"fn_{_fn}", f'{_fn}(last_over_time(event_value[6h]), "user_id")', views.gauge, ("event_type", "user_id"),
+           f"WITH {_TYPED} SELECT CAST({AT} AS BIGINT) AS step, event_type, CAST(user_id AS VARCHAR) AS user_id, row_number() OVER (ORDER BY user_id{_dir}, {_KEY})::INT AS place, {_r('arg_max(value, ts)')} AS value "
+           f"FROM s WHERE ts > {AT - 6 * H} AND ts <= {AT} GROUP BY event_type, user_id", instant=True, ranked=True)
 
 # classic histograms: the day's bucket sample, looked up by a range
 _DAYS = (
