@@ -9,11 +9,16 @@ it Arrow-batched to columns and, for sums and rates, to groups.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructType
 
 SIDE = "array<struct<i: int, n: double>>"
 TYPE = f"struct<schema: int, zero_threshold: double, zero_count: double, count: double, sum: double, pos: {SIDE}, neg: {SIDE}>"
@@ -185,8 +190,9 @@ class Histogram:
                 if share:
                     (out.pos if sign > 0 else out.neg)[i] = n * share
                     kept_sum += n * share * sign * math.sqrt(self.bound(i - 1) * self.bound(i))
-        keeps_zero = bound >= 0 if upper else bound < 0
-        out.zero_count = self.zero_count if keeps_zero else 0.0
+        low, high = -self.zero_threshold if self.neg else 0.0, self.zero_threshold if self.pos or not self.neg else 0.0
+        below = 1.0 if bound >= high else 0.0 if bound <= low else (bound - low) / (high - low)
+        out.zero_count = self.zero_count * (below if upper else 1 - below)
         out.count = out.zero_count + sum(out.pos.values()) + sum(out.neg.values())
         out.sum = self.sum if out.count == self.count else kept_sum
         return out
@@ -203,8 +209,28 @@ def from_exponential(scale: int, zero_count: float, zero_threshold: float, count
 # -- columns --------------------------------------------------------------------------------
 
 
-def _scalar(f) -> object:
-    @F.pandas_udf("double")
+def rowwise(df: DataFrame, f: Callable[[dict], dict | None], add: str, drop: tuple[str, ...] = ()) -> DataFrame:
+    """Rows with the columns ``add`` (DDL) that ``f`` reads off each, Arrow batch by batch;
+    rows for which it gives None fall away."""
+    new = StructType.fromDDL(add)
+    kept = [x for x in df.schema.fields if x.name not in {*drop, *new.names}]
+    schema = StructType([*kept, *new.fields])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist(maps_as_pydicts="strict"):
+                found = f(row)
+                if found is not None:
+                    out.append({x: row[x] if x in row and x not in found else found[x] for x in arrow.names})
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
+
+    return df.mapInArrow(run, schema)
+
+
+def _scalar(f: Callable[[Histogram], float]) -> Callable[[Column], Column]:
+    @F.pandas_udf(DoubleType())
     def run(h: pd.DataFrame) -> pd.Series:
         return pd.Series([None if r["count"] is None else f(Histogram.of(r)) for r in h.to_dict("records")], dtype="float64")
 
@@ -239,36 +265,67 @@ def histogram_avg(h: Column) -> Column:
     return F.when(h["count"] != 0, h["sum"] / h["count"]).otherwise(F.lit(math.nan))
 
 
-def sum_by(df: DataFrame, keys: list[str], h: str = "hist") -> DataFrame:
-    """Sum of histograms per group, natively: buckets are merged to the group's coarsest
+def sum_by(df: DataFrame, keys: list[str], h: str = "hist", mean: bool = False) -> DataFrame:
+    """Sum (or mean) of histograms per group, natively: buckets are merged to the group's coarsest
     schema and added as ordinary aggregates, so a hot group is summed map-side.  Groups
     must share one zero threshold."""
-    least = df.groupBy(*keys).agg(F.min(f"{h}.schema").alias("_s"), F.max(f"{h}.zero_threshold").alias("_t"))
-    own = df.join(least, keys)
+    least = df.groupBy(*keys).agg(F.min(f"{h}.schema").alias("_s"), F.max(f"{h}.zero_threshold").alias("_t"), F.count(F.lit(1)).alias("_n"))
+    same = lambda other: reduce(Column.__and__, [F.col(k).eqNullSafe(other[f"_{k}"]) for k in keys])
+    renamed = lambda other: other.withColumnsRenamed({k: f"_{k}" for k in keys})
+    least = renamed(least.withColumn("_n", F.col("_n").cast("double")))
+    own = df.join(least, same(least)).drop(*[f"_{k}" for k in keys])
     shift = F.pow(F.lit(2.0), F.col(f"{h}.schema") - F.col("_s"))
-    totals = own.groupBy(*keys).agg(F.first("_s").alias("schema"), F.first("_t").alias("zero_threshold"), *[F.sum(f"{h}.{c}").alias(c) for c in ("zero_count", "count", "sum")])
+    by = F.max("_n") if mean else F.lit(1.0)
+    totals = own.groupBy(*keys).agg(F.first("_s").alias("schema"), F.first("_t").alias("zero_threshold"), *[(F.sum(f"{h}.{c}") / by).alias(c) for c in ("zero_count", "count", "sum")])
     sides = []
     for side in ("pos", "neg"):
-        b = own.select(*keys, shift.alias("shift"), F.explode(f"{h}.{side}").alias("b")).groupBy(*keys, F.ceil(F.col("b.i") / F.col("shift")).cast("int").alias("i")).agg(F.sum("b.n").alias("n"))
+        b = own.select(*keys, "_n", shift.alias("shift"), F.explode(f"{h}.{side}").alias("b")).groupBy(*keys, F.ceil(F.col("b.i") / F.col("shift")).cast("int").alias("i")).agg((F.sum("b.n") / by).alias("n"))
         sides.append(b.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("i", "n"))).alias(side)))
     out = totals
-    for side in sides:
-        out = out.join(side, keys, "left")
+    for side in map(renamed, sides):
+        out = out.join(side, same(side), "left").drop(*[f"_{k}" for k in keys])
     none = F.array().cast(SIDE)
     return out.select(*keys, F.struct("schema", "zero_threshold", "zero_count", "count", "sum", F.coalesce("pos", none).alias("pos"), F.coalesce("neg", none).alias("neg")).alias(h))
 
 
+def grown(samples: list[Histogram], counter: bool) -> Histogram:
+    """Last minus first of a window's samples in time order; a counter's resets are made up for."""
+    first = samples[0]
+    if counter and samples[1].reset_since(first):
+        first = Histogram(samples[1].schema)  # what was before the reset does not matter
+        samples = [first, *samples[1:]]
+    total = samples[-1].sub(first)
+    if counter:
+        for before, after in zip(samples[1:], samples[2:]):
+            if after.reset_since(before):
+                total = total.add(before)
+    return total
+
+
+def extrapolated(samples: list[tuple[int, Histogram]], begin: int, end: int, counter: bool, per_second: bool) -> Histogram | None:
+    """``grown`` stretched towards the window's edges (ms): by the gap there, or half the mean
+    distance where the gap is wide; never below a counter's zero."""
+    if len(samples) < 2:
+        return None
+    total = grown([h for _, h in samples], counter)
+    first, last = samples[0][0], samples[-1][0]
+    seen = (last - first) / 1000
+    mean = seen / (len(samples) - 1)
+    edge = lambda gap: mean / 2 if gap >= mean * 1.1 else gap
+    before, after = edge((first - begin) / 1000), edge((end - last) / 1000)
+    if counter and total.count > 0 and samples[0][1].count >= 0:
+        before = min(before, seen * samples[0][1].count / total.count)
+    return total.scale((seen + before + after) / seen / ((end - begin) / 1000 if per_second else 1))
+
+
 def increase(df: DataFrame, keys: list[str], ts: str = "ts", h: str = "hist") -> DataFrame:
     """Reset-aware increase of a counter histogram over each group's samples in time order
     (a series' window, bounded by it)."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        samples = [Histogram.of(x) for x in group.sort_values(ts)[h]]
-        total = samples[-1].sub(samples[0])
-        for before, after in zip(samples, samples[1:]):
-            if after.reset_since(before):
-                total = total.add(before)
-        return pd.DataFrame([{**{k: group[k].iloc[0] for k in keys}, h: total.row()}])
+    windows = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(ts).alias("t"), F.col(h).alias("h")))).alias("_a"))
+
+    def total(row: dict) -> dict:
+        samples = [Histogram.of(x["h"]) for x in row["_a"]]
+        return {h: (grown(samples, True) if len(samples) > 1 else samples[0].scale(0).compact()).row()}
 
-    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    return df.groupBy(*keys).applyInPandas(run, f"{kinds}, {h} {TYPE}")
+    return rowwise(windows, total, f"{h} {TYPE}", drop=("_a",))

@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import math
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import count
 
 import pandas as pd
@@ -18,8 +19,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..functions import histograms as H
 from ..functions import labels as L
 from ..functions import numeric as N
+from ..operators import catalog as C
 from ..operators import grid as G
 from . import promql_parser as P
 
@@ -45,6 +48,15 @@ _RANGE_FUNCTIONS = {
 }
 
 
+_HIST_RANGES = {
+    "rate", "increase", "delta", "sum_over_time", "avg_over_time", "last_over_time", "count_over_time", "present_over_time",
+}
+_HIST_READS = {
+    "histogram_count": H.histogram_count, "histogram_sum": H.histogram_sum, "histogram_avg": H.histogram_avg,
+    "histogram_stddev": H.histogram_stddev, "histogram_stdvar": H.histogram_stdvar,
+}
+
+
 class PlanError(ValueError):
     pass
 
@@ -54,6 +66,7 @@ class Vector:
     df: DataFrame  # step, labels, name, key, value (and ts for bare selectors)
     selector: P.Selector | None = None
     order: list[Column] | None = None
+    hist: DataFrame | None = None  # step, labels, name, key, hist: the native histograms
 
 
 @dataclass
@@ -68,12 +81,19 @@ class Engine:
     """``samples``: metric, labels (map), key, ts (ms), value, stale.
 
     ``key`` is the canonical text of ``labels``; sources compute it once per series.
+    ``hists``: the same with ``hist``, a native histogram, for ``value``.  A float sample of a
+    series and time that has a histogram is ignored.
     """
 
     spark: SparkSession
     samples: DataFrame
     lookback_ms: int = LOOKBACK_MS
     experimental: bool = True
+    hists: DataFrame | None = None
+
+    def __post_init__(self):
+        if self.hists is not None:
+            self.samples = C.histogram_wins(self.samples, self.hists)
 
     def query(self, text: str, start: int, end: int | None = None, step: int = 60_000) -> DataFrame:
         """Rows step, labels (with ``__name__`` where kept), key, value; a scalar has no labels."""
@@ -92,6 +112,10 @@ class Engine:
             return out.select("step", L.no_labels().alias("labels"), F.lit("{}").alias("key"), "value")
         named = F.when(F.col("name").isNull(), F.col("labels")).otherwise(L.put(F.col("labels"), "__name__", F.col("name")))
         out = found.df.select("step", named.alias("labels"), "value")
+        if found.hist is not None:
+            out = out.withColumn("hist", F.lit(None).cast(H.TYPE)).unionByName(
+                found.hist.select("step", named.alias("labels"), F.lit(None).cast("double").alias("value"), "hist")
+            )
         out = out.withColumn("key", L.series_key(F.col("labels")))
         if found.order and start == end:
             return out.orderBy(*found.order, "key")
@@ -117,7 +141,11 @@ class Engine:
             case P.Subquery():
                 raise PlanError("a subquery needs a function")
             case P.Negate(inner):
-                return self._unary(self.compile(inner, grid, depth + 1), lambda v: -v)
+                found = self.compile(inner, grid, depth + 1)
+                out = self._unary(found, lambda v: -v)
+                if isinstance(found, Vector) and found.hist is not None:
+                    out.hist = self._hist_binary(P.Binary("*", inner, P.Number(-1.0)), found, Scalar(N.const(-1), const=-1.0))
+                return out
             case P.Aggregate():
                 return self._aggregate(node, grid, depth + 1)
             case P.Binary():
@@ -128,8 +156,8 @@ class Engine:
 
     # -- selectors ---------------------------------------------------------------
 
-    def _select(self, node: P.Selector) -> DataFrame:
-        df = self.samples
+    def _select(self, node: P.Selector, df: DataFrame | None = None) -> DataFrame:
+        df = self.samples if df is None else df
         if node.name is not None:
             df = df.where(F.col("metric") == node.name)
         for label, op, value in node.matchers:
@@ -153,7 +181,116 @@ class Engine:
         out = newest.select("step", L.of_key(F.col("key")).alias("labels"), F.col("metric").alias("name"), "key", "value", "ts")
         if pinned:
             out = G.everywhere(out.drop("step"), grid)
-        return Vector(out, node)
+        return Vector(out, node, hist=self._instant_hists(node, inner, grid if pinned else None))
+
+    # -- native histograms -----------------------------------------------------------
+
+    def _instant_hists(self, node: P.Selector, grid: G.Grid, everywhere: G.Grid | None) -> DataFrame | None:
+        if self.hists is None:
+            return None
+        rows = G.window(self._select(node, self.hists), "ts", grid, self.lookback_ms, node.offset_ms)
+        newest = rows.groupBy("metric", "key", "step").agg(F.max_by("hist", "ts").alias("hist"), F.max_by("stale", "ts").alias("stale")).where("NOT stale")
+        out = newest.select("step", L.of_key(F.col("key")).alias("labels"), F.col("metric").alias("name"), "key", "hist")
+        return out if everywhere is None else G.everywhere(out.drop("step"), everywhere)
+
+    def _hists_over_time(self, fn: str, node, grid: G.Grid) -> DataFrame | None:
+        """Windows of histogram samples folded to a histogram each (or, for counts, a value)."""
+        if self.hists is None or not isinstance(node, P.Selector) or fn not in _HIST_RANGES:
+            return None
+        inner, pinned = self._times(node, grid)
+        span, offset = node.range_ms, node.offset_ms
+        rows = self._select(node, self.hists).where("NOT stale").withColumnRenamed("metric", "name")
+        seen = G.window(rows, "ts", inner, span, offset).groupBy("name", "key", "step")
+        if fn in ("count_over_time", "present_over_time"):
+            value = F.count(F.lit(1)).cast("double") if fn[0] == "c" else F.max(F.lit(1.0))
+            out = seen.agg(value.alias("value"))
+        elif fn == "last_over_time":
+            out = seen.agg(F.max_by("hist", "ts").alias("hist"))
+        elif fn in ("sum_over_time", "avg_over_time"):
+            out = H.sum_by(G.window(rows, "ts", inner, span, offset).select("name", "key", "step", "hist"), ["name", "key", "step"], mean=fn[0] == "a")
+        else:
+            windows = seen.agg(F.sort_array(F.collect_list(F.struct("ts", "hist"))).alias("a"))
+
+            def fold(row: dict) -> dict | None:
+                samples, end = [(x["ts"], H.Histogram.of(x["hist"])) for x in row["a"]], row["step"] - offset
+                found = H.extrapolated(samples, end - span, end, fn != "delta", fn == "rate")
+                return None if found is None else {"hist": found.row()}
+
+            out = H.rowwise(windows, fold, f"hist {H.TYPE}", drop=("a",))
+        out = out.withColumn("labels", L.of_key(F.col("key")))
+        out = G.everywhere(out.drop("step"), grid) if pinned else out
+        return out.withColumn("name", F.col("name") if fn in KEEPS_NAME else F.lit(None).cast("string"))
+
+    def _read_hists(self, hist: DataFrame, value: Column) -> DataFrame:
+        return hist.select("step", "labels", F.lit(None).cast("string").alias("name"), "key", value.alias("value"))
+
+    def _hist_call(self, fn: str, args: list, grid: G.Grid, depth: int) -> Vector | None:
+        """Functions that read histograms; None where there are none."""
+        if self.hists is None:
+            return None
+        if fn in _HIST_READS:
+            if len(args) != 1:
+                raise PlanError(f"{fn} takes 1 argument(s)")
+            x = self._vector(args[0], grid, depth)
+            read = _HIST_READS[fn](F.col("hist"))
+            if x.hist is None:
+                return Vector(self._read_hists(x.df.withColumn("hist", F.lit(None).cast(H.TYPE)), read).where("false"))
+            return Vector(self._read_hists(x.hist, read))
+        x = self._vector(args[0] if fn == "histogram_quantiles" else args[-1], grid, depth)
+        if x.hist is None:
+            return None
+        if fn == "histogram_quantiles":
+            parts = []
+            for q in (self._scalar(a, grid, depth) for a in args[2:]):
+                labels = L.put(F.col("labels"), self._text(args[1]), F.lit(_number(q.const)))
+                rows = self._read_hists(x.hist, H.histogram_quantile(F.col("hist"), q.const)).withColumn("labels", labels)
+                parts.append(rows.withColumn("key", L.series_key(F.col("labels"))))
+            found = reduce(DataFrame.unionByName, parts)
+        else:
+            numbers = [self._scalar(a, grid, depth) for a in args[:-1]]
+            if any(n.const is None for n in numbers):
+                raise PlanError(f"{fn} of native histograms takes numbers")
+            f = H.histogram_quantile if fn == "histogram_quantile" else H.histogram_fraction
+            found = self._read_hists(x.hist, f(F.col("hist"), *[n.const for n in numbers]))
+        return Vector(self._classic(fn, args, grid, depth).df.select("step", "labels", "name", "key", "value").unionByName(found))
+
+    def _hist_binary(self, node: P.Binary, left, right) -> DataFrame | None:
+        """Histograms scaled, divided or trimmed by a number, added and subtracted one to one."""
+        op, unnamed = node.op, F.lit(None).cast("string").alias("name")
+        sides = [x.hist if isinstance(x, Vector) else None for x in (left, right)]
+        if all(x is None for x in sides):
+            return None
+        if isinstance(left, Vector) and isinstance(right, Vector):
+            if op not in ("+", "-") or None in sides or node.group:
+                return None
+            a, b = (self._signed(x, node) for x in sides)
+            both = a.select("step", "sig", "labels", F.col("hist").alias("a")).join(b.select("step", "sig", F.col("hist").alias("b")), ["step", "sig"])
+            labels = L.keep(F.col("labels"), node.labels) if node.on else L.remove(F.col("labels"), node.labels)
+            sign = 1.0 if op == "+" else -1.0
+            merge = lambda r: {"hist": H.Histogram.of(r["a"]).add(H.Histogram.of(r["b"]), sign).row()}
+            out = H.rowwise(both.select("step", labels.alias("labels"), "a", "b"), merge, f"hist {H.TYPE}", drop=("a", "b"))
+            return out.select("step", "labels", unnamed, L.series_key(F.col("labels")).alias("key"), "hist")
+        vector, scalar = (left, right) if isinstance(left, Vector) else (right, left)
+        if op not in ("*", "/", "</", ">/") or (vector is right and op != "*"):
+            return None
+        if op in ("*", "/"):
+            by = scalar.col if op == "*" else N.div(N.const(1), scalar.col)
+            rows, apply = self._with_sides(vector.hist, scalar).withColumn("by", by), H.Histogram.scale
+        else:
+            upper = op == "</"
+            rows, apply = self._with_sides(vector.hist, scalar).withColumn("by", scalar.col), lambda h, by: h.trim(by, upper)
+        rows = rows.select("step", "labels", unnamed, "key", "hist", "by")
+        return H.rowwise(rows, lambda r: {"hist": apply(H.Histogram.of(r["hist"]), r["by"]).row()}, f"hist {H.TYPE}", drop=("by",))
+
+    def _hist_aggregate(self, op: str, x: Vector, node: P.Aggregate) -> tuple[DataFrame | None, DataFrame | None]:
+        """(histograms, values) that the histograms of a vector add to an aggregation."""
+        if x.hist is None or op not in ("sum", "avg", "count", "group"):
+            return None, None
+        rows = self._grouped(x.hist, node)
+        named = lambda df, c: df.select("step", L.of_key(F.col("g")).alias("labels"), F.col("g_name").alias("name"), F.col("g").alias("key"), c)
+        if op in ("sum", "avg"):
+            return named(H.sum_by(rows.select("step", "g", "g_name", "hist"), ["step", "g", "g_name"], mean=op == "avg"), "hist"), None
+        return None, rows
 
     def _range(self, node, grid: G.Grid, depth: int):
         """(samples with labels/name/key/ts/value, range, offset, grid, pinned) of a range vector."""
@@ -245,7 +382,11 @@ class Engine:
         if pinned:
             out = G.everywhere(out.drop("step"), grid)
         name = F.col("name") if fn in KEEPS_NAME else F.lit(None).cast("string")
-        return Vector(out.select("step", "labels", name.alias("name"), "key", "value"))
+        out = out.select("step", "labels", name.alias("name"), "key", "value")
+        hist = self._hists_over_time(fn, node, grid)
+        if hist is not None and "value" in hist.columns:
+            return Vector(out.unionByName(hist.select(*out.columns)))
+        return Vector(out, hist=hist)
 
     def _extrapolated(self, fn: str, rows: DataFrame, span: int, offset: int, grid: G.Grid) -> DataFrame:
         before = Window.partitionBy("name", "key").orderBy("ts")
@@ -552,7 +693,12 @@ class Engine:
             target, between, *sources = map(self._text, args[1:])
             parts = [F.coalesce(F.col("name"), F.lit("")) if s == "__name__" else L.get(F.col("labels"), s) for s in sources]
             return self._relabelled(x, target, F.concat_ws(between, *parts) if parts else F.lit(""))
-        if fn in ("histogram_quantile", "histogram_fraction", "histogram_quantiles"):
+        if fn in _HIST_READS or fn in ("histogram_quantile", "histogram_fraction", "histogram_quantiles"):
+            native = self._hist_call(fn, args, grid, depth)
+            if native is not None:
+                return native
+            if fn in _HIST_READS:
+                raise PlanError(f"{fn} needs native histograms")
             return self._classic(fn, args, grid, depth)
         if fn == "info":
             arity(1, 2)
@@ -640,6 +786,9 @@ class Engine:
     def _aggregate(self, node: P.Aggregate, grid: G.Grid, depth: int) -> Vector:
         x = self._vector(node.expr, grid, depth)
         df, v, op = self._grouped(x.df, node), F.col("value"), node.op
+        hist, counted = self._hist_aggregate(op, x, node)
+        if counted is not None:
+            df = df.select("step", "g", "g_name", "value").unionByName(counted.select("step", "g", "g_name", F.lit(1.0).alias("value")))
         by = ["step", "g", "g_name"]
         group = Window.partitionBy(*by)
         if op in ("topk", "bottomk", "limitk", "limit_ratio"):
@@ -671,7 +820,7 @@ class Engine:
                 "group": F.max(F.lit(1.0)), "stddev": F.stddev_pop(v), "stdvar": F.var_pop(v),
             }[op]
             out = df.groupBy(*by).agg(value.alias("value"))
-        return Vector(out.select("step", L.of_key(F.col("g")).alias("labels"), F.col("g_name").alias("name"), F.col("g").alias("key"), "value"))
+        return Vector(out.select("step", L.of_key(F.col("g")).alias("labels"), F.col("g_name").alias("name"), F.col("g").alias("key"), "value"), hist=hist)
 
     # -- binary operators ---------------------------------------------------------------
 
@@ -684,8 +833,18 @@ class Engine:
             if not (isinstance(left, Vector) and isinstance(right, Vector)):
                 raise PlanError("set operators need two vectors")
             return self._set(node, left, right)
+        hist = self._hist_binary(node, left, right)
         if f is None:
-            raise PlanError(f"{op} is for native histograms")
+            if hist is None:
+                raise PlanError(f"{op} is for native histograms")
+            return Vector(hist.select("step", "labels", "name", "key", F.lit(None).cast("double").alias("value")).where("false"), hist=hist)
+        out = self._float_binary(node, left, right, f, compare)
+        if isinstance(out, Vector):
+            out.hist = hist
+        return out
+
+    def _float_binary(self, node: P.Binary, left, right, f, compare: bool):
+        op = node.op
         if isinstance(left, Scalar) and isinstance(right, Scalar):
             if compare and not node.bool_:
                 raise PlanError("comparisons between scalars need bool")

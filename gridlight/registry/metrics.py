@@ -37,12 +37,13 @@ def _with(*parts: str) -> str:
 def promql(
     name: str, text: str, source: Callable[[SparkSession, str], DataFrame], labels: tuple[str, ...], sql: str | None,
     instant: bool = False, digits: int = 6, metric: bool = False, ranked: bool = False, shown: bool = False,
+    hists: Callable[[SparkSession, str], DataFrame] | None = None,
 ) -> None:
     """Register ``text``: step, one column per label, value rounded, or ``shown`` as text with
     NaN and infinities; ``ranked`` adds each row's place in the result's order."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        engine = Engine(spark, source(spark, sf_dir))
+        engine = Engine(spark, source(spark, sf_dir), hists=None if hists is None else hists(spark, sf_dir))
         out = engine.query(text, AT) if instant else engine.query(text, START, END, STEP)
         picked = [L.get(F.col("labels"), n).alias(n) for n in labels]
         if metric:
@@ -269,3 +270,63 @@ _infos = lambda s, d: views.infos(s, d, AT)
 promql("info", "info(user_activity)", _infos, ("instance", "segment"), f"SELECT CAST({AT} AS BIGINT) AS step, 'user-' || user_id AS instance, 's' || (user_id % 3) AS segment, CAST(count(*) AS DOUBLE) AS value FROM events GROUP BY user_id", instant=True)
 promql("info_join_sum", "sum by (segment) (user_activity * on (instance, job) group_left (segment) target_info)", _infos, ("segment",), f"SELECT CAST({AT} AS BIGINT) AS step, 's' || (user_id % 3) AS segment, CAST(count(*) AS DOUBLE) AS value FROM events GROUP BY user_id % 3", instant=True)
 promql("sum_rate", "sum by (event_type) (rate(events_total[1d]))", views.counter, T, _rate(_COUNTER, "rate", 24 * H))
+
+# native histograms: cumulative per day, in powers of two above a zero bucket up to 1
+_NATIVE = (
+    f"{_GRID}, e AS (SELECT event_type, value, epoch_us(ts) // 86400000000 AS day, CASE WHEN value > 1 THEN CAST(ceil(log2(value)) AS INT) END AS i FROM events), "
+    "days AS (SELECT unnest(range((SELECT min(day) FROM e), (SELECT max(day) FROM e) + 1)) AS d), "
+    "b AS (SELECT event_type, (d + 1) * 86400000 AS ts, i, CAST(count(*) AS DOUBLE) AS n, sum(value) AS s FROM days JOIN e ON day <= d GROUP BY ALL), "
+    "h AS (SELECT event_type, ts, sum(n) AS c, sum(s) AS s, coalesce(sum(n) FILTER (i IS NULL), 0) AS z FROM b GROUP BY event_type, ts), "
+)
+_SEEN = "hs AS (SELECT step, h.* FROM g JOIN h ON ts > step - 300000 AND ts <= step), bs AS (SELECT step, b.* FROM g JOIN b ON ts > step - 300000 AND ts <= step)"
+_N = "event_native"
+
+
+def _native(name: str, text: str, sql: str, labels: tuple[str, ...] = T, digits: int = 6, seen: str = _SEEN) -> None:
+    promql(f"native_{name}", text, views.typed, labels, f"WITH {_NATIVE}{seen} {sql}", digits=digits, hists=views.native)
+
+
+def _one(value: str, source: str = "hs", digits: int = 6) -> str:
+    return f"SELECT step, event_type, {_r(value, digits)} AS value FROM {source}"
+
+
+def _rank_sql(buckets: str, q: float, by: str = "event_type, ") -> str:
+    """Quantile of (step, i, n) buckets: linear in the zero bucket, exponential beyond."""
+    return (
+        f", cu AS (SELECT *, sum(n) OVER (PARTITION BY {by}step ORDER BY coalesce(i, -99)) AS upto, sum(n) OVER (PARTITION BY {by}step) AS total FROM {buckets}), "
+        f"hit AS (SELECT * FROM cu WHERE upto >= {q} * total QUALIFY row_number() OVER (PARTITION BY {by}step ORDER BY upto) = 1) "
+        f"SELECT step, {by}{_r(f'CASE WHEN i IS NULL THEN ({q} * total - (upto - n)) / n ELSE pow(2, i - 1 + ({q} * total - (upto - n)) / n) END')} AS value FROM hit"
+    )
+
+
+_VAR = "vs AS (SELECT step, event_type, sum(n * pow(CASE WHEN i IS NULL THEN 0 ELSE pow(2, i - 0.5) END - m, 2)) / sum(n) AS v FROM bs JOIN (SELECT step, event_type, s / c AS m FROM hs) USING (step, event_type) GROUP BY ALL)"
+_native("count", f"histogram_count({_N})", _one("c"))
+_native("sum", f"histogram_sum({_N})", _one("s"))
+_native("avg", f"histogram_avg({_N})", _one("s / c"))
+_native("stdvar", f"histogram_stdvar({_N})", _one("v", "vs", 4), digits=4, seen=f"{_SEEN}, {_VAR}")
+_native("stddev", f"histogram_stddev({_N})", _one("sqrt(v)", "vs"), seen=f"{_SEEN}, {_VAR}")
+_native("quantile", f"histogram_quantile(0.9, {_N})", _rank_sql("bs", 0.9))
+_native("quantile_zero_bucket", f"histogram_quantile(0.005, {_N})", _rank_sql("bs", 0.005))
+_native("quantiles", f'histogram_quantiles({_N}, "q", 0.25)', _rank_sql("bs", 0.25).replace("SELECT step, event_type, round", "SELECT step, event_type, '0.25' AS q, round"), ("event_type", "q"))
+_native("fraction", f"histogram_fraction(2, 24, {_N})", f"SELECT step, event_type, {_r('sum(CASE WHEN i BETWEEN 2 AND 4 THEN n WHEN i = 5 THEN n * log2(24 / 16) ELSE 0 END) / sum(n)')} AS value FROM bs GROUP BY step, event_type")
+_GROWN = (
+    f"p AS (SELECT step, h.event_type, count(*) AS k, min(ts) AS ft, max(ts) AS lt, arg_min(c, ts) AS fc, arg_max(c, ts) - arg_min(c, ts) AS dc, arg_max(s, ts) - arg_min(s, ts) AS ds_ FROM g JOIN h ON ts > step - {72 * H} AND ts <= step GROUP BY ALL HAVING count(*) > 1), "
+    f"q AS (SELECT *, (lt - ft) / 1000 AS si, (lt - ft) / 1000 / (k - 1) AS av, (ft - step + {72 * H}) / 1000 AS a0, (step - lt) / 1000 AS e0 FROM p), "
+    "r AS (SELECT *, CASE WHEN a0 >= av * 1.1 THEN av / 2 ELSE a0 END AS a1, CASE WHEN e0 >= av * 1.1 THEN av / 2 ELSE e0 END AS e1 FROM q), "
+    "f AS (SELECT *, (si + e1 + CASE WHEN dc > 0 THEN least(a1, si * fc / dc) ELSE a1 END) / si AS factor FROM r)"
+)
+_native("rate_count", f"histogram_count(rate({_N}[3d]))", _one(f"dc * factor / {72 * 3600}", "f", 9), digits=9, seen=_GROWN)
+_native("increase_sum", f"histogram_sum(increase({_N}[3d]))", _one("ds_ * factor", "f", 4), digits=4, seen=_GROWN)
+_native("delta_count", f"histogram_count(delta({_N}[3d]))", _one("dc * (si + a1 + e1) / si", "f"), seen=_GROWN)
+_TOTAL = f"{_GROWN}, lo AS (SELECT step, event_type, ft, lt, factor FROM f), x AS (SELECT lo.step, b.i, sum(CASE WHEN b.ts = lt THEN b.n ELSE -b.n END * factor) AS n FROM lo JOIN b ON b.event_type = lo.event_type AND (b.ts = lt OR b.ts = ft) GROUP BY ALL HAVING sum(CASE WHEN b.ts = lt THEN b.n ELSE -b.n END) > 0)"
+_native("quantile_of_rates", f"histogram_quantile(0.5, sum(increase({_N}[3d])))", _rank_sql("x", 0.5, ""), (), seen=_TOTAL)
+_native("sum_over_time", f"histogram_count(sum_over_time({_N}[3d]))", f"SELECT step, event_type, {_r('sum(c)')} AS value FROM g JOIN h ON ts > step - {72 * H} AND ts <= step GROUP BY step, event_type", seen="z AS (SELECT 1)")
+_native("avg_over_time", f"histogram_sum(avg_over_time({_N}[3d]))", f"SELECT step, event_type, {_r('sum(s) / count(*)', 4)} AS value FROM g JOIN h ON ts > step - {72 * H} AND ts <= step GROUP BY step, event_type", digits=4, seen="z AS (SELECT 1)")
+_native("count_over_time", f"count_over_time({_N}[3d])", f"SELECT step, event_type, CAST(count(*) AS DOUBLE) AS value FROM g JOIN h ON ts > step - {72 * H} AND ts <= step GROUP BY step, event_type", seen="z AS (SELECT 1)")
+_native("agg_sum", f"histogram_quantile(0.9, sum({_N}))", _rank_sql("(SELECT step, i, sum(n) AS n FROM bs GROUP BY ALL)", 0.9, ""), ())
+_native("agg_avg", f"histogram_count(avg({_N}))", f"SELECT step, {_r('avg(c)')} AS value FROM hs GROUP BY step", ())
+_native("agg_count", f"count({_N})", "SELECT step, CAST(count(*) AS DOUBLE) AS value FROM hs GROUP BY step", ())
+_native("arithmetic", f"histogram_sum({_N} * 3 - {_N} / 2 + -{_N})", _one("s * 1.5", digits=4), digits=4)
+_native("difference", f"histogram_count({_N} - {_N} offset 1d)", _one("hs.c - y.c", "hs JOIN (SELECT event_type, ts + 86400000 AS ts, c FROM h) y USING (event_type, ts)"))
+_native("trim_upper", f"histogram_count({_N} </ 24)", f"SELECT step, event_type, {_r('sum(CASE WHEN i IS NULL OR i <= 4 THEN n WHEN i = 5 THEN n * log2(24 / 16) ELSE 0 END)')} AS value FROM bs GROUP BY step, event_type")
+_native("trim_lower", f"histogram_count({_N} >/ 0.25)", f"SELECT step, event_type, {_r('sum(CASE WHEN i IS NULL THEN n * 0.75 ELSE n END)')} AS value FROM bs GROUP BY step, event_type")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
+from ..functions.histograms import TYPE
 from ..functions.numeric import whole_div
 
 
@@ -64,6 +65,29 @@ def buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _series(counts, "event_size_bucket", {"event_type": counts["event_type"], "le": counts["le"]}, counts["day"], counts["n"])
 
 
+def native(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``event_native{event_type}``: a histogram counter per type, sampled at each day's end.
+    Values up to 1 are its zero bucket; beyond, bucket i holds (2**(i-1), 2**i]."""
+    e = table(spark, sf_dir, "events")
+    day = F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date")).cast("long")
+    at = F.when(F.col("value") > 1, F.ceil(F.log2("value")).cast("int"))
+    per = e.groupBy("event_type", day.alias("day"), at.alias("i")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("s"))
+    last = e.agg(F.max(day).alias("last"))
+    grown = per.join(F.broadcast(last)).select("event_type", "i", "n", "s", F.explode(F.sequence("day", "last")).alias("day"))  # one row
+    kept = grown.groupBy("event_type", "day", "i").agg(F.sum("n").cast("double").alias("n"), F.sum("s").alias("s"))
+    buckets_ = F.array_sort(F.collect_list(F.when(F.col("i").isNotNull(), F.struct("i", "n"))))
+    h = kept.groupBy("event_type", "day").agg(
+        F.sum("n").alias("count"), F.sum("s").alias("sum"), F.coalesce(F.sum(F.when(F.col("i").isNull(), F.col("n"))), F.lit(0.0)).alias("zero"), buckets_.alias("pos")
+    )
+    hist = F.struct(
+        F.lit(0).alias("schema"), F.lit(1.0).alias("zero_threshold"), F.col("zero").alias("zero_count"), "count", "sum", "pos", F.array().alias("neg")
+    ).cast(TYPE)
+    return h.select(
+        F.lit("event_native").alias("metric"), F.create_map(F.lit("event_type"), F.col("event_type")).alias("labels"),
+        ((F.col("day") + 1) * 86_400_000).alias("ts"), hist.alias("hist"),
+    ).withColumn("key", L.series_key(F.col("labels"))).withColumn("stale", F.lit(False))
+
+
 def infos(spark: SparkSession, sf_dir: str, at_ms: int) -> DataFrame:
     """``user_activity{instance, job}`` and ``target_info{instance, job, segment}`` at one time."""
     e = table(spark, sf_dir, "events")
