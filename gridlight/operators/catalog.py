@@ -29,6 +29,29 @@ def series(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*keys).agg(F.first("labels").alias("labels"))
 
 
+def series_table(rows: DataFrame) -> DataFrame:
+    """A row per series with its first and last time: what label and matcher calls read."""
+    keys = [c for c in ("metric", "key") if c in rows.columns]
+    found = rows.groupBy(*keys).agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    return found.withColumn("labels", L.of_key(F.col("key")))
+
+
+def rollup_ends(lines: DataFrame, width: int) -> DataFrame:
+    """key, labels, ts, count, bytes of the lines in (ts - width, ts]."""
+    end = (F.col("ts") + F.pmod(-F.col("ts"), F.lit(width))).alias("ts")
+    sums = lines.select("key", end, "line").groupBy("key", "ts").agg(F.count(F.lit(1)).alias("count"), F.sum(F.octet_length("line")).cast("long").alias("bytes"))
+    return sums.withColumn("labels", L.of_key(F.col("key")))
+
+
+def selectivity(series_rows: DataFrame, matchers: list[tuple[str, str, str]], cap: int) -> DataFrame:
+    """matched (at most cap + 1) and whether it is ``over`` the cap: a probe before a wide scan."""
+    df = series_rows
+    for name, op, value in matchers:
+        df = df.where(L.matches(L.get(F.col("labels"), name), op, value))
+    few = df.select("key").distinct().limit(cap + 1)
+    return few.agg(F.count(F.lit(1)).alias("matched")).withColumn("over", F.col("matched") > cap)
+
+
 def active_streams(lines: DataFrame, start: int, end: int) -> DataFrame:
     return series(lines.where((F.col("ts") > start) & (F.col("ts") <= end)))
 

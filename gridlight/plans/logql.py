@@ -27,6 +27,8 @@ from . import promql_parser as P
 from .promql import Engine, PlanError, Scalar, Vector
 
 _MAP = "map<string,string>"
+#: Range aggregations that a roll-up answers: its column, and whether the result is per second.
+_ROLLED = {"count_over_time": ("count", False), "rate": ("count", True), "bytes_over_time": ("bytes", False), "bytes_rate": ("bytes", True)}
 
 
 def _or(parts: list[Column]) -> Column:
@@ -35,10 +37,17 @@ def _or(parts: list[Column]) -> Column:
 
 @dataclass
 class LogEngine:
-    """``lines``: labels (map), key, ts (ns), line and, optionally, meta (map)."""
+    """``lines``: labels (map), key, ts (ns), line and, optionally, meta (map).
+
+    ``series`` (key, labels, first, last): where given, matchers and activity bounds pick keys
+    there and lines by key.  ``rollup`` (key, labels, ts, count, bytes): sums of the lines in
+    (ts - width, ts]; counts and rates of whole streams read it where the grid allows."""
 
     spark: SparkSession
     lines: DataFrame
+    series: DataFrame | None = None
+    rollup: DataFrame | None = None
+    width: int = 0
 
     # -- log queries -------------------------------------------------------------------
 
@@ -52,6 +61,17 @@ class LogEngine:
         order = [F.col("ts").desc() if direction == "backward" else F.col("ts").asc(), "key", "line"]
         return rows.orderBy(*order) if limit is None else rows.orderBy(*order).limit(limit)
 
+    def page(self, text: str, start: int, end: int, limit: int, after: tuple[int, str, str] | None = None, direction: str = "backward") -> DataFrame:
+        """The next rows after the last one (ts, key, line) of the page before; no row is read
+        twice or lost between pages.  Rows equal in all three belong to one page."""
+        rows = self.logs(text, start, end, None, direction)
+        if after is not None:
+            ts, key, line = after
+            beyond = F.col("ts") < ts if direction == "backward" else F.col("ts") > ts
+            rows = rows.where(beyond | (F.col("ts") == ts) & ((F.col("key") > key) | (F.col("key") == key) & (F.col("line") > line)))
+        order = [F.col("ts").desc() if direction == "backward" else F.col("ts").asc(), "key", "line"]
+        return rows.orderBy(*order).limit(limit)
+
     def streams(self, text: str, start: int, end: int, limit: int | None = 100, direction: str = "backward") -> DataFrame:
         """Log rows grouped by final label set: key, labels, entries (ts, line)."""
         rows = self.logs(text, start, end, limit, direction)
@@ -62,8 +82,11 @@ class LogEngine:
         df = self.lines
         if start is not None:
             df = df.where((F.col("ts") > start) & (F.col("ts") <= end))
-        for name, op, value in query.matchers:
-            df = df.where(L.matches(L.get(F.col("labels"), name), op, value))
+        if self.series is None:
+            df = _matched(df, query)
+        else:
+            known = self.series if start is None else self.series.where((F.col("last") > start) & (F.col("first") <= end))
+            df = df.join(_matched(known, query).select("key"), "key", "left_semi")
         labels = F.col("labels")
         if "meta" in df.columns:
             meta = F.transform_keys(F.coalesce("meta", L.no_labels()), lambda k, v: F.when(F.map_contains_key(labels, k), F.concat(k, F.lit("_extracted"))).otherwise(k))
@@ -271,6 +294,12 @@ class LogEngine:
         return out.orderBy(*found.order, "key") if found.order and start == end else out
 
 
+def _matched(df: DataFrame, query: Q.Query) -> DataFrame:
+    for name, op, value in query.matchers:
+        df = df.where(L.matches(L.get(F.col("labels"), name), op, value))
+    return df
+
+
 def _path(path: str) -> list[str]:
     import re
 
@@ -314,8 +343,28 @@ class _MetricEngine(Engine):
             parts.append(v.withColumn("labels", labels).withColumn("key", L.series_key(F.col("labels"))))
         return Vector(reduce(DataFrame.unionByName, parts))
 
+    def _rolled(self, node: Q.Range, grid: G.Grid) -> bool:
+        if self.logs.rollup is None or node.query.stages or node.labels is not None or node.op not in _ROLLED:
+            return False
+        return not any(x % self.logs.width for x in (grid.start, grid.step, node.range_ns, node.offset_ns))
+
+    def _from_rollup(self, node: Q.Range, grid: G.Grid) -> Vector:
+        column, per_second = _ROLLED[node.op]
+        rows = _matched(self.logs.rollup, node.query).select("key", "ts", F.col(column).alias("s"))
+        dealt = G.bucketed(rows, "ts", grid, node.range_ns, node.offset_ns)
+        if dealt is None:
+            one = G.window(rows, "ts", grid, node.range_ns, node.offset_ns)
+        else:
+            one = G.spread(dealt.groupBy("key", "bucket").agg(F.sum("s").alias("s")), grid, node.range_ns)
+        total = F.sum("s").cast("double")
+        value = total / F.lit(node.range_ns / 1e9) if per_second else total
+        out = one.groupBy("key", "step").agg(value.alias("value"))
+        return _vector(out.select("step", L.of_key(F.col("key")).alias("labels"), "key", "value"))
+
     def _range_aggregate(self, node: Q.Range, grid: G.Grid, base: DataFrame | None) -> Vector:
         span, offset = node.range_ns, node.offset_ns
+        if base is None and self._rolled(node, grid):
+            return self._from_rollup(node, grid)
         if base is None:
             base = self.logs._scan(node.query, grid.start - offset - span, grid.last - offset)
         rows = self.logs.pipeline(node.query, base)

@@ -90,6 +90,8 @@ class Engine:
     lookback_ms: int = LOOKBACK_MS
     experimental: bool = True
     hists: DataFrame | None = None
+    #: metric, key, labels, first, last: where given, matchers pick series there.
+    series: DataFrame | None = None
 
     def __post_init__(self):
         if self.hists is not None:
@@ -158,6 +160,13 @@ class Engine:
 
     def _select(self, node: P.Selector, df: DataFrame | None = None) -> DataFrame:
         df = self.samples if df is None else df
+        if self.series is not None:
+            known = self._matched(self.series, node).select("metric", "key")
+            return df.join(known, ["metric", "key"], "left_semi")
+        return self._matched(df, node)
+
+    @staticmethod
+    def _matched(df: DataFrame, node: P.Selector) -> DataFrame:
         if node.name is not None:
             df = df.where(F.col("metric") == node.name)
         for label, op, value in node.matchers:

@@ -48,3 +48,13 @@ _add("zipkin_spans", ZIPKIN, lambda d: otlp.zipkin_spans(d).select("trace_id", "
      f"SELECT lpad(CAST(event_id AS VARCHAR), 32, '0') AS trace_id, 'z' AS span_id, event_type AS service, us * 1000 AS ts_ns, user_id * 1000 AS duration_ns, 2 AS status, 3 AS kind FROM {_E}")
 _add("push_logs", PUSH, lambda d: otlp.push_logs(d).select("ts", "line", *_pick("labels", "service_name", "host_id"), *_pick("meta", "n")),
      f"SELECT us * 1000 AS ts, 'event ' || event_id AS line, event_type AS service_name, CAST(user_id AS VARCHAR) AS host_id, CAST(event_id AS VARCHAR) AS n FROM {_E}")
+
+EXPONENTIAL = (
+    '{"resourceMetrics":[{"resource":' + _RES + ',"scopeMetrics":[{"metrics":[{"name":"took","exponentialHistogram":{"aggregationTemporality":2,"dataPoints":['
+    '{"timeUnixNano":"%4$d000","count":"9","sum":%3$d.5,"scale":9,"zeroCount":"2","positive":{"offset":0,"bucketCounts":["1","3"]},"negative":{"offset":-1,"bucketCounts":["3"]}},'
+    '{"timeUnixNano":"%4$d000","count":"1","scale":-5,"positive":{"offset":0,"bucketCounts":["1"]}}]}}]}]}]}'
+)
+_add("otlp_histograms", EXPONENTIAL, lambda d: otlp.otlp_histograms(d).select(
+    "metric", "ts", *_pick("labels", "job"), "hist.schema", "hist.count", "hist.sum", "hist.zero_count",
+    F.to_json("hist.pos").alias("pos"), F.to_json("hist.neg").alias("neg")),
+    f"""SELECT 'took' AS metric, us // 1000 AS ts, event_type AS job, 8 AS schema, 9.0::DOUBLE AS count, event_id + 0.5::DOUBLE AS sum, 2.0::DOUBLE AS zero_count, '[{{"i":1,"n":4.0}}]' AS pos, '[{{"i":0,"n":3.0}}]' AS neg FROM {_E}""")

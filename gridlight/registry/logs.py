@@ -179,3 +179,30 @@ _cat("detected_fields", C.detected_fields,
      "WITH e AS (SELECT *, CAST(floor(value * 100) AS BIGINT) AS cents FROM events) SELECT 'user_id' AS field, 'json' AS parser, 'int' AS type, count(DISTINCT user_id) AS cardinality FROM e "
      "UNION ALL SELECT 'user_kind', 'json', 'string', count(DISTINCT event_type) FROM e UNION ALL SELECT 'took', 'json', 'duration', count(DISTINCT cents) FROM e "
      "UNION ALL SELECT 'size', 'json', 'bytes', count(DISTINCT user_id) FROM e UNION ALL SELECT 'props_k', 'json', 'int', count(DISTINCT props) FROM e", views.log_json)
+
+
+# tables that are kept beside the lines
+def _kept(spark: SparkSession, sf_dir: str) -> LogEngine:
+    rows = views.log_events(spark, sf_dir)
+    return LogEngine(spark, rows, C.series_table(rows), C.rollup_ends(rows, H), H)
+
+
+def _rolled(name: str, text: str, sql: str, digits: int = 6) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = _kept(spark, sf_dir).metric(text, START, END, STEP)
+        return out.select("step", L.get(F.col("labels"), "event_type").alias("event_type"), _rounded(F.col("value"), digits).alias("value"))
+
+    _add(f"logql_rollup_{name}", run, sql)
+
+
+_rolled("count", 'count_over_time({event_type=~"click|view"}[1d])', _M + "SELECT step, event_type, CAST(count(*) AS DOUBLE) AS value FROM w WHERE event_type IN ('click', 'view') GROUP BY ALL")
+_rolled("rate", 'rate({event_type=~".+"}[6h])', _with(_GRID, _S, _w(6 * H)) + f"SELECT step, event_type, {_r('count(*) / 21600', 9)} AS value FROM w GROUP BY step, event_type", 9)
+_rolled("bytes", 'bytes_over_time({event_type=~".+"}[1d] offset 6h)', _with(_GRID, _S, _w(24 * H, 6 * H)) + "SELECT step, event_type, CAST(sum(strlen(line)) AS DOUBLE) AS value FROM w GROUP BY step, event_type")
+_add("logql_series_table", lambda s, d: _kept(s, d).logs('{event_type=~"click|view"} |= "user=1"', FIRST, LAST, limit=None).select("ts", "line"),
+     f"WITH {_S} SELECT ts, line FROM s WHERE {_IN} AND event_type IN ('click', 'view') AND contains(line, 'user=1')")
+_AFTER = (1_705_233_600 * NS, '{"event_type":"error"}', "")
+for _way, _sign, _order in (("backward", "<", "DESC"), ("forward", ">", "ASC")):
+    _add(f"logql_page_{_way}", lambda s, d, way=_way: LogEngine(s, views.log_events(s, d)).page('{event_type=~".+"}', FIRST, LAST, 30, _AFTER, way).select("ts", "line"),
+         f"WITH {_S} SELECT ts, line FROM s WHERE {_IN} AND ts {_sign} {_AFTER[0]} ORDER BY ts {_order}, event_type, line LIMIT 30")
+_cat("series_table", lambda df: C.series_table(df).select("key", "first", "last"), f"WITH {_S} SELECT '{{\"event_type\":\"' || event_type || '\"}}' AS key, min(ts) AS first, max(ts) AS last FROM s GROUP BY event_type")
+_cat("selectivity", lambda df: C.selectivity(C.series_table(df), [("event_type", "=~", "c.*|v.*|p.*")], 2), "SELECT 3::BIGINT AS matched, true AS over")

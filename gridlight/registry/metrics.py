@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..functions import numeric as N
+from ..operators import catalog as C
 from ..plans.promql import Engine
 from ..sources import views
 
@@ -330,3 +331,13 @@ _native("arithmetic", f"histogram_sum({_N} * 3 - {_N} / 2 + -{_N})", _one("s * 1
 _native("difference", f"histogram_count({_N} - {_N} offset 1d)", _one("hs.c - y.c", "hs JOIN (SELECT event_type, ts + 86400000 AS ts, c FROM h) y USING (event_type, ts)"))
 _native("trim_upper", f"histogram_count({_N} </ 24)", f"SELECT step, event_type, {_r('sum(CASE WHEN i IS NULL OR i <= 4 THEN n WHEN i = 5 THEN n * log2(24 / 16) ELSE 0 END)')} AS value FROM bs GROUP BY step, event_type")
 _native("trim_lower", f"histogram_count({_N} >/ 0.25)", f"SELECT step, event_type, {_r('sum(CASE WHEN i IS NULL THEN n * 0.75 ELSE n END)')} AS value FROM bs GROUP BY step, event_type")
+
+
+def _by_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.gauge(spark, sf_dir)
+    out = Engine(spark, rows, series=C.series_table(rows)).query('sum by (event_type) (sum_over_time(event_value{event_type=~"c.*|v.*"}[1d]))', START, END, STEP)
+    return out.select("step", L.get(F.col("labels"), "event_type").alias("event_type"), _rounded(F.col("value"), 6).alias("value"))
+
+
+QUERIES["promql_series_table"] = _by_series
+ORACLES["promql_series_table"] = _with(_GRID, _TYPED, _window(24 * H)) + f"SELECT step, event_type, {_r('fsum(value)')} AS value FROM w WHERE event_type IN ('click', 'view') GROUP BY step, event_type"

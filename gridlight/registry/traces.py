@@ -45,6 +45,10 @@ def _chat(spark: SparkSession, sf_dir: str) -> TQ.TraceEngine:
     return TQ.TraceEngine(spark, views.chat_spans(spark, sf_dir), none)
 
 
+def _linked(spark: SparkSession, sf_dir: str) -> TQ.TraceEngine:
+    return TQ.TraceEngine(spark, views.chat_spans(spark, sf_dir), views.chat_attrs(spark, sf_dir))
+
+
 def _add(name: str, f, sql: str | None) -> None:
     QUERIES[f"traceql_{name}"] = f
     if sql is not None:
@@ -103,6 +107,24 @@ spansets("ancestor", "{ nestedSetLeft >= 3 } << { duration > 400ns }", _DEEP + f
 spansets("not_descendant", "{ duration > 400ns } !>> { nestedSetLeft >= 3 }", _DEEP + f"trace_id, span_id FROM b y ANTI JOIN a x ON {_UP}", _chat, _CHAT)
 spansets("union_ancestor", "{ nestedSetLeft >= 3 } &<< { duration > 400ns }", _DEEP + f"trace_id, span_id FROM (SELECT * FROM a x SEMI JOIN b y ON {_UP} UNION ALL SELECT * FROM b y SEMI JOIN a x ON {_UP})", _chat, _CHAT)
 
+_X, _Y = "a AS (SELECT DISTINCT * FROM sp WHERE name = 'item-1')", "b AS (SELECT DISTINCT * FROM sp WHERE name = 'item-2')"
+_SIB = "a.trace_id = b.trace_id AND a.parent_id = b.parent_id AND a.span_id <> b.span_id"
+spansets("not_sibling", '{ name = "item-1" } !~ { name = "item-2" }', f", {_X}, {_Y} SELECT DISTINCT trace_id, span_id FROM b ANTI JOIN a ON {_SIB}")
+spansets("union_sibling", '{ name = "item-1" } &~ { name = "item-2" }', f", {_X}, {_Y} SELECT DISTINCT trace_id, span_id FROM (SELECT * FROM b SEMI JOIN a ON {_SIB} UNION ALL SELECT * FROM a SEMI JOIN b ON {_SIB})")
+spansets("not_parent", '{ span.qty > 45 } !< { name = "order-F" }', f", {_A}, {_B} SELECT DISTINCT trace_id, span_id FROM a ANTI JOIN b ON a.trace_id = b.trace_id AND b.parent_id = a.span_id")
+spansets("union_parent", '{ span.qty > 45 } &< { name = "order-F" }', f", {_A}, {_B} SELECT DISTINCT trace_id, span_id FROM (SELECT * FROM a SEMI JOIN b ON a.trace_id = b.trace_id AND b.parent_id = a.span_id UNION ALL SELECT * FROM b SEMI JOIN a ON a.trace_id = b.trace_id AND b.parent_id = a.span_id)")
+spansets("not_ancestor", "{ nestedSetLeft >= 3 } !<< { duration > 400ns }", _DEEP + f"trace_id, span_id FROM a x ANTI JOIN b y ON {_UP}", _chat, _CHAT)
+spansets("union_descendant", "{ duration > 400ns } &>> { nestedSetLeft >= 3 }", _DEEP + f"trace_id, span_id FROM (SELECT * FROM a x SEMI JOIN b y ON {_UP} UNION ALL SELECT * FROM b y SEMI JOIN a x ON {_UP})", _chat, _CHAT)
+
+# events and links: any value may satisfy, a negation holds when none equals
+spansets("event_name", '{ event:name = "late" }', "turn > 2", _linked, _CHAT)
+spansets("event_name_not", '{ event:name != "late" }', "turn <= 2", _linked, _CHAT)
+spansets("event_regex", '{ event:name =~ "la.." && event.size > 300 }', "turn > 2 AND dur > 300", _linked, _CHAT)
+spansets("event_time", "{ event:timeSinceStart >= 4ns }", "turn >= 4", _linked, _CHAT)
+spansets("event_attribute", "{ event.size < 200 || event.size = 400 }", "dur < 200 OR dur = 400", _linked, _CHAT)
+spansets("link_trace", '{ link:traceID =~ "v1.*" && link.kind = "user" }', "CAST(conv_id - 1 AS VARCHAR) LIKE '1%' AND name = 'user'", _linked, _CHAT)
+spansets("link_exists", "{ link:traceID != nil && event.none = nil && duration > 900ns }", "dur > 900", _linked, _CHAT)
+
 # pipeline
 _ID = "(SELECT DISTINCT trace_id, span_id, name, qty, dur, service FROM sp)"
 spansets("aggregate_count", '{ span.qty > 30 } | count() > 3', f"SELECT DISTINCT trace_id, span_id FROM {_ID} WHERE qty > 30 AND trace_id IN (SELECT trace_id FROM {_ID} WHERE qty > 30 GROUP BY 1 HAVING count(*) > 3)")

@@ -7,9 +7,12 @@ decompress files.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import histograms as H
 from ..functions import labels as L
 from ..functions import numeric as N
 
@@ -24,11 +27,17 @@ LOGS = (
 _POINT = f"struct<attributes: {_ATTR}, timeUnixNano: string, asDouble: double, asInt: string>"
 _HIST = f"struct<attributes: {_ATTR}, timeUnixNano: string, count: string, sum: double, bucketCounts: array<string>, explicitBounds: array<double>>"
 _SUMMARY = f"struct<attributes: {_ATTR}, timeUnixNano: string, count: string, sum: double, quantileValues: array<struct<quantile: double, value: double>>>"
+_SIDE = "struct<offset: int, bucketCounts: array<string>>"
+_EXPONENTIAL = (
+    f"struct<attributes: {_ATTR}, timeUnixNano: string, count: string, sum: double, scale: int, zeroCount: string, zeroThreshold: double, "
+    f"positive: {_SIDE}, negative: {_SIDE}>"
+)
 METRICS = (
     f"resourceMetrics array<struct<resource: {_RESOURCE}, scopeMetrics: array<struct<scope: {_SCOPE}, metrics: array<struct<"
     f"name: string, unit: string, description: string, gauge: struct<dataPoints: array<{_POINT}>>, "
     f"sum: struct<dataPoints: array<{_POINT}>, aggregationTemporality: int, isMonotonic: boolean>, "
-    f"histogram: struct<dataPoints: array<{_HIST}>, aggregationTemporality: int>, summary: struct<dataPoints: array<{_SUMMARY}>>>>>>>>"
+    f"histogram: struct<dataPoints: array<{_HIST}>, aggregationTemporality: int>, "
+    f"exponentialHistogram: struct<dataPoints: array<{_EXPONENTIAL}>, aggregationTemporality: int>, summary: struct<dataPoints: array<{_SUMMARY}>>>>>>>>"
 )
 _EVENT = f"struct<timeUnixNano: string, name: string, attributes: {_ATTR}>"
 _LINK = f"struct<traceId: string, spanId: string, attributes: {_ATTR}>"
@@ -90,16 +99,45 @@ def otlp_logs(df: DataFrame) -> DataFrame:
     return out.withColumn("key", L.series_key(F.col("labels")))
 
 
-def otlp_metrics(df: DataFrame) -> DataFrame:
-    """metric, labels, key, ts (ms), value, stale; delta temporality (1) is rejected.
-    Histograms and summaries fan out to ``_bucket``/``_sum``/``_count`` and quantile series."""
+def _metrics(df: DataFrame) -> tuple[DataFrame, Column, Callable[[Column], Column]]:
+    """res and m (a metric) of each document, the metric's name, and a point's labels."""
     r = _documents(df, METRICS).select(F.explode("resourceMetrics").alias("r"))
     s = r.select("r.resource", F.explode("r.scopeMetrics").alias("s"))
     m = s.select(_map(F.col("resource.attributes")).alias("res"), "s.metrics").select("res", F.explode("metrics").alias("m"))
-    name = canonical(F.col("m.name"))
     res = F.map_filter("res", lambda k, v: k.isin("service_name", "service_instance_id"))
     base = F.transform_keys(res, lambda k, v: F.when(k == "service_name", "job").otherwise("instance"))
     merged = lambda attrs: F.map_concat(base, F.map_filter(_map(attrs), lambda k, v: ~F.map_contains_key(base, k)))
+    return m, canonical(F.col("m.name")), merged
+
+
+def otlp_histograms(df: DataFrame) -> DataFrame:
+    """metric, labels, key, ts (ms), hist, stale of cumulative exponential points.  Scales
+    beyond the finest schema are merged, those below the coarsest rejected."""
+    m, name, merged = _metrics(df)
+    rows = m.where("m.exponentialHistogram IS NOT NULL AND coalesce(m.exponentialHistogram.aggregationTemporality, 2) = 2")
+    rows = rows.select("res", "m", F.explode("m.exponentialHistogram.dataPoints").alias("p"))
+    ts = N.whole_div(F.col("p.timeUnixNano").cast("long"), 10**6)
+    points = rows.select(name.alias("metric"), merged(F.col("p.attributes")).alias("labels"), ts.alias("ts"), "p").withColumn("key", L.series_key(F.col("labels")))
+    counts = lambda side: [float(n) for n in (side or {}).get("bucketCounts") or ()]
+
+    def point(row: dict) -> dict | None:
+        x = row["p"]
+        if (x["scale"] or 0) < H.MIN_SCHEMA:
+            return None
+        pos, neg = x["positive"], x["negative"]
+        h = H.from_exponential(
+            x["scale"] or 0, float(x["zeroCount"] or 0), x["zeroThreshold"] or 0.0, float(x["count"] or 0), x["sum"] or 0.0,
+            (pos or {}).get("offset") or 0, counts(pos), (neg or {}).get("offset") or 0, counts(neg),
+        )
+        return {"hist": h.row()}
+
+    return H.rowwise(points, point, f"hist {H.TYPE}", drop=("p",)).withColumn("stale", F.lit(False))
+
+
+def otlp_metrics(df: DataFrame) -> DataFrame:
+    """metric, labels, key, ts (ms), value, stale; delta temporality (1) is rejected.
+    Histograms and summaries fan out to ``_bucket``/``_sum``/``_count`` and quantile series."""
+    m, name, merged = _metrics(df)
 
     def points(kind: str, where: str = "true") -> DataFrame:
         rows = m.where(F.col(f"m.{kind}").isNotNull()).where(where)

@@ -183,3 +183,19 @@ def attrs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit("resource").alias("scope"), F.lit("priority").alias("key"), F.col("o_orderpriority").alias("val"), F.lit(None).cast("double").alias("val_num")).alias("a"),
     )
     return child.unionByName(root).select("trace_id", "span_id", "a.*")
+
+
+def chat_attrs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events and a link of the conversation spans: each turn has an event ``said`` (with its
+    size) and, after turn 2, one ``late``; a turn links to the conversation before its own."""
+    c = table(spark, sf_dir, "conversations").dropDuplicates(["conv_id", "turn"])
+    row = lambda scope, key, val, num=None, when=None: F.when(F.lit(True) if when is None else when, F.struct(
+        F.lit(scope).alias("scope"), F.lit(key).alias("key"), val.cast("string").alias("val"), (F.lit(None) if num is None else num).cast("double").alias("val_num")))
+    size, late = F.length("text"), F.col("turn") > 2
+    values = F.filter(F.array(
+        row("event", "event:name", F.lit("said")), row("event", "event:name", F.lit("late"), when=late), row("event", "size", size, size),
+        row("event", "event:timeSinceStart", F.col("turn"), F.col("turn")),
+        row("link", "link:traceID", F.concat(F.lit("v"), F.col("conv_id") - 1)), row("link", "kind", F.col("role")),
+    ), lambda x: x.isNotNull())
+    ids = [F.concat(F.lit("v"), F.col("conv_id").cast("string")).alias("trace_id"), F.concat(F.lit("s"), F.col("turn").cast("string")).alias("span_id")]
+    return c.select(*ids, F.explode(values).alias("a")).select("trace_id", "span_id", "a.*")
