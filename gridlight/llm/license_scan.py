@@ -13,8 +13,12 @@ Votes are summed per (document, template, diagonal) with map-side aggregation; a
 document's diagonals are bounded by its length, so a hot source or a common license
 line cannot gather in one task.
 
-Defined results: null text is empty, has no words, no labels and score 0; repeated
-rows get equal results; null ids are kept; an empty table gives no rows; further
+The score is 1 with a base label, else the best share of a template that a span covers,
+verified or not.
+
+Defined results: null text is empty, has no words, no labels and score 0; a very long text
+is read whole, and its matches are rows of their own; equal labels of several spans are
+named once; repeated rows get equal results; null ids are kept; an empty table gives no rows; further
 columns are ignored.
 """
 
@@ -38,6 +42,9 @@ LICENSES = {
         "released under the mit license",
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
         "documentation files the software to deal in the software without restriction",
+        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the "
+        "software and to permit persons to whom the software is furnished to do so subject to the following conditions the above "
+        "copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
     ),
     "apache-2.0": (
         "licensed under the apache license version 2 0",
@@ -53,14 +60,18 @@ LICENSES = {
     "bsd": (
         "redistribution and use in source and binary forms with or without modification are permitted provided that "
         "the following conditions are met",
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following "
+        "disclaimer in the documentation and or other materials provided with the distribution",
     ),
     "mpl-2.0": ("this source code form is subject to the terms of the mozilla public license v 2 0",),
     "isc": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",),
     "unlicense": ("this is free and unencumbered software released into the public domain",),
 }
 GRAM = 2
-#: Diagonals this close belong to one span; share of positions that verifies a span.
-DRIFT, COVER, STRETCH = 2, 0.75, 1.5
+#: Diagonals this close, or within a ``REACH``-th of the template, belong to one span; share of
+#: positions that verifies a span.
+DRIFT, REACH, COVER, STRETCH = 2, 4, 0.75, 1.5
 
 _SCAN = "doc_id long, rid long, n_words long, grams array<struct<h: bigint, w: string>>"
 
@@ -144,7 +155,7 @@ def scan(docs: DataFrame) -> DataFrame:
     by = Window.partitionBy("doc_id", "rid", "template").orderBy("diagonal")
     spans = (
         diagonals.where("NOT base")
-        .withColumn("new", (F.col("diagonal") - F.lag("diagonal").over(by) > DRIFT).cast("int"))
+        .withColumn("new", (F.col("diagonal") - F.lag("diagonal").over(by) > F.greatest(F.lit(DRIFT), F.floor(F.col("m") / REACH))).cast("int"))
         .withColumn("span", F.sum(F.coalesce("new", F.lit(1))).over(by))
         .groupBy(*key, "span")
         .agg(F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats"), F.min("first").alias("first"), F.max("last").alias("last"))

@@ -90,6 +90,27 @@ def test_license_scan(docs, rows, empty):
     assert license_scan.scan(empty).count() == 0
 
 
+def test_license_spans(spark):
+    """The method's own labels against a plain alignment, over edited license texts."""
+    rng, texts = random.Random(5), []
+    longest = {k: max(v, key=len).split() for k, v in license_scan.LICENSES.items()}
+    for label, words in longest.items():
+        if len(words) < 20:
+            continue
+        mid = len(words) // 2
+        noise = [f"n{rng.randint(0, 999)}" for _ in range(30)]
+        texts += [
+            (label, True, noise + words + noise), (label, True, noise + words[:mid] + ["x", "y", "z"] + words[mid:]),
+            (label, True, words[: mid - 1] + words[mid + 1 :] + noise), (label, False, noise + words[:mid] + noise),
+            (label, False, words[: mid // 2] + noise * 9 + words[mid:]), (label, False, rng.sample(words, len(words))),
+        ]
+    found = license_scan.scan(spark.createDataFrame([(i, " ".join(t)) for i, (*_, t) in enumerate(texts)], "doc_id long, text string")).collect()
+    got = {r.doc_id: r for r in found}
+    for i, (label, whole, _) in enumerate(texts):
+        assert (label in got[i].labels.split(",")) == whole, (i, label, got[i])
+        assert got[i].score >= 0.75 if whole else got[i].score < 1 or got[i].base_labels
+
+
 def test_source_mix(docs, rows, empty):
     found = source_mix.mix(docs, block=8)
     got = [tuple(r) for r in found.select("doc_id", "source", "size", "source_size", "target", "taken", "copies").collect()]
