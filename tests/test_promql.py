@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from gridlight.functions import labels as L
 from gridlight.plans import promql_parser as P
 from gridlight.plans.promql import Engine, PlanError
+from gridlight.sources import views
 
 MIN = 60_000
 
@@ -118,3 +119,28 @@ def test_parser():
             P.parse(bad)
     with pytest.raises(P.ParseError):
         P.parse("1" * 200_000)
+
+
+def test_limit_ratio_picks_by_series_hash(spark, sf_dir):
+    import xxhash
+
+    rows = views.gauge(spark, sf_dir)
+    at = 1_705_276_800_000
+    share = lambda r: xxhash.xxh64_intdigest(b"".join(x.encode() + b"\xff" for kv in sorted(r.labels.items()) for x in kv)) / float(2**64 - 1)
+    everything = Engine(spark, rows).query("last_over_time(event_value[5d])", at).collect()
+    for ratio in (0.3, -0.3):
+        got = {r.key for r in Engine(spark, rows).query(f"limit_ratio({ratio}, last_over_time(event_value[5d]))", at).collect()}
+        assert got == {r.key for r in everything if (share(r) < ratio if ratio > 0 else share(r) >= 1 + ratio)} and got
+
+
+def test_native_histograms_replace_floats(spark, sf_dir):
+    hists = views.native(spark, sf_dir)
+    floats = hists.select("metric", "labels", "ts", F.lit(7.0).alias("value"), "key", "stale")
+    late = floats.withColumn("ts", F.col("ts") + 60_000)
+    at = 1_705_276_800_000
+    engine = Engine(spark, floats.unionByName(late), hists=hists)
+    rows = engine.query("event_native", at).collect()
+    assert rows and all((r.value is None) == (r.hist is not None) for r in rows)
+    assert {r.value for r in engine.query("count(event_native @ %d)" % (at // 1000), at).collect()} == {5.0}
+    with pytest.raises(PlanError):
+        Engine(spark, floats).query("histogram_count(event_native)", at)

@@ -52,3 +52,16 @@ def test_checks():
             parse(bad)
     assert parse("{} | rate() with (a=1, a=2)").hints == {"a": 2}
     parse(legacy_tags('service_name=x http.code=200 name="a b"', "1s"))
+
+
+def test_rejected_metrics():
+    import pytest
+
+    from gridlight.plans.promql_parser import ParseError
+    from gridlight.plans.traceql_parser import parse
+
+    five = "by (name, kind, status, span.a, span.b)"
+    for text in ("{} | compare({ kind = client }) | topk(2)", f"{{}} | quantile_over_time(duration, 0.5) {five}", f"{{}} | histogram_over_time(duration) {five}"):
+        with pytest.raises(ParseError):
+            parse(text)
+    assert parse(f"{{}} | rate() {five}") and parse("{} | compare({ kind = client })")
