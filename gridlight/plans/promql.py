@@ -25,6 +25,7 @@ from ..functions import numeric as N
 from ..operators import catalog as C
 from ..operators import grid as G
 from . import promql_parser as P
+from .annotations import annotate
 
 LOOKBACK_MS, SUBQUERY_STEP_MS, MAX_DEPTH = 300_000, 60_000, 64
 _ids = count()
@@ -126,6 +127,10 @@ class Engine:
         clash = F.raise_error(F.lit("vector cannot contain metrics with the same labelset"))
         return out.withColumn("value", F.when(twin > 1, clash).otherwise(F.col("value")))
 
+    def annotations(self, text: str, start: int, end: int | None = None, step: int = 60_000) -> DataFrame:
+        """Warnings beside the result of ``query``: level, message."""
+        return annotate(self, text, start, end, step)
+
     # -- dispatch ---------------------------------------------------------------
 
     def compile(self, node, grid: G.Grid, depth: int):

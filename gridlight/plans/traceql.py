@@ -455,6 +455,11 @@ class TraceEngine:
 
     # -- metrics -------------------------------------------------------------------------------
 
+    def series_probe(self, text: str, start: int, end: int, step: int, cap: int) -> DataFrame:
+        """series (at most cap + 1) of a metrics query and whether they are ``over`` the cap."""
+        few = self.metrics(text, start, end, step).select(L.series_key(F.col("labels")).alias("key")).distinct().limit(cap + 1)
+        return few.agg(F.count(F.lit(1)).alias("series")).withColumn("over", F.col("series") > cap)
+
     def metrics(self, text: str, start: int, end: int, step: int) -> DataFrame:
         """Rows step (ns), labels (map), value.  Buckets are aligned to the epoch, [t, t + step);
         the window is snapped outward to them."""

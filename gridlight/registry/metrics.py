@@ -341,3 +341,14 @@ def _by_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["promql_series_table"] = _by_series
 ORACLES["promql_series_table"] = _with(_GRID, _TYPED, _window(24 * H)) + f"SELECT step, event_type, {_r('fsum(value)')} AS value FROM w WHERE event_type IN ('click', 'view') GROUP BY step, event_type"
+
+
+def _annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = "sort(quantile(1.5, event_value)) or histogram_quantile(-1, event_value) or limit_ratio(-2, event_value)"
+    return Engine(spark, views.gauge(spark, sf_dir)).annotations(text, START, END, STEP)
+
+
+QUERIES["promql_annotations"] = _annotated
+ORACLES["promql_annotations"] = """SELECT 'warning' AS level, 'PromQL warning: ' || m AS message FROM (VALUES ('quantile value should be between 0 and 1, got 1.5'), ('quantile value should be between 0 and 1, got -1'),
+('ratio value should be between -1 and 1, got -2, capping to -1'), ('sort is ineffective for range queries since results are always ordered by labels')) t(m)
+UNION ALL SELECT DISTINCT 'warning', 'PromQL warning: bucket label "le" is missing or has a malformed value of "" for metric name "event_value"' FROM events"""

@@ -175,6 +175,8 @@ _PARTS = " UNION ALL ".join(
 _add("compare", _compare, _X + f", y AS (SELECT *, CASE WHEN qty > 40 THEN 'selection' ELSE 'baseline' END AS side FROM x WHERE kind = 3) {_PARTS}")
 _add("exemplars", lambda s, d: _engine(s, d).exemplars("{ kind = client } | rate()", 694_224_000 * NS, 946_684_800 * NS, _STEP, 2), f"WITH {_SPANS}, x AS (SELECT DISTINCT trace_id, span_id, ts, ts // {_STEP} * {_STEP} AS step FROM sp WHERE kind = 3 AND ts >= {694_224_000 * NS} AND ts < {946_684_800 * NS}) SELECT step, trace_id, ts AS ts_ns FROM x QUALIFY row_number() OVER (PARTITION BY step ORDER BY ts, trace_id, span_id) <= 2")
 
+_add("series_probe", lambda s, d: _engine(s, d).series_probe("{} | count_over_time() by (name)", 694_224_000 * NS, 946_684_800 * NS, _STEP, 3), _X + 'SELECT least(count(DISTINCT name), 4) AS series, count(DISTINCT name) > 3 AS "over" FROM x')
+
 
 # service graph and tags
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table that is smaller than one split, dealt to all cores; a larger table is
+    read as it lies.  At most ``spark.sql.files.maxPartitionBytes`` are shuffled."""
+    conf = df.sparkSession._jsparkSession.sessionState().conf()
+    size = int(str(df._jdf.queryExecution().analyzed().stats().sizeInBytes()))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if cores == 1 or size > min(conf.filesMaxPartitionBytes(), cores * conf.filesOpenCostInBytes()):
+        return df
+    return df.repartition(cores)
+
+
 def micros(ts: Column) -> Column:
     """Microseconds of a zone-less timestamp, whatever the session's zone is."""
     utc = F.to_utc_timestamp(ts.cast("timestamp"), "UTC")
@@ -101,7 +112,7 @@ def infos(spark: SparkSession, sf_dir: str, at_ms: int) -> DataFrame:
 
 def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines ``event_type=<t> user=<u> value=<v> {"k": n}`` in streams per event type."""
-    e = table(spark, sf_dir, "events")
+    e = spread(table(spark, sf_dir, "events"))
     cents = F.floor(F.col("value") * 100).cast("long")
     line = F.concat(F.lit("event_type="), "event_type", F.lit(" user="), F.col("user_id").cast("string"), F.lit(" value="), cents.cast("string"), F.lit(" "), "props")
     df = e.select(F.create_map(F.lit("event_type"), F.col("event_type")).alias("labels"), (micros(e["ts"]) * 1000).alias("ts"), line.alias("line"))
@@ -110,7 +121,7 @@ def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def log_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same events as nested JSON lines."""
-    e = table(spark, sf_dir, "events")
+    e = spread(table(spark, sf_dir, "events"))
     cents = F.floor(F.col("value") * 100).cast("long")
     line = F.concat(
         F.lit('{"user":{"id":'), F.col("user_id").cast("string"), F.lit(',"kind":"'), F.col("event_type"), F.lit('"},"took":"'),
@@ -132,7 +143,7 @@ def log_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A root span per order (server) and a client span per line item."""
-    o, l = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")  # noqa: E741
+    o, l = (spread(table(spark, sf_dir, t)) for t in ("orders", "lineitem"))  # noqa: E741
     root = o.select(
         F.concat(F.lit("t"), F.col("o_orderkey").cast("string")).alias("trace_id"), F.lit("root").alias("span_id"), F.lit("").alias("parent_id"),
         F.concat(F.lit("order-"), "o_orderstatus").alias("name"), F.col("o_orderpriority").alias("service"),
@@ -167,7 +178,7 @@ def chat_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def attrs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """span.qty, span.flag and resource.priority of the order spans."""
-    o, l = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")  # noqa: E741
+    o, l = (spread(table(spark, sf_dir, t)) for t in ("orders", "lineitem"))  # noqa: E741
     day = F.datediff(F.to_date("l_shipdate"), F.lit("1970-01-01").cast("date")).cast("string")
     sid = F.concat_ws("-", F.lit("c"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"), day)
     qty = F.col("l_quantity").cast("long")

@@ -144,3 +144,17 @@ def test_native_histograms_replace_floats(spark, sf_dir):
     assert {r.value for r in engine.query("count(event_native @ %d)" % (at // 1000), at).collect()} == {5.0}
     with pytest.raises(PlanError):
         Engine(spark, floats).query("histogram_count(event_native)", at)
+
+
+def test_annotations(engine):
+    def of(text, end=0):
+        return {r.message.removeprefix("PromQL warning: ") for r in engine.annotations(text, 0, end).collect()}
+
+    assert of("sum(up)") == of("histogram_quantile(0.5, lat_bucket)") == of("sort(up)") == of("limit_ratio(-1, up)") == set()
+    assert of("-(quantile(-Inf, up) + quantile_over_time(1.25, up[5m]))") == {f"quantile value should be between 0 and 1, got {x}" for x in ("-Inf", "1.25")}
+    assert of('histogram_quantiles(lat_bucket, "q", 0.5, 2)') == {"quantile value should be between 0 and 1, got 2"}
+    assert of("limit_ratio(1.5, up)") == {"ratio value should be between -1 and 1, got 1.5, capping to 1"}
+    assert of("sort_by_label(up, \"i\")", MIN) == {"sort is ineffective for range queries since results are always ordered by labels"}
+    bad = 'bucket label "le" is missing or has a malformed value of '
+    assert of('histogram_quantile(0.5, label_replace(up{i="2"}, "le", "a\\"b", "", ""))') == {bad + '"a\\"b" for metric name "up"'}
+    assert of("histogram_fraction(0, 1, sum(up))") == {bad + '""'}
