@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
+from ..operators import catalog as C
 from ..sources import otlp, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +59,23 @@ _add("otlp_histograms", EXPONENTIAL, lambda d: otlp.otlp_histograms(d).select(
     "metric", "ts", *_pick("labels", "job"), "hist.schema", "hist.count", "hist.sum", "hist.zero_count",
     F.to_json("hist.pos").alias("pos"), F.to_json("hist.neg").alias("neg")),
     f"""SELECT 'took' AS metric, us // 1000 AS ts, event_type AS job, 8 AS schema, 9.0::DOUBLE AS count, event_id + 0.5::DOUBLE AS sum, 2.0::DOUBLE AS zero_count, '[{{"i":1,"n":4.0}}]' AS pos, '[{{"i":0,"n":3.0}}]' AS neg FROM {_E}""")
+
+
+def _metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A metric per event type; each of its events restates type, help and unit."""
+    e = views.table(spark, sf_dir, "events")
+    rows = e.select(F.col("event_type").alias("metric"), F.when(F.col("event_id") % 2 == 0, "counter").otherwise("gauge").alias("type"),
+                    F.concat(F.lit("help "), F.col("event_id").cast("string")).alias("help"), F.lit("s").alias("unit"), F.col("event_id").alias("updated_ns"))
+    return C.latest_metadata(rows)
+
+
+def _unregistered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = views.gauge(spark, sf_dir)
+    fresh = otlp.new_series(seen, seen.where("labels['event_type'] < 'm'"))
+    return fresh.select("metric", *_pick("labels", "event_type", "user_id"))
+
+
+QUERIES["ingest_metadata"] = _metadata
+ORACLES["ingest_metadata"] = "SELECT event_type AS metric, CASE WHEN max(event_id) % 2 = 0 THEN 'counter' ELSE 'gauge' END AS type, 'help ' || max(event_id) AS help, 's' AS unit FROM events GROUP BY event_type"
+QUERIES["ingest_new_series"] = _unregistered
+ORACLES["ingest_new_series"] = "SELECT DISTINCT 'event_value' AS metric, event_type, CAST(user_id AS VARCHAR) AS user_id FROM events WHERE event_type >= 'm'"

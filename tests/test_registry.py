@@ -11,7 +11,7 @@ from gridlight.registry import ingest, logs, metrics, traces
 SAMPLE = [
     "promql_rate", "promql_matchers", "promql_subquery", "promql_agg_topk", "promql_group_left", "promql_fill", "promql_histogram_quantile", "promql_info",
     "logql_label_filter_number", "logql_json", "logql_line_format_template", "logql_quantile_over_time", "logql_variants", "logs_patterns", "logs_stats",
-    "traceql_filter_attributes", "traceql_union_ancestor", "traceql_search", "traceql_compare", "traceql_service_graph", "traceql_series_probe", "promql_annotations", "ingest_otlp_metrics",
+    "traceql_filter_attributes", "traceql_union_ancestor", "traceql_search", "traceql_compare", "traceql_service_graph", "traceql_series_probe", "promql_annotations", "ingest_otlp_metrics", "ingest_metadata", "ingest_new_series",
 ]
 QUERIES = {**metrics.QUERIES, **logs.QUERIES, **traces.QUERIES, **ingest.QUERIES}
 ORACLES = {**metrics.ORACLES, **logs.ORACLES, **traces.ORACLES, **ingest.ORACLES}
