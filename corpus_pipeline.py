@@ -6,7 +6,7 @@ the last returns the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridlight.llm.common import row_key, staged, table
@@ -17,11 +17,16 @@ from gridlight.llm.sharding import shard
 from gridlight.llm.source_mix import mixed_documents
 
 
+def _record(docs: DataFrame) -> Column:
+    """All columns in one, so that their names meet no other."""
+    return F.struct(*[docs[c] for c in docs.columns]).alias("rec")
+
+
 def _keep(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose (doc_id, rid) is in ``verdicts``.  Equal rows share a verdict."""
     kept = verdicts.select(F.col("doc_id").alias("k_id"), F.col("rid").alias("k_rid"))
-    same = docs["doc_id"].cast("long").eqNullSafe(kept["k_id"]) & (row_key(docs) == kept["k_rid"])
-    return docs.join(kept, same, "left_semi")
+    rows = docs.select(_record(docs), docs["doc_id"].cast("long").alias("id"), row_key(docs).alias("rid"))
+    return rows.join(kept, F.col("id").eqNullSafe(F.col("k_id")) & (F.col("rid") == F.col("k_rid")), "left_semi").select("rec.*")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,11 +59,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     id each is judged by itself."""
     odd, node = _odd_keys(docs), docs["doc_id"].cast("long")
     if odd is None:
-        rows = docs.withColumn("_node", node)
+        rows = docs.select(_record(docs), node.alias("node"))
     else:
-        same = node.eqNullSafe(odd["o_id"]) & (row_key(docs) == odd["o_rid"])
-        rows = staged(docs.join(odd, same, "left").select(*[docs[c] for c in docs.columns], F.coalesce("o_node", node).alias("_node")), "pipeline-nodes")
-    found = near_duplicates(rows.select(F.col("_node").alias("doc_id"), "text"))
+        rows = docs.select(_record(docs), node.alias("id"), row_key(docs).alias("rid"))
+        same = F.col("id").eqNullSafe(F.col("o_id")) & (F.col("rid") == F.col("o_rid"))
+        rows = staged(rows.join(odd, same, "left").select("rec", F.coalesce("o_node", "id").alias("node")), "pipeline-nodes")
+    found = near_duplicates(rows.select(F.col("node").alias("doc_id"), F.col("rec")["text"].alias("text")))
     if odd is None:
         kept = found.where("kept").select(F.col("doc_id").alias("k")).distinct()
     else:
@@ -66,9 +72,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         own = F.when(F.col("o_node").isNull(), F.col("doc_id")).otherwise(F.col("o_id"))
         best = F.min(F.struct(own.isNull().alias("unnamed"), own.alias("id"), F.col("doc_id").alias("node")))
         kept = named.groupBy("component_id").agg(best.alias("best")).select(F.col("best.node").alias("k"))
-    twin = Window.partitionBy("_node").orderBy(F.xxhash64(*docs.columns))
-    rows = rows.join(kept, F.col("_node") == F.col("k"), "left_semi").withColumn("_twin", F.row_number().over(twin))
-    return rows.where("_twin = 1").select(*docs.columns)
+    twin = Window.partitionBy("node").orderBy(F.xxhash64("rec"))
+    rows = rows.join(kept, F.col("node") == F.col("k"), "left_semi").withColumn("twin", F.row_number().over(twin))
+    return rows.where("twin = 1").select("rec.*")
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
