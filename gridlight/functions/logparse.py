@@ -138,7 +138,8 @@ def ip_range(text: str) -> tuple[int, int, int]:
 
 
 def ip_column(line: Column, pattern: str, whole: bool = False) -> Column:
-    """Whether any address in the text (or the text itself) lies in the range."""
+    """Whether any address in the text (or the text itself) lies in the range; what is no
+    address does not."""
     version, low, high = ip_range(pattern)
     if version == 4 and not whole:
         found = F.regexp_extract_all(line, F.lit(r"(?<![\d.])(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})(?![\d.])"), F.lit(1))
@@ -148,13 +149,11 @@ def ip_column(line: Column, pattern: str, whole: bool = False) -> Column:
 
     @F.pandas_udf("boolean")
     def run(lines: pd.Series) -> pd.Series:
-        def hit(text: str | None) -> bool | None:
+        def hit(text: str | None) -> bool:
             for token in [text or ""] if whole else _IP.findall(text or ""):
                 try:
                     a = ipaddress.ip_address(token)
                 except ValueError:
-                    if whole:
-                        return None
                     continue
                 if a.version == version and low <= int(a) <= high:
                     return True

@@ -234,7 +234,7 @@ class LogEngine:
             return L.matches(value, "=" if node.op == "==" else node.op, node.value), F.lit(False)
         there = F.map_contains_key(F.col("labels"), F.lit(node.name))
         if node.kind == "ip":
-            hit = F.coalesce(LP.ip_column(value, node.value, whole=True), F.lit(True))
+            hit = LP.ip_column(value, node.value, whole=True)
             return there & (hit if node.op in ("=", "==") else ~hit), F.lit(False)
         number = {"number": lambda t: t.try_cast("double"), "duration": LP.duration_seconds, "bytes": LP.byte_count}[node.kind](value)
         hit = N.COMPARISON[node.op](number, N.const(node.value))

@@ -50,6 +50,14 @@ def test_ip_and_pattern(engine):
     assert _labels(engine, '{app="x"} | pattern "plain <ip> <_>" | ip="10.1.2.3"')[0]["ip"] == "10.1.2.3"
 
 
+def test_what_is_no_address_is_in_no_range(spark):
+    values = ["10.0.4.9", "10.0.300.9", "x", "::1"]
+    df = spark.createDataFrame([({"app": "x"}, k * S, f"from {v} ok") for k, v in enumerate(values, 1)], "labels map<string,string>, ts long, line string")
+    engine = LogEngine(spark, df.withColumn("key", L.series_key(F.col("labels"))))
+    got = lambda op: sorted(r["a"] for r in _labels(engine, f'{{app="x"}} | pattern "from <a> ok" | a{op}ip("10.0.3.1-10.0.5.255")'))
+    assert got("=") == ["10.0.4.9"] and got("!=") == ["10.0.300.9", "::1", "x"]
+
+
 def test_unwrap_error_fails(engine):
     with pytest.raises(Exception, match="pipeline error"):
         engine.metric('sum_over_time({app="y"} | logfmt | unwrap v [10s])', 10 * S).collect()
