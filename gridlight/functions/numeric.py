@@ -131,20 +131,29 @@ def avg_of(x: Column) -> Column:
     return sum_of(x) / F.count(x)
 
 
+def let(x: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(x)`` with ``x`` computed once a row, however often and wherever ``use`` reads it."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
 def quantile(values: Column, q: Column) -> Column:
     """Linear interpolation over an array of doubles; NaN elements order first."""
-    ordered = F.array_sort(values, lambda a, b: F.when(F.isnan(a) & F.isnan(b), 0).when(F.isnan(a), -1).when(F.isnan(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0))
-    rank = q * (F.size(values) - 1)
-    low = F.floor(rank).cast("int")
-    high = F.least(low + 1, F.size(values) - 1)
-    weight = rank - low
-    inside = F.get(ordered, low) * (1 - weight) + F.get(ordered, high) * weight
-    # an infinite neighbour with no weight must not give NaN
-    inside = F.when(weight == 0, F.get(ordered, low)).otherwise(inside)
-    return (
-        F.when(F.isnan(q) | (F.size(values) == 0), const(NAN))
-        .when(q < 0, const(-INF)).when(q > 1, const(INF)).otherwise(inside)
-    )
+
+    def ranked(ordered: Column) -> Column:
+        rank = q * (F.size(ordered) - 1)
+        low = F.floor(rank).cast("int")
+        high = F.least(low + 1, F.size(ordered) - 1)
+        weight = rank - low
+        inside = F.get(ordered, low) * (1 - weight) + F.get(ordered, high) * weight
+        # an infinite neighbour with no weight must not give NaN
+        inside = F.when(weight == 0, F.get(ordered, low)).otherwise(inside)
+        return (
+            F.when(F.isnan(q) | (F.size(ordered) == 0), const(NAN))
+            .when(q < 0, const(-INF)).when(q > 1, const(INF)).otherwise(inside)
+        )
+
+    first = lambda v: F.concat(F.filter(v, F.isnan), F.sort_array(F.filter(v, lambda x: ~F.isnan(x))))
+    return let(let(values, first), ranked)
 
 
 def go_format(x: Column) -> Column:

@@ -470,8 +470,8 @@ class Engine:
         if fn == "quantile_over_time":
             return N.quantile(values, param)
         if fn == "mad_over_time":
-            middle = N.quantile(values, N.const(0.5))
-            return N.quantile(F.transform(values, lambda x: F.abs(x - middle)), N.const(0.5))
+            half = N.const(0.5)
+            return N.let(N.quantile(values, half), lambda middle: N.quantile(F.transform(values, lambda x: F.abs(x - middle)), half))
         if fn in ("ts_of_min_over_time", "ts_of_max_over_time"):
             better = N.COMPARISON["<=" if "min" in fn else ">="]
             pick = F.aggregate(

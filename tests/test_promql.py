@@ -1,4 +1,5 @@
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -158,3 +159,13 @@ def test_annotations(engine):
     bad = 'bucket label "le" is missing or has a malformed value of '
     assert of('histogram_quantile(0.5, label_replace(up{i="2"}, "le", "a\\"b", "", ""))') == {bad + '"a\\"b" for metric name "up"'}
     assert of("histogram_fraction(0, 1, sum(up))") == {bad + '""'}
+
+
+def test_mad_of_a_wide_window(spark):
+    rows = [("n", {}, k, float(k % 101), False) for k in range(1, 20_001)]
+    df = spark.createDataFrame(rows, "metric string, labels map<string,string>, ts long, value double, stale boolean")
+    engine = Engine(spark, df.withColumn("key", L.series_key(F.col("labels"))))
+    began = time.monotonic()
+    assert list(_run(engine, "mad_over_time(n[5m])", 5 * MIN).values()) == [25.0]
+    assert time.monotonic() - began < 60  # a median within each deviation took n * n * log n steps
+    assert list(_run(engine, "quantile_over_time(0.5, n[5m])", 5 * MIN).values()) == [50.0]
