@@ -82,6 +82,7 @@ class Engine:
     """``samples``: metric, labels (map), key, ts (ms), value, stale.
 
     ``key`` is the canonical text of ``labels``; sources compute it once per series.
+    ``seq``, where there is such a column, orders a series' samples of one time.
     ``hists``: the same with ``hist``, a native histogram, for ``value``.  A float sample of a
     series and time that has a histogram is ignored.
     """
@@ -189,8 +190,9 @@ class Engine:
     def _instant(self, node: P.Selector, grid: G.Grid) -> Vector:
         inner, pinned = self._times(node, grid)
         rows = G.window(self._select(node), "ts", inner, self.lookback_ms, node.offset_ms)
+        time = _time(rows)
         newest = rows.groupBy("metric", "key", "step").agg(
-            F.max_by("value", "ts").alias("value"), F.max_by("stale", "ts").alias("stale"), F.max("ts").alias("ts")
+            F.max_by("value", time).alias("value"), F.max_by("stale", time).alias("stale"), F.max("ts").alias("ts")
         ).where("NOT stale")
         out = newest.select("step", L.of_key(F.col("key")).alias("labels"), F.col("metric").alias("name"), "key", "value", "ts")
         if pinned:
@@ -345,7 +347,8 @@ class Engine:
             return self._extended(fn, modifier, rows, span, offset, inner, pinned, grid)
         by = ["name", "key", "step"]
         v, ts = F.col("value"), F.col("ts")
-        newest, oldest = [F.max_by(v, ts).alias("s"), F.max(ts).alias("t")], [F.min_by(v, ts).alias("s"), F.min(ts).alias("t")]
+        time = _time(rows)
+        newest, oldest = [F.max_by(v, time).alias("s"), F.max(ts).alias("t")], [F.min_by(v, time).alias("s"), F.min(ts).alias("t")]
         simple = {
             "sum_over_time": ([N.sum_of(v).alias("s")], [N.sum_of(F.col("s")).alias("value")]),
             "count_over_time": ([F.count(v).alias("s")], [F.sum("s").cast("double").alias("value")]),
@@ -383,11 +386,11 @@ class Engine:
                 out = self._with_sides(facts.where("n > 1"), param).withColumn("value", level + slope * param.col)
             else:
                 out = facts.withColumn("value", F.sqrt("variance") if fn[:6] == "stddev" else F.col("variance"))
-        elif fn in ("rate", "increase", "delta"):
+        elif fn in ("rate", "increase", "delta", "resets"):
             out = self._extrapolated(fn, rows, span, offset, inner)
         else:
             seen = G.window(rows, "ts", inner, span, offset)
-            arrays = seen.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("ts", "value"))).alias("a")).withColumn("labels", labels)
+            arrays = seen.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(*_order(seen), "value"))).alias("a")).withColumn("labels", labels)
             sides = [*(param.sides if param else ()), *(param2.sides if param2 else ())]
             for side in sides:
                 arrays = arrays.join(F.broadcast(side), "step", "left")  # one row per step
@@ -403,14 +406,18 @@ class Engine:
         return Vector(out, hist=hist)
 
     def _extrapolated(self, fn: str, rows: DataFrame, span: int, offset: int, grid: G.Grid) -> DataFrame:
-        before = Window.partitionBy("name", "key").orderBy("ts")
+        before = Window.partitionBy("name", "key").orderBy(*_order(rows), "value")
         near = rows.where((F.col("ts") > grid.start - offset - span) & (F.col("ts") <= grid.last - offset))
         near = near.withColumn("p_ts", F.lag("ts").over(before)).withColumn("p", F.lag("value").over(before))
+        near = near.withColumn("at", F.row_number().over(before))  # first and last of samples of one time
         begin = F.col("step") - F.lit(offset + span)
-        fallen = F.when(F.col("value") < F.col("p"), F.col("p")).otherwise(F.lit(0.0))
+        if fn == "resets":
+            fallen = F.when(N.COMPARISON[">"](F.col("p"), F.col("value")), 1.0).otherwise(0.0)
+        else:
+            fallen = F.when(F.col("value") < F.col("p"), F.col("p")).otherwise(F.lit(0.0))
         edges = [
-            F.count(F.lit(1)).alias("n"), F.min("ts").alias("f_ts"), F.min_by("value", "ts").alias("f"),
-            F.max("ts").alias("l_ts"), F.max_by("value", "ts").alias("l"),
+            F.count(F.lit(1)).alias("n"), F.min("ts").alias("f_ts"), F.min_by("value", "at").alias("f"),
+            F.max("ts").alias("l_ts"), F.max_by("value", "at").alias("l"),
         ]
         dealt = G.bucketed(near, "ts", grid, span, offset)
         if dealt is None:
@@ -428,7 +435,10 @@ class Engine:
                 F.sum("n").alias("n"), F.min("f_ts").alias("f_ts"), F.min_by("f", "f_ts").alias("f"), F.max("l_ts").alias("l_ts"), F.max_by("l", "l_ts").alias("l"),
                 F.sum(F.col("own") + F.when(F.col("c_ts") > begin, F.col("c")).otherwise(F.lit(0.0))).alias("resets"),
             )
-        out = out.where("n >= 2 AND l_ts > f_ts").withColumn("labels", L.of_key(F.col("key")))
+        out = out.withColumn("labels", L.of_key(F.col("key")))
+        if fn == "resets":
+            return out.withColumn("value", F.col("resets"))
+        out = out.where("n >= 2 AND l_ts > f_ts")
         counter = fn != "delta"
         change = F.col("l") - F.col("f")
         out = out.withColumn("res", change + F.col("resets") if counter else change)
@@ -500,7 +510,7 @@ class Engine:
             raise PlanError(f"{modifier} works with {', '.join(sorted(allowed))} only")
         ahead = self.lookback_ms if modifier == "smoothed" else 0
         wide = G.window(rows, "ts", grid, span + self.lookback_ms + ahead, offset - ahead)
-        arrays = wide.groupBy("name", "key", "step").agg(F.sort_array(F.collect_list(F.struct("ts", "value"))).alias("all")).withColumn("labels", L.of_key(F.col("key")))
+        arrays = wide.groupBy("name", "key", "step").agg(_samples(wide).alias("all")).withColumn("labels", L.of_key(F.col("key")))
         end = F.col("step") - F.lit(offset)
         begin = end - F.lit(span)
         everything = F.col("all")
@@ -955,6 +965,22 @@ def _series_share(name: pd.Series, key: pd.Series) -> pd.Series:
     return pd.Series([share(n, k) for n, k in zip(name, key)], dtype="float64")
 
 
+def _order(rows: DataFrame) -> list[str]:
+    """Columns that order a series' samples."""
+    return ["ts", "seq"] if "seq" in rows.columns else ["ts"]
+
+
+def _time(rows: DataFrame) -> Column:
+    order = _order(rows)
+    return F.struct(*order) if len(order) > 1 else F.col("ts")
+
+
+def _samples(rows: DataFrame) -> Column:
+    """Aggregate of a series' (ts, value) in order."""
+    ordered = F.sort_array(F.collect_list(F.struct(*_order(rows), "value")))
+    return F.transform(ordered, lambda x: F.struct(x["ts"].alias("ts"), x["value"].alias("value"))) if "seq" in rows.columns else ordered
+
+
 def _matches_empty(matcher: tuple[str, str, str]) -> bool:
     import re
 

@@ -37,9 +37,9 @@ def millis(ts: Column) -> Column:
     return whole_div(micros(ts), 1000)
 
 
-def _series(df: DataFrame, metric: str, labels: dict[str, Column], ts: Column, value: Column) -> DataFrame:
+def _series(df: DataFrame, metric: str, labels: dict[str, Column], ts: Column, value: Column, *more: Column) -> DataFrame:
     m = F.create_map(*[x for k, v in sorted(labels.items()) for x in (F.lit(k), v.cast("string"))])
-    out = df.select(F.lit(metric).alias("metric"), m.alias("labels"), ts.cast("long").alias("ts"), value.cast("double").alias("value"))
+    out = df.select(F.lit(metric).alias("metric"), m.alias("labels"), ts.cast("long").alias("ts"), value.cast("double").alias("value"), *more)
     return out.withColumn("key", L.series_key(F.col("labels"))).withColumn("stale", F.lit(False))
 
 
@@ -56,11 +56,14 @@ def typed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def counter(spark: SparkSession, sf_dir: str, wrap: int = 0) -> DataFrame:
-    """``events_total{event_type}``, or ``events_wrapped_total`` that resets every ``wrap``."""
+    """``events_total{event_type}``, or ``events_wrapped_total`` that resets every ``wrap``;
+    ``seq`` orders samples of one millisecond."""
     e = table(spark, sf_dir, "events")
     n = F.count(F.lit(1)).over(Window.partitionBy("event_type").orderBy("ts", "event_id"))
     name = "events_wrapped_total" if wrap else "events_total"
-    return _series(e, name, {"event_type": e["event_type"]}, millis(e["ts"]), F.pmod(n, F.lit(wrap)) if wrap else n)
+    e = e.withColumn("n", n)
+    value = F.pmod(F.col("n"), F.lit(wrap)) if wrap else F.col("n")
+    return _series(e, name, {"event_type": e["event_type"]}, millis(e["ts"]), value, F.col("n").alias("seq"))
 
 
 BOUNDS = (1.0, 5.0, 10.0, 25.0, 50.0, float("inf"))

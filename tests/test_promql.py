@@ -161,6 +161,18 @@ def test_annotations(engine):
     assert of("histogram_fraction(0, 1, sum(up))") == {bad + '""'}
 
 
+def test_samples_of_one_time_stand_in_sequence(spark):
+    # 1 2 3 0 1 2, where 3 and 0 share a time: one reset, and the window's last sample is the later of two
+    points = [(0, 1, 1), (MIN, 2, 2), (2 * MIN, 3, 3), (2 * MIN, 0, 4), (3 * MIN, 1, 5), (4 * MIN, 9, 6), (4 * MIN, 2, 7)]
+    df = spark.createDataFrame([("n", {}, t, float(v), q, False) for t, v, q in points], "metric string, labels map<string,string>, ts long, value double, seq long, stale boolean")
+    engine = Engine(spark, df.withColumn("key", L.series_key(F.col("labels"))))
+    one = lambda text: list(_run(engine, text, 4 * MIN).values())
+    assert one("resets(n[5m])") == [2.0] and one("n") == [2.0] and one("last_over_time(n[5m])") == [2.0]
+    # 2 - 1 and the falls from 3 and 9, over four minutes of five (the start is zero at most)
+    assert one("increase(n[5m])")[0] == pytest.approx(13 * (240 + min(20, 240 / 13)) / 240)
+    assert _run(engine, "increase(n[4m])", 4 * MIN, 5 * MIN)[(4 * MIN, ())] == pytest.approx(12 * (180 + min(18, 180 * 2 / 12)) / 180)
+
+
 def test_mad_of_a_wide_window(spark):
     rows = [("n", {}, k, float(k % 101), False) for k in range(1, 20_001)]
     df = spark.createDataFrame(rows, "metric string, labels map<string,string>, ts long, value double, stale boolean")
