@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StructType
 
+from .numeric import let
+
 SIDE = "array<struct<i: int, n: double>>"
 TYPE = f"struct<schema: int, zero_threshold: double, zero_count: double, count: double, sum: double, pos: {SIDE}, neg: {SIDE}>"
 MIN_SCHEMA, MAX_SCHEMA = -4, 8
@@ -229,6 +231,31 @@ def rowwise(df: DataFrame, f: Callable[[dict], dict | None], add: str, drop: tup
     return df.mapInArrow(run, schema)
 
 
+def of_exponential(p: Column) -> Column:
+    """``from_exponential`` of a point's struct, as a Column; the caller refuses coarser scales."""
+    scale = F.coalesce(p["scale"], F.lit(0))
+    by = F.greatest(scale - MAX_SCHEMA, F.lit(0))
+    number = lambda text: F.coalesce(F.nullif(text, F.lit("")).cast("double"), F.lit(0.0))
+    bucket = lambda i, n: F.struct(i.cast("int").alias("i"), n.alias("n"))
+
+    def merged(raw: Column) -> Column:
+        # ceil(i / 2**by) rises with i, so the kept order is that of the merged buckets
+        at = F.transform(raw, lambda x: bucket(-F.call_function("shiftright", -x["i"], by), x["n"]))
+        sums = lambda xs: F.transform(F.array_distinct(F.transform(xs, lambda x: x["i"])), lambda i: bucket(
+            i, F.aggregate(F.filter(xs, lambda x: x["i"] == i), F.lit(0.0), lambda a, x: a + x["n"])))
+        return F.when(by > 0, let(at, sums)).otherwise(raw)
+
+    def side(x: Column) -> Column:
+        first = F.coalesce(x["offset"], F.lit(0)) + 1
+        raw = F.transform(F.coalesce(x["bucketCounts"], F.array()), lambda n, k: bucket(first + k, n.cast("double")))
+        return let(F.filter(raw, lambda x: x["n"] != 0), merged)
+
+    return F.struct(
+        F.least(scale, F.lit(MAX_SCHEMA)).alias("schema"), F.coalesce(p["zeroThreshold"], F.lit(0.0)).alias("zero_threshold"), number(p["zeroCount"]).alias("zero_count"),
+        number(p["count"]).alias("count"), F.coalesce(p["sum"], F.lit(0.0)).alias("sum"), side(p["positive"]).alias("pos"), side(p["negative"]).alias("neg"),
+    ).cast(TYPE)
+
+
 def _scalar(f: Callable[[Histogram], float]) -> Callable[[Column], Column]:
     @F.pandas_udf(DoubleType())
     def run(h: pd.DataFrame) -> pd.Series:

@@ -17,7 +17,7 @@ ORACLES: dict[str, str] = {}
 
 def _docs(spark: SparkSession, sf_dir: str, shape: str) -> DataFrame:
     """An export document per event, built with format_string from a JSON shape."""
-    e = views.table(spark, sf_dir, "events")
+    e = views.spread(views.table(spark, sf_dir, "events"))
     micros = views.micros(e["ts"])
     return e.select(F.format_string(shape, "event_type", "user_id", "event_id", micros).alias("value"))
 

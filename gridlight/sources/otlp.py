@@ -62,16 +62,21 @@ def _text(v: Column) -> Column:
 
 def canonical(name: Column) -> Column:
     """A label name: everything but letters, digits and _ becomes _; no digit first."""
-    clean = F.regexp_replace(name, "[^a-zA-Z0-9_]", "_")
-    return F.when(clean.rlike("^[0-9]"), F.concat(F.lit("_"), clean)).otherwise(clean)
+    return F.regexp_replace(F.regexp_replace(name, "[^a-zA-Z0-9_]", "_"), "^([0-9])", "_$1")
 
 
 def _map(attrs: Column, clean: bool = True) -> Column:
     """Attribute list as a map; of clashing names the first stays."""
-    pairs = F.transform(F.coalesce(attrs, F.array()), lambda a: F.struct((canonical(a["key"]) if clean else a["key"]).alias("k"), _text(a["value"]).alias("v")))
+    pairs = F.transform(F.coalesce(attrs, F.array()), lambda a: F.named_struct(F.lit("k"), canonical(a["key"]) if clean else a["key"], F.lit("v"), _text(a["value"])))
     pairs = F.filter(pairs, lambda p: p["v"].isNotNull())
-    firsts = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, 1, i), lambda q: q["k"] == p["k"]))
-    return F.map_from_arrays(F.transform(firsts, lambda p: p["k"]), F.transform(firsts, lambda p: p["v"]))
+    firsts = lambda ps, ks: F.filter(ps, lambda p, i: F.array_position(ks, p["k"]) == i + 1)
+    return F.map_from_entries(N.let(pairs, lambda ps: N.let(F.transform(ps, lambda p: p["k"]), lambda ks: firsts(ps, ks))))
+
+
+def _under(base: str, more: str) -> Column:
+    """Map ``base`` with the entries of ``more`` whose names it lacks.  Both are columns: an
+    expression within a lambda would be computed once an entry."""
+    return F.map_concat(base, F.map_filter(more, lambda k, v: ~F.map_contains_key(F.col(base), k)))
 
 
 def _documents(df: DataFrame, schema: str) -> DataFrame:
@@ -81,85 +86,86 @@ def _documents(df: DataFrame, schema: str) -> DataFrame:
 
 def otlp_logs(df: DataFrame) -> DataFrame:
     """labels (resource), meta (scope and record), key, ts, line, severity."""
-    r = _documents(df, LOGS).select(F.explode("resourceLogs").alias("r"))
-    s = r.select("r.resource", F.explode("r.scopeLogs").alias("s"))
-    x = s.select("resource", "s.scope", F.explode("s.logRecords").alias("l"))
-    labels = _map(F.col("resource.attributes"))
-    service = F.coalesce(F.element_at(labels, F.lit("service_name")), F.lit("unknown_service"))
-    named = L.put(labels, "service_name", service)
+    r = _documents(df, LOGS).select(F.explode("resourceLogs").alias("r")).select(_map(F.col("r.resource.attributes")).alias("labels"), "r.scopeLogs")
+    service = F.coalesce(F.element_at("labels", F.lit("service_name")), F.lit("unknown_service"))
+    s = r.select(L.put(F.col("labels"), "service_name", service).alias("labels"), F.explode("scopeLogs").alias("s"))
+    x = s.select("labels", "s.scope", _map(F.col("s.scope.attributes")).alias("extra"), F.explode("s.logRecords").alias("l"))
     scope = F.map_filter(
         F.create_map(F.lit("scope_name"), F.col("scope.name"), F.lit("scope_version"), F.col("scope.version"), F.lit("trace_id"), F.col("l.traceId"), F.lit("span_id"), F.col("l.spanId"), F.lit("severity_text"), F.col("l.severityText")),
         lambda k, v: F.coalesce(v, F.lit("")) != "",
     )
-    record = F.map_filter(_map(F.col("l.attributes")), lambda k, v: ~F.map_contains_key(scope, k))
-    both = F.map_concat(scope, record)
-    extra = F.map_filter(_map(F.col("scope.attributes")), lambda k, v: ~F.map_contains_key(both, k))
     ts = F.coalesce(F.nullif(F.col("l.timeUnixNano").cast("long"), F.lit(0)), F.col("l.observedTimeUnixNano").cast("long"))
-    out = x.select(named.alias("labels"), F.map_concat(both, extra).alias("meta"), ts.alias("ts"), _text(F.col("l.body")).alias("line"), F.coalesce("l.severityNumber", F.lit(0)).cast("byte").alias("severity"))
+    rest = ["labels", ts.alias("ts"), _text(F.col("l.body")).alias("line"), F.coalesce("l.severityNumber", F.lit(0)).cast("byte").alias("severity")]
+    x = x.select(*rest, scope.alias("scope"), _map(F.col("l.attributes")).alias("record"), "extra")
+    x = x.select("labels", "ts", "line", "severity", _under("scope", "record").alias("both"), "extra")
+    out = x.select("labels", _under("both", "extra").alias("meta"), "ts", "line", "severity")
     return out.withColumn("key", L.series_key(F.col("labels")))
 
 
-def _metrics(df: DataFrame) -> tuple[DataFrame, Column, Callable[[Column], Column]]:
-    """res and m (a metric) of each document, the metric's name, and a point's labels."""
+def _metrics(df: DataFrame) -> tuple[DataFrame, Column]:
+    """base (a point's labels off its resource) and m (a metric) of each document, the metric's name."""
     r = _documents(df, METRICS).select(F.explode("resourceMetrics").alias("r"))
-    s = r.select("r.resource", F.explode("r.scopeMetrics").alias("s"))
-    m = s.select(_map(F.col("resource.attributes")).alias("res"), "s.metrics").select("res", F.explode("metrics").alias("m"))
+    r = r.select(_map(F.col("r.resource.attributes")).alias("res"), "r.scopeMetrics")
     res = F.map_filter("res", lambda k, v: k.isin("service_name", "service_instance_id"))
     base = F.transform_keys(res, lambda k, v: F.when(k == "service_name", "job").otherwise("instance"))
-    merged = lambda attrs: F.map_concat(base, F.map_filter(_map(attrs), lambda k, v: ~F.map_contains_key(base, k)))
-    return m, canonical(F.col("m.name")), merged
+    s = r.select(base.alias("base"), F.explode("scopeMetrics").alias("s"))
+    return s.select("base", F.explode("s.metrics").alias("m")), canonical(F.col("m.name"))
+
+
+_CUMULATIVE = "coalesce(m.{0}.aggregationTemporality, 2) = 2"
 
 
 def otlp_histograms(df: DataFrame) -> DataFrame:
     """metric, labels, key, ts (ms), hist, stale of cumulative exponential points.  Scales
     beyond the finest schema are merged, those below the coarsest rejected."""
-    m, name, merged = _metrics(df)
-    rows = m.where("m.exponentialHistogram IS NOT NULL AND coalesce(m.exponentialHistogram.aggregationTemporality, 2) = 2")
-    rows = rows.select("res", "m", F.explode("m.exponentialHistogram.dataPoints").alias("p"))
-    ts = N.whole_div(F.col("p.timeUnixNano").cast("long"), 10**6)
-    points = rows.select(name.alias("metric"), merged(F.col("p.attributes")).alias("labels"), ts.alias("ts"), "p").withColumn("key", L.series_key(F.col("labels")))
-    counts = lambda side: [float(n) for n in (side or {}).get("bucketCounts") or ()]
-
-    def point(row: dict) -> dict | None:
-        x = row["p"]
-        if (x["scale"] or 0) < H.MIN_SCHEMA:
-            return None
-        pos, neg = x["positive"], x["negative"]
-        h = H.from_exponential(
-            x["scale"] or 0, float(x["zeroCount"] or 0), x["zeroThreshold"] or 0.0, float(x["count"] or 0), x["sum"] or 0.0,
-            (pos or {}).get("offset") or 0, counts(pos), (neg or {}).get("offset") or 0, counts(neg),
-        )
-        return {"hist": h.row()}
-
-    return H.rowwise(points, point, f"hist {H.TYPE}", drop=("p",)).withColumn("stale", F.lit(False))
+    m, name = _metrics(df)
+    rows = m.where("m.exponentialHistogram IS NOT NULL").where(_CUMULATIVE.format("exponentialHistogram"))
+    rows = rows.select("base", name.alias("metric"), F.explode("m.exponentialHistogram.dataPoints").alias("p"))
+    rows = rows.where(F.coalesce("p.scale", F.lit(0)) >= H.MIN_SCHEMA)
+    points = rows.select("metric", "base", _map(F.col("p.attributes")).alias("own"), N.whole_div(F.col("p.timeUnixNano").cast("long"), 10**6).alias("ts"), H.of_exponential(F.col("p")).alias("hist"))
+    out = points.select("metric", _under("base", "own").alias("labels"), "ts", "hist")
+    return out.withColumn("key", L.series_key(F.col("labels"))).withColumn("stale", F.lit(False))
 
 
 def otlp_metrics(df: DataFrame) -> DataFrame:
     """metric, labels, key, ts (ms), value, stale; delta temporality (1) is rejected.
-    Histograms and summaries fan out to ``_bucket``/``_sum``/``_count`` and quantile series."""
-    m, name, merged = _metrics(df)
-
-    def points(kind: str, where: str = "true") -> DataFrame:
-        rows = m.where(F.col(f"m.{kind}").isNotNull()).where(where)
-        return rows.select("res", "m", F.explode(f"m.{kind}.dataPoints").alias("p"))
-
-    ts = N.whole_div(F.col("p.timeUnixNano").cast("long"), 10**6)
-    columns = lambda n, labels, v: [n.alias("metric"), labels.alias("labels"), ts.alias("ts"), v.cast("double").alias("value")]
-    number = F.coalesce(F.col("p.asDouble"), F.col("p.asInt").cast("double"))
-    cumulative = "coalesce(m.{0}.aggregationTemporality, 2) = 2"
-    gauges = points("gauge").select(*columns(name, merged(F.col("p.attributes")), number))
-    sums = points("sum", cumulative.format("sum")).select(*columns(F.when(F.col("m.sum.isMonotonic") & ~name.endswith("_total"), F.concat(name, F.lit("_total"))).otherwise(name), merged(F.col("p.attributes")), number))
-    h = points("histogram", cumulative.format("histogram"))
-    counts = F.transform(F.col("p.bucketCounts"), lambda c: c.cast("long"))
-    bounds = F.concat(F.transform(F.col("p.explicitBounds"), lambda b: b.cast("string")), F.array(F.lit("+Inf")))
-    series = F.transform(F.sequence(F.lit(0), F.size(bounds) - 1), lambda i: F.struct(F.get(bounds, i).alias("le"), F.aggregate(F.slice(counts, 1, i + 1), F.lit(0).cast("long"), lambda a, c: a + c).alias("n")))
-    buckets = h.withColumn("bs", series).withColumn("b", F.explode("bs")).select(*columns(F.concat(name, F.lit("_bucket")), L.put(merged(F.col("p.attributes")), "le", F.regexp_replace(F.col("b.le"), r"\.0$", "")), F.col("b.n")))
-    q = points("summary").withColumn("q", F.explode("p.quantileValues"))
-    quantiles = q.select(*columns(name, L.put(merged(F.col("p.attributes")), "quantile", F.col("q.quantile").cast("string")), F.col("q.value")))
-    out = gauges.unionByName(sums).unionByName(buckets).unionByName(quantiles)
-    for rows in (h, points("summary")):
-        for suffix, v in (("_sum", F.col("p.sum")), ("_count", F.col("p.count"))):
-            out = out.unionByName(rows.select(*columns(F.concat(name, F.lit(suffix)), merged(F.col("p.attributes")), v)))
+    Histograms and summaries fan out to ``_bucket``/``_sum``/``_count`` and quantile series.
+    Documents are read once: each metric becomes a list of points, a point one of samples."""
+    m, name = _metrics(df)
+    none = F.lit(None).cast("string")
+    # a sample: suffix of the metric's name, a label of its own with its text, value
+    sample = lambda suffix, v, label=none, text=none: F.struct(
+        suffix.alias("suffix"), label.alias("label"), text.alias("text"), v.cast("double").alias("value"))
+    plain = F.lit("")
+    monotonic = F.when(F.col("m.sum.isMonotonic") & ~F.col("metric").endswith("_total"), "_total").otherwise("")
+    number = lambda suffix: lambda p: F.array(sample(suffix, F.coalesce(p["asDouble"], p["asInt"].cast("double"))))
+    totals = lambda p: F.array(sample(F.lit("_sum"), p["sum"]), sample(F.lit("_count"), p["count"]))
+
+    def buckets(p: Column) -> Column:
+        bounds = F.concat(F.transform(p["explicitBounds"], lambda b: F.regexp_replace(b.cast("string"), r"\.0$", "")), F.array(F.lit("+Inf")))
+        upto = lambda counts, i: F.aggregate(F.slice(counts, 1, i + 1), F.lit(0).cast("long"), lambda a, c: a + c)
+        series = lambda counts: F.transform(bounds, lambda le, i: sample(F.lit("_bucket"), upto(counts, i), F.lit("le"), le))
+        return N.let(F.transform(p["bucketCounts"], lambda c: c.cast("long")), series)
+
+    def quantiles(p: Column) -> Column:
+        return F.transform(p["quantileValues"], lambda q: sample(plain, q["value"], F.lit("quantile"), q["quantile"].cast("string")))
+
+    def points(kind: str, *samples: Callable[[Column], Column], where: str = "true") -> Column:
+        of = lambda p: F.concat(*[F.coalesce(f(p), F.array()) for f in samples])
+        found = F.transform(F.col(f"m.{kind}.dataPoints"), lambda p: F.struct(p["attributes"].alias("attributes"), p["timeUnixNano"].alias("at"), of(p).alias("samples")))
+        return F.coalesce(F.when(F.expr(where), found), F.array())
+
+    every = F.concat(
+        points("gauge", number(plain)), points("sum", number(monotonic), where=_CUMULATIVE.format("sum")),
+        points("histogram", buckets, totals, where=_CUMULATIVE.format("histogram")), points("summary", quantiles, totals),
+    )
+    rows = m.withColumn("metric", name).select("base", "metric", every.alias("every")).select("base", "metric", F.explode("every").alias("p"))
+    rows = rows.select("base", "metric", _map(F.col("p.attributes")).alias("own"), N.whole_div(F.col("p.at").cast("long"), 10**6).alias("ts"), "p.samples")
+    rows = rows.select("metric", _under("base", "own").alias("labels"), "ts", F.explode("samples").alias("x"))
+    others = F.map_filter("labels", lambda k, v: k != F.col("x.label"))
+    text = F.coalesce("x.text", F.lit(""))
+    labels = F.when(F.col("x.label").isNull(), F.col("labels")).when(text == "", others).otherwise(F.map_concat(others, F.create_map(F.coalesce("x.label", F.lit("")), text)))
+    out = rows.select(F.concat("metric", "x.suffix").alias("metric"), labels.alias("labels"), "ts", "x.value")
     return out.withColumn("key", L.series_key(F.col("labels"))).withColumn("stale", F.lit(False))
 
 
