@@ -157,6 +157,15 @@ def _descent(spans: DataFrame, above: DataFrame, below: DataFrame) -> DataFrame:
     return _traces(reduce(DataFrame.unionByName, parts), walk, "trace_id string, span_id string, is_above boolean, is_below boolean")
 
 
+def _unique(spans: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """One row per span, after one shuffle by ``by``.  dropDuplicates would keep texts in its
+    buffers, which sorts all rows before and after the shuffle; here they are sorted once, by a
+    hash of the ids that settles all but a few comparisons."""
+    each = Window.partitionBy("_h", *_ID).orderBy("_h")
+    dealt = spans.repartition(*(by or _ID)).withColumn("_h", F.xxhash64(*_ID))
+    return dealt.withColumn("_n", F.row_number().over(each)).where("_n = 1").drop("_h", "_n")
+
+
 def trace_context(spans: DataFrame) -> DataFrame:
     """trace_id, root name and service, start, duration over all of a trace's spans."""
     order = F.struct(F.coalesce(~F.col("parent_id").isin(*_ROOTLESS), F.lit(False)).alias("o"), "ts_ns", "span_id")
@@ -170,11 +179,15 @@ def trace_context(spans: DataFrame) -> DataFrame:
 class TraceEngine:
     """``spans``: trace_id, span_id, parent_id, name, service, ts_ns, duration_ns, status, kind,
     status_message, scope_name, scope_version.  ``attrs``: trace_id, span_id, scope, key, val,
-    val_num.  ``many`` (optional): event and link values, same columns as ``attrs``."""
+    val_num.  ``many`` (optional): event and link values, same columns as ``attrs``.
+
+    ``columns``: where given, ``spans`` also has every attribute that ``attrs`` has, as a text
+    and a number column by (scope, key); then no attribute row is read, shuffled or joined."""
 
     spark: SparkSession
     spans: DataFrame
     attrs: DataFrame
+    columns: dict[tuple[str, str], tuple[str, str]] | None = None
 
     # -- fields --------------------------------------------------------------------------
 
@@ -211,6 +224,24 @@ class TraceEngine:
     def _by_attr(f: T.Field) -> bool:
         return f.kind == "attribute" or f.name.startswith(("event:", "link:"))
 
+    def _in_row(self, fields) -> bool:
+        """Whether a span's own row has all ``fields``."""
+        return all(self.columns is not None if self._by_attr(f) else f.kind == "intrinsic" and f.name in _STORED for f in fields)
+
+    def _beside_span(self, f: T.Field) -> list[Column]:
+        """The columns that ``frame`` adds for an attribute out of ``columns``."""
+        scopes, key = self._key(f)
+        kept = sorted((scope != "span", *names) for (scope, k), names in self.columns.items() if k == key and scope in scopes)
+        value = lambda text, number: F.when(F.col(text).isNotNull(), F.struct(F.col(text).alias("val"), F.col(number).alias("val_num")))
+        none = F.lit(None).cast("struct<val: string, val_num: double>")
+        own, rest = ([value(*names) for later, *names in kept if later is which] for which in (False, True))
+        best = F.coalesce(*own, *([rest[0]] if len(rest) == 1 else [F.least(*rest)] if rest else []), none)
+        name = self._column(f)
+        found = [best.alias(name)]
+        if self._many(f):
+            found.append(F.array_distinct(F.array_compact(F.array(*own, *rest, none))).alias(name + "_all"))
+        return found
+
     def frame(self, fields: set, spans: DataFrame | None = None, where=None) -> DataFrame:
         """Spans with a column per needed field: structs (text, number, values).  With ``where``,
         only spans that may satisfy it: attribute rows that its conditions ask for name the
@@ -218,7 +249,9 @@ class TraceEngine:
         df = self.spans if spans is None else spans
         everything = self.spans
         by_attr = [f for f in fields if self._by_attr(f)]
-        if by_attr:
+        if by_attr and self.columns is not None:
+            df = df.select("*", *[c for f in by_attr for c in self._beside_span(f)])
+        elif by_attr:
             keys = {self._key(f)[1] for f in by_attr}
             hit = self.attrs.where(F.col("key").isin(*keys))
             required = self._required(where)
@@ -353,20 +386,23 @@ class TraceEngine:
 
     # -- spansets --------------------------------------------------------------------------
 
-    def spanset(self, node, spans: DataFrame | None = None) -> DataFrame:
-        """trace_id, span_id, parent_id, ts_ns of the matched spans."""
+    def spanset(self, node, spans: DataFrame | None = None, more: dict | None = None, by: list[str] | None = None) -> DataFrame:
+        """trace_id, span_id, parent_id, ts_ns of the matched spans; of a filter also ``more``
+        (a field expression and its column by name), dealt by the columns ``by``."""
         cols = [*_ID, "parent_id", "ts_ns"]
         if isinstance(node, T.Query):
             return self.groups(node).select(*cols).distinct()
         if isinstance(node, T.Spanset):
-            fields = self._needed(node.expr, set())
-            return self.frame(fields, spans, node.expr).where(self.boolean(node.expr)).select(*cols).dropDuplicates(_ID)
+            more = more or {}
+            fields = self._needed([node.expr, *[x for x, _ in more.values()]], set())
+            found = self.frame(fields, spans, node.expr).where(self.boolean(node.expr))
+            return _unique(found.select(*cols, *[c.alias(name) for name, (_, c) in more.items()]), by)
         a, b = self.spanset(node.left, spans), self.spanset(node.right, spans)
         if isinstance(node, T.Combine):
             if node.op == "&&":
                 both = a.select("trace_id").distinct().join(b.select("trace_id").distinct(), "trace_id")
                 a, b = a.join(both, "trace_id", "left_semi"), b.join(both, "trace_id", "left_semi")
-            return a.unionByName(b).dropDuplicates(_ID)
+            return _unique(a.unionByName(b))
         if node.op in (">>", "<<"):
             above, below = (a, b) if node.op == ">>" else (b, a)
             met = _descent(self.spans, above, below)
@@ -379,7 +415,7 @@ class TraceEngine:
             return right()
         if node.mode == "not":
             return right("left_anti")
-        return left().unionByName(right()).dropDuplicates(_ID)
+        return _unique(left().unionByName(right()))
 
     @staticmethod
     def _beside(op: str, mine: DataFrame, other: DataFrame, how: str) -> DataFrame:
@@ -395,32 +431,35 @@ class TraceEngine:
 
     def groups(self, query: T.Query) -> DataFrame:
         """Matched spans with ``group`` ('' unless by() splits a trace) after all stages."""
-        found = self.spanset(query.root).withColumn("group", F.lit(""))
-        for stage in query.stages:
+        read = {i: (s.args[0], (self.text if s.kind == "by" else self.number)(s.args[0])) for i, s in enumerate(query.stages) if s.args and s.kind in ("by", "aggregate")}
+        own = isinstance(query.root, T.Spanset)  # then what the stages read comes with the spans
+        if own:
+            by = ["trace_id"] if any(s.kind == "aggregate" for s in query.stages) else None
+            found = self.spanset(query.root, more={f"_x{i}": x for i, x in read.items()}, by=by)
+        else:
+            found = self.spanset(query.root)
+        found = found.withColumn("group", F.lit(""))
+        for i, stage in enumerate(query.stages):
+            if i in read and not own:
+                field, value = read[i]
+                keyed = _unique(self.frame(self._needed(field, set())).select(*_ID, value.alias(f"_x{i}")))
+                found = found.join(keyed, _ID)
             if stage.kind == "filter":
                 found = found.join(self.spanset(stage.value).select(*_ID), _ID, "left_semi")
             elif stage.kind == "by":
-                fields = self._needed(stage.args, set())
-                keyed = self.frame(fields).select(*_ID, self.text(stage.args[0]).alias("g")).dropDuplicates(_ID)
-                found = found.drop("group").join(keyed, _ID).withColumn("group", F.coalesce("g", F.lit("nil"))).drop("g")
+                found = found.withColumn("group", F.coalesce(f"_x{i}", F.lit("nil")))
             elif stage.kind == "coalesce":
-                found = found.withColumn("group", F.lit("")).dropDuplicates(_ID)
+                found = found.withColumn("group", F.lit(""))  # a span is in one group, so none repeats
             elif stage.kind == "aggregate":
-                value = F.count(F.lit(1)).cast("double")
-                rows = found
+                value = F.count(F.lit(1))
                 if stage.args:
-                    fields = self._needed(stage.args, set())
-                    own = self.frame(fields).select(*_ID, self.number(stage.args[0]).alias("v")).dropDuplicates(_ID)
-                    rows = found.join(own, _ID)
-                    v = F.col("v")
+                    v = F.col(f"_x{i}")
                     value = {"avg": F.avg(v), "sum": F.sum(v), "min": F.min(v), "max": F.max(v)}[stage.name]
-                per = rows.groupBy("trace_id", "group").agg(value.alias("agg"))
-                limit = self.number(stage.value)
-                kept = per.where(F.coalesce(N.COMPARISON["==" if stage.op == "=" else stage.op](F.col("agg"), limit), F.lit(False)))
-                found = found.join(kept.select("trace_id", "group"), ["trace_id", "group"], "left_semi")
+                found = found.withColumn("_agg", value.over(Window.partitionBy("trace_id", "group")).cast("double"))
+                found = found.where(F.coalesce(N.COMPARISON["==" if stage.op == "=" else stage.op](F.col("_agg"), self.number(stage.value)), F.lit(False))).drop("_agg")
             elif stage.kind != "select":
                 raise PlanError(f"{stage.kind} is no search stage")
-        return found
+        return found.drop(*[f"_x{i}" for i in read])
 
     def search(self, text: str, start: int | None = None, end: int | None = None, limit: int = 20, spans_per_set: int = 3) -> DataFrame:
         """The newest matching traces: trace summary and up to ``spans_per_set`` spans per group,
@@ -431,14 +470,14 @@ class TraceEngine:
         newest = found.groupBy("trace_id").agg(F.max("ts_ns").alias("last"), F.countDistinct(F.col("span_id")).alias("matched"))
         top = F.broadcast(newest.orderBy(F.col("last").desc(), "trace_id").limit(limit))  # at most ``limit`` traces
         # matches stay within their trace, so the rest needs those traces only
-        few = TraceEngine(self.spark, self.spans.join(top, "trace_id", "left_semi"), self.attrs.join(top, "trace_id", "left_semi"))
+        few = TraceEngine(self.spark, self.spans.join(top, "trace_id", "left_semi"), self.attrs.join(top, "trace_id", "left_semi"), self.columns)
         rank = F.row_number().over(Window.partitionBy("trace_id", "group").orderBy("ts_ns", "span_id"))
         shown = few._found(query, inside).join(top, "trace_id").withColumn("rank", rank).where(F.col("rank") <= spans_per_set)
         out = shown.join(trace_context(few.spans), "trace_id").drop("rank")
         fields = [a for s in query.stages if s.kind == "select" for a in s.args]
         if fields:
-            extra = few.frame(self._needed(fields, set())).select(*_ID, *[self.text(f).alias(f"{f.scope + '.' if f.scope else ''}{f.name}") for f in fields]).dropDuplicates(_ID)
-            out = out.join(extra, _ID, "left")
+            extra = few.frame(self._needed(fields, set())).select(*_ID, *[self.text(f).alias(f"{f.scope + '.' if f.scope else ''}{f.name}") for f in fields])
+            out = out.join(_unique(extra), _ID, "left")
         return out
 
     def _found(self, query: T.Query, inside: Column | None) -> DataFrame:
@@ -472,14 +511,14 @@ class TraceEngine:
         stage = query.stages[at]
         inside = self.spans.where((F.col("ts_ns") >= low) & (F.col("ts_ns") < high))
         own = [*self._needed([query.root.expr], set())] if isinstance(query.root, T.Spanset) else []
-        if own and not query.stages[:at] and all(f.kind == "intrinsic" and f.name in _STORED for f in own):
-            inside = inside.where(self.boolean(query.root.expr))  # replays of a span agree
-        inside = inside.dropDuplicates(_ID)
+        if own and not query.stages[:at] and self._in_row(own):
+            inside = self.frame({*own}, inside).where(self.boolean(query.root.expr)).select(*self.spans.columns)  # replays of a span agree
+        inside = _unique(inside)
         if isinstance(query.root, T.Spanset) and not query.stages[:at]:
-            fields = self._needed([query.root.expr, stage.by, stage.args], set())
+            fields = self._needed([query.root.expr, stage.by, stage.args, self._inline_side(stage)], set())
             rows = self.frame(fields, inside, query.root.expr).where(self.boolean(query.root.expr))
         else:
-            rows = self.frame(self._needed([stage.by, stage.args], set()), inside).join(self.groups(search).select(*_ID).distinct(), _ID, "left_semi")
+            rows = self.frame(self._needed([stage.by, stage.args, self._inline_side(stage)], set()), inside).join(self.groups(search).select(*_ID).distinct(), _ID, "left_semi")
         rows = rows.withColumn("step", F.col("ts_ns") - F.pmod(F.col("ts_ns"), F.lit(step)))
         if stage.kind == "compare":
             return self._compare(stage, rows)
@@ -533,25 +572,39 @@ class TraceEngine:
         rank = F.row_number().over(Window.partitionBy("step").orderBy("ts_ns", "trace_id", "span_id"))
         return found.withColumn("rank", rank).where(F.col("rank") <= most).select("step", "trace_id", "ts_ns")
 
+    def _inline_side(self, stage: T.Stage):
+        """The filter of compare(), if a span's own row decides it."""
+        node = stage.value if stage.kind == "compare" else None
+        return node.expr if isinstance(node, T.Spanset) and self._in_row(self._needed(node.expr, set())) else None
+
     def _compare(self, stage: T.Stage, rows: DataFrame) -> DataFrame:
         """Counts per (step, side, key, value); ``nil`` complements and totals."""
-        selected = self.spanset(stage.value).select(*_ID).withColumn("sel", F.lit(True))
-        marked = rows.join(selected, _ID, "left").withColumn("side", F.when(F.col("sel"), "selection").otherwise("baseline"))
-        own = F.array(*[
-            F.struct(F.lit(k).alias("key"), F.col(c).cast("string").alias("val"))
-            for k, c in (("name", "name"), ("status", "status"), ("kind", "kind"), ("resource.service.name", "service"))
-        ])
-        from_span = marked.select("step", "side", F.explode(own).alias("x")).select("step", "side", "x.*")
-        mine = marked.select(*_ID, "step", "side")
-        from_attr = mine.join(self.attrs, _ID).select("step", "side", F.concat("scope", F.lit("."), "key").alias("key"), "val")
-        counts = from_span.unionByName(from_attr).where(F.col("val").isNotNull()).groupBy("step", "side", "key", "val").agg(F.count(F.lit(1)).alias("n"))
-        total = mine.groupBy("step", "side").agg(F.count(F.lit(1)).alias("total"))
-        per_key = counts.groupBy("step", "side", "key").agg(F.sum("n").alias("seen")).join(total, ["step", "side"])
-        nil = per_key.withColumn("n", F.greatest(F.col("total") - F.col("seen"), F.lit(0))).where("n > 0").select("step", "side", "key", F.lit("nil").alias("val"), "n")
-        totals = per_key.select("step", F.concat("side", F.lit("_total")).alias("side"), "key", F.lit("").alias("val"), F.col("total").alias("n"))
-        every = counts.unionByName(nil).unionByName(totals)
+        if self._inline_side(stage) is not None:
+            marked = rows.withColumn("sel", self.boolean(stage.value.expr))
+        else:
+            marked = rows.join(self.spanset(stage.value).select(*_ID).withColumn("sel", F.lit(True)), _ID, "left")
+        marked = marked.withColumn("side", F.when(F.col("sel"), "selection").otherwise("baseline"))
+        pairs = [(k, F.col(c)) for k, c in (("name", "name"), ("status", "status"), ("kind", "kind"), ("resource.service.name", "service"))]
+        pairs += [(f"{scope}.{key}", F.col(text)) for (scope, key), (text, _) in (self.columns or {}).items()]
+        # the pair without a key counts the spans themselves
+        own = F.array(*[F.struct(F.lit(k).alias("key"), c.cast("string").alias("val")) for k, c in [*pairs, (None, F.lit(""))]])
+        each = marked.select("step", "side", F.explode(own).alias("x")).select("step", "side", "x.*")
+        if self.columns is None:
+            from_attr = marked.select(*_ID, "step", "side").join(self.attrs, _ID)
+            each = each.unionByName(from_attr.select("step", "side", F.concat("scope", F.lit("."), "key").alias("key"), "val"))
+        every = each.where(F.col("val").isNotNull()).groupBy("step", "side", "key", "val").agg(F.count(F.lit(1)).alias("n"))
+        # windows, not joins: every branch of a join would read and count all spans anew
+        of_key = Window.partitionBy("step", "side", "key")
+        total = F.max(F.when(F.col("key").isNull(), F.col("n"))).over(Window.partitionBy("step", "side"))
+        ranked = every.withColumn("total", total).withColumn("seen", F.sum("n").over(of_key)).withColumn("rank", F.row_number().over(of_key.orderBy("val")))
+        row = lambda side, val, n: F.struct(side.alias("side"), val.alias("val"), n.cast("long").alias("n"))
+        side, left, first = F.col("side"), F.col("total") - F.col("seen"), F.col("rank") == 1
+        shown = F.array_compact(F.array(
+            row(side, F.col("val"), F.col("n")), F.when(first & (left > 0), row(side, F.lit("nil"), left)), F.when(first, row(F.concat(side, F.lit("_total")), F.lit(""), F.col("total")))
+        ))
+        out = ranked.where("key IS NOT NULL").select("step", "key", F.explode(shown).alias("x")).select("step", "key", "x.*")
         labels = F.create_map(F.lit("__meta_type"), F.col("side"), F.col("key"), F.col("val"))
-        return every.select("step", labels.alias("labels"), "side", "key", "val", F.col("n").cast("double").alias("value"))
+        return out.select("step", labels.alias("labels"), "side", "key", "val", F.col("n").cast("double").alias("value"))
 
 
 def _short(x: float) -> str:

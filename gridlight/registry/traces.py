@@ -37,7 +37,7 @@ sp AS (
 
 
 def _engine(spark: SparkSession, sf_dir: str) -> TQ.TraceEngine:
-    return TQ.TraceEngine(spark, views.spans(spark, sf_dir), views.attrs(spark, sf_dir))
+    return TQ.TraceEngine(spark, views.spans(spark, sf_dir), views.attrs(spark, sf_dir), views.SPAN_COLUMNS)
 
 
 def _chat(spark: SparkSession, sf_dir: str) -> TQ.TraceEngine:

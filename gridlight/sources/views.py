@@ -144,14 +144,21 @@ def log_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumn("key", L.series_key(F.col("labels")))
 
 
+#: The attributes beside the order spans: text and number column by (scope, key).
+SPAN_COLUMNS = {("span", "qty"): ("qty", "qty_num"), ("span", "flag"): ("flag", "flag_num"), ("resource", "priority"): ("priority", "priority_num")}
+
+
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A root span per order (server) and a client span per line item."""
+    """A root span per order (server) and a client span per line item, with their attributes
+    in the columns of ``SPAN_COLUMNS``."""
     o, l = (spread(table(spark, sf_dir, t)) for t in ("orders", "lineitem"))  # noqa: E741
+    text, number, qty = F.lit(None).cast("string"), F.lit(None).cast("double"), F.col("l_quantity").cast("long")
     root = o.select(
         F.concat(F.lit("t"), F.col("o_orderkey").cast("string")).alias("trace_id"), F.lit("root").alias("span_id"), F.lit("").alias("parent_id"),
         F.concat(F.lit("order-"), "o_orderstatus").alias("name"), F.col("o_orderpriority").alias("service"),
         (micros(o["o_orderdate"]) * 1000).alias("ts_ns"), (F.floor(F.col("o_totalprice")) * 1_000_000).cast("long").alias("duration_ns"),
         F.when(F.col("o_orderstatus") == "F", 2).when(F.col("o_orderstatus") == "O", 1).otherwise(0).alias("status"), F.lit(2).alias("kind"),
+        text.alias("qty"), number.alias("qty_num"), text.alias("flag"), number.alias("flag_num"), F.col("o_orderpriority").alias("priority"), number.alias("priority_num"),
     )
     day = F.datediff(F.to_date("l_shipdate"), F.lit("1970-01-01").cast("date")).cast("string")
     child = l.select(
@@ -160,6 +167,7 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("root").alias("parent_id"), F.concat(F.lit("item-"), F.col("l_linenumber").cast("string")).alias("name"), F.col("l_returnflag").alias("service"),
         (micros(l["l_shipdate"]) * 1000).alias("ts_ns"), (F.col("l_quantity") * 1_000_000).cast("long").alias("duration_ns"),
         F.when(F.col("l_linestatus") == "F", 2).otherwise(1).alias("status"), F.lit(3).alias("kind"),
+        qty.cast("string").alias("qty"), qty.cast("double").alias("qty_num"), F.col("l_returnflag").alias("flag"), number.alias("flag_num"), text.alias("priority"), number.alias("priority_num"),
     )
     both = root.unionByName(child)
     none = F.lit("")

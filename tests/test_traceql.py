@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from gridlight.plans.promql_parser import ParseError
 from gridlight.plans.traceql import TraceEngine, legacy_tags, nested_sets, service_graph
@@ -65,3 +66,38 @@ def test_rejected_metrics():
         with pytest.raises(ParseError):
             parse(text)
     assert parse(f"{{}} | rate() {five}") and parse("{} | compare({ kind = client })")
+
+
+#: Attributes of ``engine`` that have one value a span, as columns beside the spans.
+COLUMNS = {("span", "n"): ("a", "a_num"), ("resource", "n"): ("b", "b_num"), ("span", "ok"): ("c", "c_num")}
+
+
+@pytest.fixture(scope="module")
+def beside(engine):
+    pick = lambda scope, key, v: F.max(F.when((F.col("scope") == scope) & (F.col("key") == key), F.col(v)))
+    wide = engine.attrs.groupBy("trace_id", "span_id").agg(*[pick(*k, v).alias(n) for k, names in COLUMNS.items() for v, n in zip(("val", "val_num"), names)])
+    spans = engine.spans.join(wide, ["trace_id", "span_id"], "left")
+    return TraceEngine(engine.spark, spans.unionByName(spans), engine.attrs, COLUMNS)  # every span is replayed
+
+
+@pytest.mark.parametrize("text", [
+    "{ span.n > 5 }", "{ .n = 7 }", "{ resource.n = 9 }", "{ .n != 5 && duration > 9ns }", "{ span.ok }", "{ !span.ok && span.ok != nil }", "{ .none = nil && .n != nil }", "{ span.n ^ 2 = 25 }",
+    "{} | by(span.n) | count() > 5", "{} | by(.n) | coalesce() | count() > 3", "{} | by(kind) | avg(duration) > 9", "{ kind = internal } | by(name) | sum(span.n) > 1", "{} | min(span.n) < 6",
+    "({ span.n > 5 } || { span.n = 5 }) | by(span.n) | count() < 2", "{} | by(name) | { span.n > 5 } | count() = 1",
+])
+def test_columns_beside_spans_are_the_attributes(engine, beside, text):
+    found = lambda e: sorted((r.span_id, r.group) for r in e.groups(parse(text)).select("span_id", "group").collect())
+    assert found(beside) == found(engine) and "_x0" not in beside.groups(parse(text)).columns
+
+
+@pytest.mark.parametrize("text", ["{} | compare({ span.n > 5 })", "{ .n != nil } | compare({ childCount = 0 })", "{} | compare({ name = \"a\" } >> {})"])
+def test_compare_counts_replays_once(engine, beside, text):
+    own = lambda e: sorted((r.side, r.key, r.val, r.value) for r in e.metrics(text, 0, 10, 10).collect() if r.key != "event.event:name")
+    assert own(beside) == own(engine) != []
+
+
+def test_compare_reads_spans_once_and_sorts_no_aggregate(spark, sf_dir):
+    from gridlight.registry import traces
+
+    plan = traces.QUERIES["traceql_compare"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "SortAggregate" not in plan
