@@ -10,7 +10,7 @@ of nanoseconds.
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 import pandas as pd
@@ -163,9 +163,10 @@ class LogEngine:
         """Merge new labels: a clash with the stream's or metadata's gets ``_extracted``; what
         was extracted before stays."""
         own, labels = F.col("own"), F.col("labels")
+        df, found = df.withColumn("_found", found), F.col("_found")  # read twice, computed once
         renamed = F.transform_keys(found, lambda k, v: F.when(F.array_contains(own, k), F.concat(k, F.lit("_extracted"))).otherwise(k))
         fresh = F.map_filter(renamed, lambda k, v: ~F.map_contains_key(labels, k))
-        return df.withColumn("labels", F.when(found.isNull(), labels).otherwise(F.map_concat(labels, fresh)))
+        return df.withColumn("labels", F.when(found.isNull(), labels).otherwise(F.map_concat(labels, fresh))).drop("_found")
 
     def _failed(self, df: DataFrame, bad: Column, name: str, details: str) -> DataFrame:
         fresh = bad & (F.col("err") == "")
@@ -313,10 +314,15 @@ def _final(labels: Column) -> Column:
 @dataclass
 class _MetricEngine(Engine):
     logs: LogEngine | None = None
+    ranges: dict[tuple[str, G.Grid], Vector] = field(default_factory=dict)
 
     def compile(self, node, grid: G.Grid, depth: int):
         if isinstance(node, Q.Range):
-            return self._range_aggregate(node, grid, None)
+            # equal ranges are one frame, so that Spark reads and parses their lines once
+            same = (repr(node), grid)
+            if same not in self.ranges:
+                self.ranges[same] = self._range_aggregate(node, grid, None)
+            return replace(self.ranges[same])
         if isinstance(node, P.Aggregate) and node.op == "approx_topk":
             if grid.count != 1:
                 raise PlanError("approx_topk is for instant queries")

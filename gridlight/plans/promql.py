@@ -894,7 +894,8 @@ class Engine:
                 sig = L.put(sig, "__name__", F.col("name"))
         else:
             sig = L.remove(labels, node.labels)
-        return df.withColumn("sig", L.series_key(sig))
+        # never null: a null check of the join would reach the scan and keep its two sides apart
+        return df.withColumn("sig", F.coalesce(L.series_key(sig), F.lit("{}")))
 
     def _set(self, node: P.Binary, left: Vector, right: Vector) -> Vector:
         a, b = self._signed(left.df, node), self._signed(right.df, node)

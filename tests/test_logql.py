@@ -95,3 +95,16 @@ def test_template_errors(spark):
     with pytest.raises(TemplateError):
         Template("{{div 1 0}}").run({})
     assert compile_columns("{{.a}}{{if .b}}x{{end}}", F.col("m"), F.col("l")) is None
+
+
+def test_equal_ranges_read_their_lines_once(spark):
+    df = spark.createDataFrame([(k * S, {"app": "xy"[k % 2]}, f"user={k % 3}") for k in range(1, 9)], "ts long, labels map<string,string>, line string")
+    engine = LogEngine(spark, df.withColumn("key", L.series_key(F.col("labels"))))
+    one = 'count_over_time({app=~".+"} | logfmt [4s])'
+    out = engine.metric(f"{one} / on (app) group_left () sum by (app) ({one})", 4 * S, 8 * S, 2 * S)
+    got = {(r.step // S, r.labels["app"], r.labels["user"]): r.value for r in out.collect()}
+    assert got[4, "x", "2"] == 0.5 and got[8, "y", "1"] == 0.5 and len(got) == 12
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("ReusedExchange") == 1 and plan.count("ArrowEvalPython") == 1
+    other = engine.metric(f"{one} / on (app, user) {one.replace('4s', '2s')}", 8 * S).collect()  # another range is another frame
+    assert {(r.labels["app"], r.labels["user"]): r.value for r in other} == {("x", "2"): 1.0, ("y", "1"): 1.0}
