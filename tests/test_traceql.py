@@ -101,3 +101,10 @@ def test_compare_reads_spans_once_and_sorts_no_aggregate(spark, sf_dir):
 
     plan = traces.QUERIES["traceql_compare"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1 and "SortAggregate" not in plan
+
+
+def test_by_reads_spans_once_and_joins_nothing(spark, sf_dir):
+    from gridlight.registry import traces
+
+    plan = traces.QUERIES["traceql_by"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Join" not in plan and "SortAggregate" not in plan
